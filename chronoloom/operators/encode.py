@@ -39,7 +39,7 @@ def time_encoding(time: str, name: str, cycle: float | None = None) -> tuple[Col
 
 def date_parts(df: DataFrame, time: str, prefix: str | None = None, *, with_time: bool = False, drop: bool = True) -> DataFrame:
     """Adds year, month, ISO week, day, weekday, day of year, and whether it is a month's, quarter's or year's first or last."""
-    t, p = F.col(time), prefix or f"{time}_"
+    t, p = F.col(time), f"{time}_" if prefix is None else prefix
     day = t.cast("date")
     quarter_start = F.date_trunc("quarter", t).cast("date")
     flag = lambda c: c.cast("int")
