@@ -51,7 +51,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t in ("double", "float")})
 
 
-w = over(IDS, ORDER)
+def panel():
+    """The events' window."""
+    return over(IDS, ORDER)
+
 
 # Windows
 
@@ -169,7 +172,7 @@ def asfreq_ffill(spark, sf):
 
 
 def _fill_query(kind):
-    return lambda spark, sf: events(spark, sf).select("event_id", {"ffill": fills.ffill, "bfill": fills.bfill, "fbfill": fills.fbfill}[kind]("v", w).alias("v"))
+    return lambda spark, sf: events(spark, sf).select("event_id", {"ffill": fills.ffill, "bfill": fills.bfill, "fbfill": fills.fbfill}[kind]("v", panel()).alias("v"))
 
 
 FF = "last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -194,12 +197,12 @@ def gap_columns(spark, sf):
 
 @query(f"WITH {EV} SELECT event_id, round(avg(v) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS v FROM e")
 def rolling_mean(spark, sf):
-    return events(spark, sf).select("event_id", F.round(fills.rolling_mean("v", w, 5), 6).alias("v"))
+    return events(spark, sf).select("event_id", F.round(fills.rolling_mean("v", panel(), 5), 6).alias("v"))
 
 
 @query(f"SELECT event_id, round(coalesce(value - lag(value, 2) {W}, 0), 6) AS d, round(coalesce(ln(value) - ln(lag(value) {W}), 0), 6) AS r FROM events WHERE value > 0")
 def diff_and_log_return(spark, sf):
-    return rounded(read(spark, sf, "events").where("value > 0").select("event_id", fills.diff("value", w, 2).alias("d"), fills.log_return("value", w).alias("r")))
+    return rounded(read(spark, sf, "events").where("value > 0").select("event_id", fills.diff("value", panel(), 2).alias("d"), fills.log_return("value", panel()).alias("r")))
 
 
 @query(f"""WITH r AS (SELECT event_id, user_id, ts, value, row_number() {W} AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),
