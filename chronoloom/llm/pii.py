@@ -102,6 +102,8 @@ def instances(text: Column, spans: Column) -> Column:
         over = F.filter(spans, lambda s: (s["at"] < x["to"]) & (s["to"] > x["at"]))
         head = F.filter(over, lambda s: s["at"] >= x["at"])
         kind = F.when(F.size(head) > 0, F.get(head, 0)["kind"])
+        # a known one's value is what its form matched, which may be several tokens
+        value = F.when(F.size(head) > 0, F.substr(text, F.get(head, 0)["at"] + 1, F.get(head, 0)["to"] - F.get(head, 0)["at"])).otherwise(value)
         use = (ctx != "") & (value != "") & ((F.size(over) == 0) | (F.size(head) > 0))
         return F.when(use, F.struct(ctx.alias("ctx"), value.alias("value"), kind.alias("kind"), at.alias("at"), (at + F.char_length(value)).alias("to")))
 
