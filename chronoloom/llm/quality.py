@@ -18,7 +18,9 @@ BUCKETS = 10_000
 #: Trusted documents that the target is taken from: at most so many labelled rows, those of the smallest hash of doc_id.
 TRUSTED_ROWS = 200_000
 #: A document passes if its n-grams are on average at least this likely under the target, against the corpus (natural log).
-THRESHOLD = -0.08
+THRESHOLD = -0.04
+#: How many n-grams of the corpus stand in the target beside its own: with few trusted texts, what these lack says little.
+PRIOR = 100_000
 _POS = (1 << 21) - 1
 
 
@@ -39,7 +41,7 @@ def hashed(words_: Column) -> Column:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, most: int = TRUSTED_ROWS) -> list[float]:
-    """Each bucket's log-likelihood ratio, add-one smoothed. trusted: doc_id of texts that are known to be good.
+    """Each bucket's log-likelihood ratio; the corpus, add-one smoothed, is the target's prior. trusted: doc_id of texts that are known to be good.
 
     The corpus counts are over all of docs. Without trusted documents or without words, all ratios are 0.
     """
@@ -47,14 +49,14 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, most: int =
     docs = pick(docs, "doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left")
     grams = docs.select(F.col("trusted_id").isNotNull().alias("good"), hashed(words(F.lower("text"))).alias("h")).select("good", F.explode(features(F.col("h"), buckets)).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum(F.col("good").cast("long")).alias("target")).collect()  # a row for each bucket at most
-    raw, target = [1] * buckets, [1] * buckets
+    raw, target = [1] * buckets, [0] * buckets
     for r in rows:
         raw[r["b"]] += r["raw"]
         target[r["b"]] += r["target"]
-    if sum(target) == buckets:
+    total, corpus = sum(target), sum(raw)
+    if not total:
         return [0.0] * buckets
-    a, b = math.log(sum(target)), math.log(sum(raw))
-    return [math.log(t) - a - math.log(r) + b for t, r in zip(target, raw, strict=True)]
+    return [math.log((t + PRIOR * r / corpus) / (total + PRIOR) / (r / corpus)) for t, r in zip(target, raw, strict=True)]
 
 
 def table(values: list[float]) -> Column:

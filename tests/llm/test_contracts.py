@@ -80,7 +80,7 @@ def test_quality(spark, docs, rows):
     import xxhash
 
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    counts = [[1] * 500, [1] * 500]
+    counts = [[1] * 500, [0] * 500]
     found = {}
     for d, t in rows:
         w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in brute.WORDS.findall((t or "").lower())]
@@ -91,7 +91,7 @@ def test_quality(spark, docs, rows):
             counts[0][b] += 1
             counts[1][b] += d < 30
     a, b = map(sum, counts)
-    llr = [math.log(t / b) - math.log(r / a) for r, t in zip(*counts, strict=True)]
+    llr = [math.log((t + quality.PRIOR * r / a) / (b + quality.PRIOR) / (r / a)) for r, t in zip(*counts, strict=True)]
     for d, f in found.items():
         if f:
             assert got[d]["score"] == pytest.approx(sum(llr[x] for x in f) / len(f), abs=1e-9)
