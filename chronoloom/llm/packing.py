@@ -22,36 +22,52 @@ from .common import pick, read, stash
 
 SIZE, SEPARATOR, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Pieces of more than this share of a sequence are large; these have so many groups.
-LARGE, GROUPS = 0.25, 32
+LARGE, GROUPS = 0.25, 96
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
 
 
 class Encoder:
     """Token ids of a text as packed unsigned 32-bit numbers. Text between white space is encoded once and remembered.
 
-    The tokenizer drops white space and looks at nothing beyond it, so parts can be encoded alone.
+    The tokenizer drops white space and looks at nothing beyond it, so parts can be encoded alone; so can a word and the full stop
+    or comma behind it. Words of common letters go straight to the model: what the tokenizer does to them before is to
+    lower their case and write their UTF-8 bytes as letters.
     """
 
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def __call__(self, text: str) -> bytes:
-        chunks, known = text.replace("\n", " ").split(" "), self.known
+        self.model = self.tokenizer.model
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(odd)}
+
+    def part(self, text: bytes) -> bytes:
+        s = text.decode()
+        if s and s[-1] in ".," and s[:-1].isalpha():
+            return self.remembered(text[:-1]) + self.remembered(text[-1:])
+        if s.isalpha() and max(s) < "\u0130":  # all of these are their own normal form
+            ids = [t.id for t in self.model.tokenize(s if s.isascii() else s.lower().encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(s, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def remembered(self, text: bytes) -> bytes:
+        out = self.known.get(text)
+        if out is None:
+            out = self.part(text)
+            if len(text) <= 100:  # long ones hardly come again
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                self.known[text] = out
+        return out
+
+    def __call__(self, text: bytes) -> bytes:
+        chunks, known = text.lower().split(), self.known
         try:
             return b"".join([known[c] for c in chunks])
         except KeyError:
-            new = list(dict.fromkeys(c for c in chunks if c not in known))
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            own = {}
-            for i in range(0, len(new), 10_000):
-                for c, e in zip(new[i : i + 10_000], self.tokenizer.encode_batch(new[i : i + 10_000], add_special_tokens=False), strict=True):
-                    own[c] = np.array(e.ids, "<u4").tobytes()
-            known.update((c, ids) for c, ids in own.items() if len(c) <= 100)  # long ones hardly come again
-            return b"".join([known[c] if c in known else own[c] for c in chunks])
+            return b"".join([self.remembered(c) for c in chunks])
 
 
 def _pieces(path: str, size: int, separator: int):
@@ -64,8 +80,8 @@ def _pieces(path: str, size: int, separator: int):
         encode, part, ranks = Encoder(path), TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             cols = [[] for _ in range(7)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + separator.to_bytes(4, "little")
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids = encode(text or b"") + separator.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     cut = ids[at : at + 4 * size]
                     n = len(cut) // 4
@@ -79,7 +95,9 @@ def _pieces(path: str, size: int, separator: int):
 
 
 def groups(counts: dict[int, int], k: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """At most k groups of equal cardinality, longest first: (largest length, [(length, count)])."""
+    """At most k groups of equal cardinality, longest first: (largest length, [(length, count)]). k lengths or fewer: one for each."""
+    if len(counts) <= k:
+        return [(length, [(length, counts[length])]) for length in sorted(counts, reverse=True)]
     total = sum(counts.values())
     out: list[tuple[int, list[tuple[int, int]]]] = []
     room = 0
@@ -96,14 +114,14 @@ def groups(counts: dict[int, int], k: int) -> list[tuple[int, list[tuple[int, in
 
 
 def configurations(sizes: list[int], demand: list[int], size: int) -> list[tuple[list[int], float]]:
-    """How often each configuration is used: the linear program's optimum, by column generation.
+    """How often each configuration is used: the linear program by column generation, to a ten-thousandth of its optimum.
 
     A configuration is a count for each size, together no longer than ``size``. The new column is a knapsack's optimum.
     """
     n = len(sizes)
     columns = [[size // s if i == j else 0 for i in range(n)] for j, s in enumerate(sizes)]
     basis, d = np.array(columns, float).T, np.array(demand, float)
-    for _ in range(200 * n):
+    for _ in range(20 * n):  # the gain tails off; any basis is a valid mix
         inverse = np.linalg.inv(basis)
         x, worth = inverse @ d, inverse.sum(0)
         best, last = np.zeros(size + 1), np.full(size + 1, -1)
@@ -117,7 +135,7 @@ def configurations(sizes: list[int], demand: list[int], size: int) -> list[tuple
                 better = gain > best[at:hi] + 1e-12
                 best[at:hi] = np.where(better, gain, best[at:hi])
                 last[at:hi] = np.where(better, j, last[at:hi])
-        if best.max() <= 1 + 1e-9:
+        if best.max() <= 1 + 1e-4:
             break
         column, at = [0] * n, int(best.argmax())
         while at > 0 and last[at] >= 0:
