@@ -107,6 +107,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, hot: i
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
     named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id"))
+    named = hinted(stash(named, "simhash-named"))  # a table of its own: the rows of a frequent fingerprint can be split
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
