@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach, hinted, pick, read, stash
+from .common import ascii_lower, attach, hinted, let, pick, read, stash
 
 
 def line_key(line: Column) -> Column:
@@ -24,8 +24,8 @@ def lines(text: Column) -> Column:
 
 def _mark(line: Column, least_chars: int) -> Column:
     """128 bits of hash of a key that is long enough, as two longs; null if it is shorter."""
-    key = line_key(line)
-    return F.when(F.char_length(line) >= least_chars, F.when(F.char_length(key) >= least_chars, F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g"))))
+    both = lambda key: F.when(F.char_length(key) >= least_chars, F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g")))
+    return F.when(F.char_length(line) >= least_chars, let(line_key(line), both))
 
 
 def frequent(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
