@@ -20,7 +20,7 @@ GRAMS = (3, 4, 5)
 #: (host, path, verdict): a rule holds for a host and all its subdomains, for paths that start with its own.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 _BAD = "casino-win cheap-pills adult-x spam-farm free-bets ads-track casino-royal win-bets best-pills pills-online adult-cam xxx-tube spam-mail link-farm bets-now ad-tracker track-click free-casino cheap-meds poker-win".split()
-_GOOD = "library school garden weather kitchen museum thereading onthisday riverside thenation history letters thorough station gathering teacher another northern mother brother".split()
+_GOOD = "library school garden weather kitchen museum thereading onthisday riverside thenation history letters thorough station gathering teacher another northern mother brother nation motion theory theatre method weather leather rather gather father thermal anthem lantern thirteen stand handle ocean shelter onion eastern".split()
 #: The labelled table: hosts under all usual endings and sections; 1 is to be blocked.
 LABELLED = tuple(
     (f"https://{prefix}{name}.example.{end}/{section}", int(bad))
