@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
+from pyspark.sql.types import DateType, DoubleType, FloatType, NumericType, StringType, TimestampNTZType, TimestampType
 
 Names = str | Iterable[str] | None
 
@@ -57,11 +57,40 @@ def string_columns(df: DataFrame) -> list[str]:
 
 
 def numbered(df: DataFrame, ids: Names, order: Names, name: str = "_rn", count: str | None = None) -> DataFrame:
-    """Adds each row's number from 1 within its entity, and the entity's rows."""
+    """Adds each row's number from 1 within its entity, and the entity's rows. A single series isn't sorted in one task."""
+    if not listed(ids) and sliceable(df, listed(order)[0]):
+        return number_series(df, order, name, count)
     df = df.withColumn(name, F.row_number().over(over(ids, order)))
     return df.withColumn(count, F.count("*").over(whole(ids))) if count else df
 
 
+def sliceable(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, NumericType | DateType | TimestampType | TimestampNTZType)
+
+
+def number_series(df: DataFrame, order: Names, name: str = "_rn", count: str | None = None, slices: int = 256) -> DataFrame:
+    """Numbers the rows of one series in parallel: rows are dealt out to slices of the first order column, whose bounds are
+    approximate quantiles, numbered within these, and the slices before are added. Nulls are in the first slice, as in a sort."""
+    order = listed(order)
+    kind, key = df.schema[order[0]].dataType, F.col(order[0])
+    if isinstance(kind, NumericType):
+        key = key.cast("double")
+    else:
+        key = F.unix_micros(key.cast("timestamp")).cast("double")
+    bounds = df.select(key.alias("_k")).where("_k is not null").approxQuantile("_k", [i / slices for i in range(1, slices)], 0.01)
+    bounds = sorted(set(bounds))
+    slot = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
+    df = df.withColumn("_slice", F.coalesce(F.when(key.isNotNull(), slot), F.lit(-1)))
+    counts = df.groupBy(F.col("_slice").alias("_s")).agg(F.count("*").alias("_m"))
+    # a row for each slice: this much passes through one task
+    w = Window.orderBy("_s")
+    counts = counts.withColumn("_before", F.sum("_m").over(before(w)) - F.col("_m")).withColumn("_total", F.sum("_m").over(Window.partitionBy()))
+    out = df.join(F.broadcast(counts), F.col("_slice") == F.col("_s"))
+    out = out.withColumn(name, (F.row_number().over(over("_slice", order)) + F.col("_before")).cast("long"))
+    out = out.withColumn(count, F.col("_total")) if count else out
+    return out.drop("_slice", "_s", "_m", "_before", "_total")
+
+
 def stats_of(df: DataFrame, exprs: dict[str, Column], by: Names = None) -> DataFrame:
     """Aggregates as a table of a row (for each key)."""
     columns = [c.alias(n) for n, c in exprs.items()]

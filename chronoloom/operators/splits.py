@@ -70,9 +70,7 @@ def forecasting_split(anchors: DataFrame, time: str, horizon: int, *, stride: in
     purge = (horizon - 1) // stride
     times = anchors.select(time).distinct()
     # distinct times only: one number for each, ordered over the calendar's length
-    codes = times.withColumn("_code", F.row_number().over(Window.orderBy(time)))
-    n = F.count("*").over(Window.partitionBy())
-    codes = codes.withColumn("_n", n)
+    codes = numbered(times, None, time, "_code", "_n")
     size = lambda x: F.lit(x) if isinstance(x, int) else F.round(F.col("_n") * F.lit(float(x))).cast("int")
     cut = lambda at: F.coalesce(F.min(F.when(F.col(time) >= F.lit(at).cast(anchors.schema[time].dataType), F.col("_code"))).over(Window.partitionBy()), F.col("_n") + 1)
     codes = codes.withColumn("_test", cut(test_from) if test_from else F.col("_n") - size(test) + 1)

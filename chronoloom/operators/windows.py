@@ -35,12 +35,14 @@ def sliding_windows(
     padding_value: float | None = None,
     add_padding_feature: bool = True,
     y_is_x_checked: bool = True,
+    chunk: int = 100_000,
 ) -> DataFrame:
     """(ids, order of the anchor, window, x arrays, y): one row for each window, windows numbered from 0 in each entity.
 
     A y column is a scalar for one horizon step and an array for several. stride 0 or None: windows don't overlap.
     Entities that are too short have no window unless the remainder is padded. Null values keep their places. With
-    padding, ``padding_flag`` is an array of 1 for padded steps.
+    padding, ``padding_flag`` is an array of 1 for padded steps. A single series (no ids, not padded) is framed in chunks of so
+    many rows, each with the few rows around it that its windows reach.
     """
     if padding not in ("pre", "post"):
         raise ValueError("padding must be 'pre' or 'post'")
@@ -68,16 +70,24 @@ def sliding_windows(
         low = F.min("_rn").over(whole(ids))
         df = df.withColumn("_rn", (F.col("_rn") - low + 1)).withColumn("_n", F.count("*").over(whole(ids)))
         need = F.col("_n") - mx - window_len
-    w = over(ids, by)
+    parts = list(ids)
+    if not ids and not pad_remainder:
+        back, size = window_len - 1 + max(0, -mn), max(chunk, window_len + mx + max(0, -mn))
+        own, at = F.floor((F.col("_rn") - 1) / size), F.pmod(F.col("_rn") - 1, F.lit(size))
+        also = F.array(own, F.when(at < mx, own - 1), F.when(at >= size - back, own + 1))
+        df = df.withColumn("_own", own).withColumn("_chunk", F.explode(F.filter(also, lambda c: c.isNotNull())))
+        parts = ["_chunk"]
+    w = over(parts, by)
     first = F.lit(0) if padding == "post" or not mx or pad_remainder else F.pmod(need, F.lit(stride))
     frame = w.rowsBetween(-(window_len - 1), 0)
     step = F.struct("_rn", *[F.col(c).alias(f"_x{i}") for i, c in enumerate(x)], *(["_pad"] if pad_remainder else []))
     df = df.withColumn("_w", F.collect_list(step).over(frame))
     ahead = {}
     for c in y:
-        parts = [F.lead(c, h).over(w) if h > 0 else F.lag(c, -h).over(w) if h < 0 else F.col(c) for h in steps]
-        ahead[c] = parts[0] if len(parts) == 1 else F.array(*parts)
+        cells = [F.lead(c, h).over(w) if h > 0 else F.lag(c, -h).over(w) if h < 0 else F.col(c) for h in steps]
+        ahead[c] = cells[0] if len(cells) == 1 else F.array(*cells)
     df = df.withColumns({f"_y{i}": v for i, v in enumerate(ahead.values())})
+    df = df.where("_own = _chunk") if "_chunk" in parts else df
     anchor = F.col("_rn") - first - window_len
     df = df.where((anchor >= 0) & (anchor % stride == 0) & (F.col("_rn") + mx <= F.col("_n")))
     out = df.select(

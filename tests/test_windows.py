@@ -83,3 +83,19 @@ def test_arrays(spark):
     assert one(arrays.savgol_smoothed(F.transform("x", lambda v: v), 5, 4)) == pytest.approx([1, 2, 4, 8, 16])
     assert one(F.transform(arrays.markov_field("x", 2), lambda r: F.size(r))) == [5] * 5
     assert sum(one(arrays.softmax("x"))) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("how", [{}, {"y": "f2", "horizon": 3, "stride": 2, "start": 1}, {"y": "f2", "horizon": -2, "padding": "pre"}, {"y": "f2", "horizon": 4, "padding": "pre", "stride": 3}])
+def test_chunks_of_a_series(spark, how):
+    df = spark.createDataFrame([(t, float(t * t % 17), float(t)) for t in range(101)], "t int, f1 double, f2 double").repartition(5)
+    one, two = (windows.sliding_windows(df, "t", "f1", 6, chunk=c, **how).orderBy("window").collect() for c in (8, 100_000))
+    three = windows.sliding_windows(df.withColumn("e", F.lit(1)), "t", "f1", 6, ids="e", **how).drop("e").orderBy("window").collect()
+    assert one == two == three and len(one) > 20
+
+
+def test_numbers_of_a_series(spark):
+    from chronoloom.operators.frame import number_series
+
+    df = spark.range(1000).selectExpr("case when id < 3 then null when id < 400 then 7 else id end k", "id").repartition(7)
+    got = number_series(df, ["k", "id"], "rn", "n", slices=16).orderBy("rn").collect()
+    assert [r["id"] for r in got] == list(range(1000)) and [r["rn"] for r in got] == list(range(1, 1001)) and got[0]["n"] == 1000
