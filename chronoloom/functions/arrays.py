@@ -59,7 +59,7 @@ def smooth(x: str | Column) -> Column:
 
 
 def patches(x: str | Column, size: int, stride: int | None = None, *, pad_before: bool = True, value: float = 0.0, reduce: str = "none") -> Column:
-    """Windows of an array, which is padded so that none is cut. reduce: none, mean, min or max of each."""
+    """Windows of an array, which is padded so that none is cut. reduce: none, mean, min, max or mode of each."""
     stride = stride or size
     v = _c(x)
     lack = F.pmod(F.lit(stride) - F.pmod(F.size(v) - size, F.lit(stride)), F.lit(stride))
@@ -67,7 +67,7 @@ def patches(x: str | Column, size: int, stride: int | None = None, *, pad_before
     fill = F.array_repeat(F.lit(value), lack.cast("int"))
     full = F.concat(fill, v) if pad_before else F.concat(v, fill)
     cut = let(full, lambda f: F.transform(steps(F.floor((F.size(f) - size) / stride) + 1), lambda i: F.slice(f, i * stride + 1, F.lit(size))))
-    one = {"none": lambda p: p, "min": F.array_min, "max": F.array_max, "mean": lambda p: F.aggregate(p, F.lit(0.0), lambda a, e: a + e) / F.size(p)}[reduce]
+    one = {"none": lambda p: p, "min": F.array_min, "max": F.array_max, "mode": most_frequent, "mean": lambda p: F.aggregate(p, F.lit(0.0), lambda a, e: a + e) / F.size(p)}[reduce]
     return F.transform(cut, one) if reduce != "none" else cut
 
 
@@ -121,6 +121,21 @@ def markov_field(x: str | Column, bins: int = 5) -> Column:
     return let(_c(x), lambda v: let(states(v), field))
 
 
+def take(x: str | Column, places: list[int]) -> Column:
+    """The steps at the given places; negative ones count from the end."""
+    return let(_c(x), lambda v: F.array(*[F.get(v, F.lit(p)) if p >= 0 else F.element_at(v, p) for p in places]))
+
+
+def mark_padding(mask: str | Column, value: float = -1.0) -> Column:
+    """A mask of 1 (missing) and 0 whose last steps are all missing gets the value there."""
+    return let(_c(mask), lambda m: let(F.array_max(F.transform(m, lambda e, i: F.when(e != 1, i).otherwise(-1))), lambda last: F.transform(m, lambda e, i: F.when(i > last, F.lit(value)).otherwise(e))))
+
+
+def most_frequent(x: str | Column) -> Column:
+    """Of equals the least."""
+    return let(_c(x), lambda v: F.get(F.array_sort(F.transform(F.array_distinct(v), lambda e: F.struct((-F.size(F.filter(v, lambda o: o == e))).alias("n"), e.alias("e")))), 0)["e"])
+
+
 def one_hot(value: str | Column, classes: int) -> Column:
     return F.transform(steps(classes), lambda i: (i == _c(value)).cast("int"))
 

@@ -60,6 +60,12 @@ def shuffle_pairs(x, key, magnitude: float = 1.0, *, seed: int = 0) -> Column:
     return let(_c(x), lambda v: F.transform(v, lambda e, i: F.when((uniform(seed, key, F.floor(i / 2)) < magnitude) & (other(i) < F.size(v)), F.get(v, other(i))).otherwise(e)))
 
 
+def swap_high_low(columns: dict[str, str], key, magnitude: float = 1.0, *, seed: int = 0) -> dict[str, Column]:
+    """High and low variables of one bar change places with a chance: columns maps each high to its low. For withColumns."""
+    swap = uniform(seed, key) < magnitude
+    return {a: F.when(swap, F.col(b)).otherwise(F.col(a)) for h, low in columns.items() for a, b in ((h, low), (low, h))}
+
+
 def cut(x, key, share: float, *, seed: int = 0) -> Column:
     """A random stretch of the array, which gets shorter."""
     return let(_c(x), lambda v: let(F.greatest(F.lit(1), F.round(F.size(v) * F.lit(share))).cast("int"), lambda n: F.slice(v, integer(F.size(v) - n + 1, seed, key) + 1, n)))

@@ -17,6 +17,14 @@ WEIGHTS = {"bbox": 0.25, "pose": 0.25, "center": 0.25, "continuity": 0.15, "size
 HIPS, SHOULDERS = (11, 12), (5, 6)
 
 
+def select_files(spark: SparkSession, folder: str, stems: DataFrame | None = None, *, most: int | None = None) -> tuple[list[str], list[str]]:
+    """Paths of the folder's JSON files, by name, and the wanted stems (a column ``stem``) that have none."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path", F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("stem"))
+    lost = [] if stems is None else [r["stem"] for r in stems.select("stem").distinct().join(found, "stem", "left_anti").orderBy("stem").collect()]
+    found = found if stems is None else found.join(stems.select("stem").distinct(), "stem", "left_semi")
+    return [r["path"] for r in (found.orderBy("stem").limit(most) if most else found.orderBy("stem")).collect()], lost
+
+
 def read_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, frame, instances): a row for each frame of each file, which is one JSON array."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"array<struct<{SCHEMA.replace(' ', ':', 1)}>>").alias("frames"))

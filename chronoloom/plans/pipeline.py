@@ -111,3 +111,18 @@ def permutation_importance(df: DataFrame, key: str, columns: list[str], scored:
         one = metric(scored(mixed)).select(F.lit(c).alias("feature"), F.col(name).alias("_now"))
         out = one if out is None else out.unionByName(one)
     return out.join(F.broadcast(base)).select("feature", (F.col("_now") - F.col("_base")).alias("change"))
+
+
+def step_importance(df: DataFrame, key: str, columns: list[str], length: int, scored: Callable[[DataFrame], DataFrame], metric: Callable[[DataFrame], DataFrame], *, size: int = 1, seed: int = 0, blocks: int = 1 << 12) -> DataFrame:
+    """(first_step, change): the same for each group of ``size`` steps of array columns."""
+    from ..functions.augment import partners
+
+    name = metric(scored(df)).columns[0]
+    base = metric(scored(df)).select(F.col(name).alias("_base"))
+    out = None
+    for at in range(0, length, size):
+        swap = lambda c: F.transform(c, lambda e, i: F.when(i.between(at, at + size - 1), F.get(f"other_{c}", i)).otherwise(e))  # noqa: B023, E731
+        mixed = partners(df, key, seed=seed + at, blocks=blocks).withColumns({c: swap(c) for c in columns}).select(*df.columns)
+        one = metric(scored(mixed)).select(F.lit(at).alias("first_step"), F.col(name).alias("_now"))
+        out = one if out is None else out.unionByName(one)
+    return out.join(F.broadcast(base)).select("first_step", (F.col("_now") - F.col("_base")).alias("change"))

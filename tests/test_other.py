@@ -56,6 +56,8 @@ def test_pose(spark, tmp_path):
     frames[6]["instances"][1]["keypoints"] = frames[6]["instances"][1]["keypoints"][:5]
     del frames[7]["instances"][0]["bbox"]
     (tmp_path / "a.json").write_text(json.dumps(frames))
+    paths, lost = pose.select_files(spark, str(tmp_path), spark.createDataFrame([("a",), ("b",)], "stem string"))
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["a.json"] and lost == ["b"]
     read = pose.read_frames(spark, str(tmp_path / "a.json"))
     found = {r["frame"]: len(r["candidates"]) for r in pose.candidates(read).collect()}
     assert len(found) == 12 and found[4] == 0 and found[6] == 1 and found[0] == 2

@@ -141,3 +141,15 @@ def test_importance(spark):
     out = permutation_importance(df, "id", ["a", "b"], scored, lambda d: d.agg(metrics.mae("prediction", "y").alias("mae")), blocks=2)
     got = {r["feature"]: r["change"] for r in out.collect()}
     assert got["a"] > 1 and got["b"] == 0
+
+
+def test_step_importance(spark):
+    from chronoloom.functions import augment, arrays
+    from chronoloom.plans.pipeline import step_importance
+
+    df = spark.createDataFrame([(i, [float(i), 1.0, float(i % 5)], float(i), 5.0, 1.0) for i in range(40)], "id int, x array<double>, y double, h double, l double")
+    out = step_importance(df, "id", ["x"], 3, lambda d: d.withColumn("prediction", F.get("x", 0)), lambda d: d.agg(metrics.mae("prediction", "y").alias("mae")), blocks=1)
+    got = {r["first_step"]: r["change"] for r in out.collect()}
+    assert got[0] > 1 and got[1] == got[2] == 0
+    bar = df.withColumns(augment.swap_high_low({"h": "l"}, F.col("id"))).first()
+    assert (bar["h"], bar["l"]) == (1.0, 5.0) and arrays.savgol_window(10, 9, 2) == 9

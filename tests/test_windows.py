@@ -83,6 +83,9 @@ def test_arrays(spark):
     assert one(arrays.savgol_smoothed(F.transform("x", lambda v: v), 5, 4)) == pytest.approx([1, 2, 4, 8, 16])
     assert one(F.transform(arrays.markov_field("x", 2), lambda r: F.size(r))) == [5] * 5
     assert sum(one(arrays.softmax("x"))) == pytest.approx(1)
+    assert one(arrays.take("x", [0, -1, 2])) == [1, 16, 4]
+    assert one(arrays.mark_padding(F.array(*[F.lit(v) for v in (1.0, 0.0, 1.0, 1.0)]))) == [1, 0, -1, -1]
+    assert one(arrays.most_frequent(F.array(*[F.lit(v) for v in (3, 1, 3, 1, 2)]))) == 1
 
 
 @pytest.mark.parametrize("how", [{}, {"y": "f2", "horizon": 3, "stride": 2, "start": 1}, {"y": "f2", "horizon": -2, "padding": "pre"}, {"y": "f2", "horizon": 4, "padding": "pre", "stride": 3}])
