@@ -34,7 +34,7 @@ class Encoder:
     lower their case and write their UTF-8 bytes as letters.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 750_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
@@ -74,10 +74,16 @@ def _pieces(path: str, size: int, separator: int):
     def run(batches):
         import os
 
+        import sys
+        import types
+
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part, ranks = Encoder(path), TaskContext.get().partitionId(), defaultdict(int)
+        # One encoder for a worker process: what a task has encoded, the next remembers.
+        held = sys.modules.setdefault("_chronoloom_encoders", types.ModuleType("_chronoloom_encoders")).__dict__
+        encode = held[path] if path in held else held.setdefault(path, Encoder(path))
+        part, ranks = TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             cols = [[] for _ in range(7)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
