@@ -236,6 +236,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM, leaves: i
     trees = suffixes.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "doc_id", "start", "n", "span").mapInArrow(_trees(width), FLAGS)
     long = stash(suffixes.join(large, "anchor", "left_semi").select("anchor", "doc_id", "start", "n", "span").mapInArrow(_windows(width), WINDOWS), "substring-windows")
     nodes = long.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "g", "a")
+    nodes = hinted(stash(nodes, "substring-nodes"))  # a table of its own: a hot node's rows can then be split in the join
     paths = long.join(nodes, ["h", "g"]).where("doc_id > a").select("doc_id", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
     flags = trees.unionByName(paths).unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("flags"))
     flags = stash(flags, "substring-flags").withColumnRenamed("doc_id", "side_id")
