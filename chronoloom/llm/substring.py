@@ -101,18 +101,22 @@ FLAGS = "doc_id long, lo int, hi int"
 
 def _spans(width: int, gram: int):
     """For each shared prefix of a document, the stretch of words that its suffixes need."""
+    names, types = ["anchor", "doc_id", "start", "n", "span"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)], names)
 
     def run(batches):
         for b in batches:
-            out = [[], [], [], [], []]
+            out = []
             for doc, text, shared in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = text.split()
                 places, hashes, which = anchors(words, width, gram)
                 for i in np.flatnonzero(np.isin(hashes.view(np.int64), np.array(shared, np.int64))):
                     lo, hi = np.searchsorted(which, [i, i + 1])  # windows of an anchor are neighbours
-                    for x, v in zip(out, (int(hashes.view(np.int64)[i]), doc, int(lo), int(hi - lo), b" ".join(words[lo : hi - 1 + width])), strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["anchor", "doc_id", "start", "n", "span"])
+                    out.append((int(hashes.view(np.int64)[i]), doc, int(lo), int(hi - lo), b" ".join(words[lo : hi - 1 + width])))
+                    if len(out) == 5000:  # together the spans are several times the text
+                        yield made(out)
+                        out = []
+            yield made(out)
 
     return run
 
