@@ -104,11 +104,12 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()) if state["n"] else now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Least neighbours are tables of their own: the join can then split the rows of a node with very many.
-        least = hinted(stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least"))
+        # With many edges, least neighbours are tables of their own: the join can then split the rows of a node with very many.
+        own = (lambda df: stash(df, "cc-own")) if state["n"] > BROADCAST_ROWS else (lambda df: df)
+        least = own(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large, "cc-large")
-        least = hinted(stash(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least"))
+        large = own(large)
+        least = own(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = stash(small.where("u <> v").distinct(), "cc")
         drop(now)
