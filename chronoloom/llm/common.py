@@ -90,6 +90,20 @@ def attach(docs: DataFrame, side: DataFrame, rows: int = BROADCAST_ROWS) -> Data
     return hit.join(side, hit["doc_id"] == side["side_id"]).drop("side_id").unionByName(miss)
 
 
+def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each class (doc_id, component_id), the row of docs with the smallest doc_id stays.
+
+    Of repeated rows with that doc_id one stays. Rows without a doc_id stay, as nothing names them. Columns are those of docs.
+    """
+    found = stash(classes.where("doc_id is not null"), "classes")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), "classes-gone")
+        return docs.join(hinted(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    stay = stash(found.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct(), "classes-stay")
+    one = docs.join(hinted(stay), docs["doc_id"] == F.col("stay_id"), "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), both long and not null: (node, root), root being the least node.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hinted, pick, read, stash
+from .common import components, hinted, keep_least, pick, read, stash
 
 BITS = 64
 
@@ -116,17 +116,8 @@ def fingerprint_hex(fp: Column) -> Column:
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without the near duplicates: of each class, the row with the smallest doc_id stays.
-
-    Of repeated rows with that doc_id one stays. Rows without a doc_id stay, as nothing names them. Columns are those of docs.
-    """
-    found = stash(near_duplicates(docs, **how).where("doc_id is not null"), "simhash-classes")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), "simhash-gone")
-        return docs.join(hinted(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
-    stay = stash(found.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct(), "simhash-stay")
-    one = docs.join(hinted(stay), docs["doc_id"] == F.col("stay_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """The rows of docs without the near duplicates; which rows stay: see common.keep_least()."""
+    return keep_least(docs, near_duplicates(docs, **how))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
