@@ -1,14 +1,16 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
 Numbers, units and names become typed placeholders; windows of template tokens of documents and benchmark items meet in a hash
-join. Windows that agree and stand at one offset make an alignment, whose slots must be filled consistently: one value of
-the item always became one value of the document. So questions with other numbers or names are found, and texts that
-merely have numbers in the same places are not.
+join. A capitalised word that begins a sentence may be a name or not: both readings are indexed. Windows that have too few
+other tokens to tell anything meet by their very tokens instead. Windows that agree and stand at one offset make an
+alignment; those of neighbouring offsets are chained, as words may be put in or left out. An alignment's slots must be
+filled consistently: one value of the item always became one value of the document. So questions with other numbers or
+names are found, and texts that merely have numbers in the same places are not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, hinted, let, pick, read, stash
@@ -16,7 +18,11 @@ from .common import attach, hinted, let, pick, read, stash
 WINDOW = 8
 #: Of an item's windows, the share that must be found in one document.
 COVERAGE = 0.6
-#: A window must have at least so many tokens that are no placeholders (or as many as the item has, if fewer).
+#: Or, of its tokens, the share that such windows must cover: a changed word spoils eight windows, but is one token.
+COVERED = 0.8
+#: Offsets that differ by so many tokens at most are chained.
+REACH = 8
+#: A window with fewer tokens that are no placeholders (or than its tokens, if fewer) is indexed by its tokens as they are.
 LITERALS = 4
 #: Units that become a placeholder. Fixed values.
 UNITS = (
@@ -25,21 +31,29 @@ UNITS = (
     "ms s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
     "mph kph kmh hz khz mhz ghz w kw mw v kv j kj cal kcal pa kpa k c f usd eur gbp dollar dollars euro euros cent cents percent"
 ).split()
-NUMBER, UNIT, NAME, _MARK = "<n>", "<u>", "<p>", "\x01"
+NUMBER, UNIT, NAME, _MARK, _FIRST = "<n>", "<u>", "<p>", "\x01", "\x02"
 
 
 def raw_tokens(text: Column) -> Column:
-    """Lower-cased tokens of letters and numbers (with their decimal marks); capitalised words amid a sentence keep a mark."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _MARK, " ")
-    t = F.lower(F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", _MARK))
-    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{_MARK}]+|(?<!\p{{N}})[.,]|[.,](?!\p{{N}})", " ")
+    """Lower-cased tokens of letters and numbers (with their decimal marks); capitalised words keep a mark: one amid a sentence, another elsewhere."""
+    t = F.translate(F.coalesce(text, F.lit("")), _MARK + _FIRST, "  ")
+    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", _MARK)
+    t = F.lower(F.regexp_replace(t, rf"(?<![\p{{L}}\p{{M}}\p{{N}}{_MARK}])(?=\p{{Lu}})", _FIRST))
+    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{_MARK}{_FIRST}]+|(?<!\p{{N}})[.,]|[.,](?!\p{{N}})", " ")
     return F.filter(F.split(t, " "), lambda x: x != "")
 
 
-def template(tokens: Column) -> Column:
-    """Each token, or the placeholder for its type."""
+def plain(token: Column) -> Column:
+    """A token without its mark."""
+    return F.ltrim(token, F.lit(_MARK + _FIRST))
+
+
+def template(tokens: Column, names: bool = False) -> Column:
+    """Each token, or the placeholder for its type; with names, words that begin a sentence are read as names too."""
     first = lambda x: F.substring(x, 1, 1)
-    kind = lambda x: F.when(first(x) == _MARK, NAME).when(first(x).between("0", "9"), NUMBER).when(x.isin(UNITS), UNIT).otherwise(x)
+    named = lambda x: first(x).isin(_MARK, _FIRST) if names else first(x) == _MARK
+    word = lambda x: x if names else plain(x)
+    kind = lambda x: F.when(named(x), NAME).when(first(x).between("0", "9"), NUMBER).when(word(x).isin(UNITS), UNIT).otherwise(word(x))
     return F.transform(tokens, kind)
 
 
@@ -54,42 +68,81 @@ def literal(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda x: F.substring(x, 1, 1) != "<"))
 
 
+def _covered(ats: Column, size: Column) -> Column:
+    """How many tokens sorted windows of a size cover."""
+    step = F.transform(ats, lambda at, i: F.when(i == 0, size).otherwise(F.least(size, at - F.get(ats, i - 1))))
+    return F.aggregate(step, F.lit(0), lambda a, x: a + x)
+
+
 def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float = COVERAGE, literals: int = LITERALS) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_slots, reparameterised) for each document and benchmark item that it contains.
 
-    An item of fewer than ``width`` tokens is one window. Null or empty texts, null ids and items without enough literal tokens
+    An item of fewer than ``width`` tokens is one window. Null or empty texts, null ids and items of placeholders alone
     match nothing. Repeated rows count once. Extra columns are ignored; empty tables give an empty result.
     """
     items = pick(items, "item_id", "text").where("item_id is not null").dropDuplicates(["item_id"]).select("item_id", raw_tokens(F.col("text")).alias("item"))
-    items = stash(items.withColumn("t", template(F.col("item"))).withColumn("size", F.least(F.size("t"), F.lit(width))).where("size > 0"), "bench-items")
+    items = items.withColumn("t", template(F.col("item"))).withColumn("named", template(F.col("item"), True)).where(literal(F.col("t")) > 0)
+    items = stash(items.withColumn("size", F.least(F.size("t"), F.lit(width))), "bench-items")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``width`` numbers
     docs = pick(docs, "doc_id", "text").where("doc_id is not null")
-    tokens = docs.select("doc_id", template(raw_tokens(F.col("text"))).alias("t"))
-    found = None
+    found = index = None
     for size in sizes:
-        own = F.explode(windows(F.col("t"), size)).alias("x")
-        mine = items.where(F.col("size") == size).select("item_id", "t", own)
-        mine = mine.where(literal(F.slice("t", F.col("x.at") + 1, F.lit(size))) >= min(size, literals))
-        mine = stash(mine.select("item_id", F.col("x.h").alias("h"), F.col("x.at").alias("item_at")), "bench-windows")
-        theirs = tokens.select("doc_id", own).select("doc_id", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
-        part = theirs.join(hinted(mine, 200_000), "h").select("doc_id", "item_id", "at", "item_at", F.lit(size).alias("size"))
-        found = part if found is None else found.unionByName(part)
+        own = items.where(F.col("size") == size)
+        part = lambda c: F.slice(c, F.col("x.at") + 1, F.lit(size))
+        readings = [own.select("item_id", F.col(c).alias("r"), F.explode(windows(F.col(c), size)).alias("x")).withColumn("told", literal(part("r")) >= min(size, literals)) for c in ("t", "named")]
+        mine = [r.where("told").select("item_id", F.col("x.h").alias("h"), F.col("x.at").alias("item_at"), "told", F.lit(k == 1).alias("names")) for k, r in enumerate(readings)]
+        bare = F.explode(windows(F.transform("item", plain), size)).alias("x")
+        # by their tokens: windows that neither reading tells
+        rest = readings[0].where("not told").select("item_id", F.col("x.at").alias("item_at"))
+        rest = own.select("item_id", bare).select("item_id", F.col("x.h").alias("h"), F.col("x.at").alias("item_at")).join(rest, ["item_id", "item_at"])
+        mine = mine[0].unionByName(mine[1]).unionByName(rest.select("item_id", "h", "item_at", F.lit(False).alias("told"), F.lit(False).alias("names")))
+        mine = stash(mine.groupBy("item_id", "h", "item_at", "told").agg(F.min("names").alias("names")), "bench-windows")
+        index = mine.select("item_id", "item_at", "told") if index is None else index.unionByName(mine.select("item_id", "item_at", "told"))
+        exact = not mine.where("not told").isEmpty()
+        reading = lambda r: F.concat(windows(template(r), size), windows(template(r, True), size), *([windows(F.transform(r, plain), size)] if exact else []))  # noqa: B023, E731
+        theirs = docs.select("doc_id", F.explode(let(raw_tokens(F.col("text")), reading)).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
+        met = theirs.join(hinted(mine, 200_000), "h").select("doc_id", "item_id", "at", "item_at", "told", "names")
+        found = met if found is None else found.unionByName(met)
     if found is None:
-        found = docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("at"), F.lit(0).alias("item_at"), F.lit(0).alias("size"))
-    counts = items.select("item_id", (F.size("t") - F.col("size") + 1).alias("windows"))
-    aligned = found.distinct().groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("n"), F.min("item_at").alias("lo"), F.max(F.col("item_at") + F.col("size")).alias("hi"))
-    # Alignments that are large enough; those of one item in one document are few, as each covers most of the item.
-    aligned = aligned.join(hinted(counts, 200_000), "item_id").where(F.col("n") >= F.col("windows") * coverage)
+        return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"), F.lit(False).alias("reparameterised")).limit(0)
+    told = index.where("told").groupBy("item_id").agg(F.array_sort(F.collect_set("item_at")).alias("told_at"))
+    counts = items.join(told, "item_id", "left").select("item_id", "size", F.size("t").alias("tokens"), (F.size("t") - F.col("size") + 1).alias("windows"), F.coalesce("told_at", F.array().cast("array<int>")).alias("told_at"))
+    counts = counts.withColumn("told_tokens", _covered(F.col("told_at"), F.col("size")))
+    counts = stash(counts.select("item_id", "size", "tokens", "windows", F.size("told_at").alias("told_windows"), "told_tokens"), "bench-counts")
+
+    def enough(x: Column) -> Column:
+        """Whether windows (at, told) are enough of the item, or, where templates tell most of it, enough of these."""
+        at = lambda some: F.array_sort(F.array_distinct(F.transform(some, lambda w: w["at"])))
+        share = lambda ats, n, tokens: (F.size(ats) >= F.col(n) * coverage) | (_covered(ats, F.col("size")) >= F.col(tokens) * COVERED)
+        part = let(at(F.filter(x, lambda w: w["told"])), lambda ats: (F.size(ats) > 0) & share(ats, "told_windows", "told_tokens"))
+        return let(at(x), lambda ats: share(ats, "windows", "tokens")) | (F.col("told_tokens") >= F.col("tokens") * coverage) & part
+
+    aligned = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.struct(F.col("item_at").alias("at"), "told", "names")).alias("own"))
+    # Of each alignment, those at neighbouring offsets
+    near = Window.partitionBy("doc_id", "item_id").orderBy("shift").rangeBetween(-REACH, REACH)
+    aligned = aligned.withColumn("near", F.collect_list(F.struct("shift", "own")).over(near)).join(hinted(counts, 200_000), "item_id")
+    aligned = aligned.where(enough(F.flatten(F.transform("near", lambda x: x["own"]))))
     aligned = stash(aligned, "bench-aligned")
     holders = stash(aligned.groupBy(F.col("doc_id").alias("side_id")).agg(F.lit(True).alias("held")), "bench-holders")
     texts = attach(docs, holders).where("held").select("doc_id", raw_tokens(F.col("text")).alias("doc"))
-    both = aligned.join(texts, "doc_id").join(hinted(items.select("item_id", "item", "t"), 20_000), "item_id")
-    both = both.withColumn("doc_t", template(F.col("doc")))
-    places = F.filter(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: (F.substring(F.get("t", i), 1, 1) == "<") & (F.get("t", i) == F.get("doc_t", i + F.col("shift"))))
-    both = both.withColumn("slots", F.array_distinct(F.transform(places, lambda i: F.struct(F.get("item", i).alias("a"), F.get("doc", i + F.col("shift")).alias("b")))))
+    texts = texts.withColumn("doc_t", template(F.col("doc"))).withColumn("doc_named", template(F.col("doc"), True))
+    alone = F.array(F.struct("shift", "own"))
+    # An alignment alone, and with its neighbours, which fill what it leaves, the nearest first; each without and with the reading as names
+    nearest = F.transform(F.array_sort(F.transform("near", lambda x: F.struct(F.abs(x["shift"] - F.col("shift")).alias("far"), x["shift"].alias("shift"), x["own"].alias("own")))), lambda x: F.struct(x["shift"].alias("shift"), x["own"].alias("own")))
+    strict = lambda runs: F.transform(runs, lambda x: F.struct(x["shift"].alias("shift"), F.filter(x["own"], lambda w: ~w["names"]).alias("own")))
+    way = lambda runs, names: F.struct(F.lit(names).alias("names"), (runs if names else strict(runs)).alias("runs"))
+    both = aligned.withColumn("way", F.explode(F.array(*[way(runs, names) for runs in (alone, nearest) for names in (False, True)])))
+    both = both.withColumn("chain", F.col("way.runs")).withColumn("used", F.flatten(F.transform("chain", lambda x: x["own"]))).where(enough(F.col("used"))).drop("near", "own")
+    both = both.join(texts, "doc_id").join(hinted(items.select("item_id", "item", "t", "named"), 20_000), "item_id")
+    both = both.withColumn("t", F.when(F.col("way.names"), F.col("named")).otherwise(F.col("t"))).withColumn("doc_t", F.when(F.col("way.names"), F.col("doc_named")).otherwise(F.col("doc_t")))
+    holds = lambda x, i: F.exists(x["own"], lambda w: (w["at"] <= i) & (i < w["at"] + F.col("size")))
+    places = F.transform(F.sequence(F.lit(0), F.col("tokens") - 1), lambda i: F.struct(i.alias("i"), F.get(F.filter("chain", lambda x: holds(x, i)), 0)["shift"].alias("shift")))
+    both = both.withColumn("places", F.filter(places, lambda p: (F.substring(F.get("t", p["i"]), 1, 1) == "<") & (F.get("t", p["i"]) == F.get("doc_t", p["i"] + p["shift"]))))
+    both = both.withColumn("slots", F.array_distinct(F.transform("places", lambda p: F.struct(plain(F.get("item", p["i"])).alias("a"), plain(F.get("doc", p["i"] + p["shift"])).alias("b")))))
     both = both.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"]))))
     other = F.exists("slots", lambda s: s["a"] != s["b"])
-    best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", (~other).alias("same"), F.size("slots").cast("long").alias("n_slots"), "windows")).alias("x"))
+    n = F.size(F.array_distinct(F.transform("used", lambda w: w["at"]))).cast("long")
+    best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct(n.alias("n"), (~other).alias("same"), F.size("slots").cast("long").alias("n_slots"), "windows")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.n").alias("n_windows"), (F.col("x.n") / F.col("x.windows")).alias("coverage"), "x.n_slots", (~F.col("x.same")).alias("reparameterised"))
 
 
