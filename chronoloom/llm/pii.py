@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, hinted, pick, read, stash, words
+from .common import WS, hinted, let, pick, read, stash, words
 
 KINDS = ("email", "ip", "card", "phone")
 #: The forms, so written that a failed start isn't tried again from within the same run and no group recurses.
@@ -23,6 +23,9 @@ FORMS = {
 }
 #: White-space separated tokens that have a digit or an at sign: what may be an identifier.
 TOKEN = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+"
+#: Tokens of digits in a row, which may be one identifier together.
+_PART = rf"[0-9(+][0-9()+/.-]*+(?![^{WS},;:!?])"
+RUN = rf"(?<![^{WS}]){_PART}(?: {_PART})++"
 _KEY = r"^[^A-Za-z]?([A-Za-z][A-Za-z_-]*[=:])[^A-Za-z0-9+]*+(?=.)"
 #: A pattern needs this score and so many different known identifiers; an identifier needs the score too.
 LEAST_SCORE, LEAST_SUPPORT, ROUNDS = 0.5, 3, 3
@@ -89,25 +92,31 @@ def joined(spans: Column) -> Column:
 
 
 def instances(text: Column, spans: Column) -> Column:
-    """Possible identifiers as (ctx, value, kind, at, to): kind is a known one's number, null for one that no form fits."""
+    """Possible identifiers as (ctx, value, kind, at, to): kind is a known one's number, null for one that no form fits.
 
-    def one(x: Column) -> Column:
-        key = F.regexp_extract(x["m"], _KEY, 0)
-        name = F.regexp_extract(x["m"], _KEY, 1)
+    Tokens, and runs of digit tokens as a whole. ctx is the token before, whatever it holds, or the key; empty at a text's start.
+    """
+
+    def one(x: Column, before: Column, run: bool) -> Column:
+        key = F.lit("") if run else F.regexp_extract(x["m"], _KEY, 0)
+        name = F.lit("") if run else F.regexp_extract(x["m"], _KEY, 1)
         body = F.substr(x["m"], F.char_length(key) + 1)
         value = F.regexp_replace(F.regexp_replace(body, r"^[^\p{L}0-9+]+", ""), r"[^\p{L}0-9]+$", "")
         at = x["at"] + F.char_length(key) + F.char_length(body) - F.char_length(F.regexp_replace(body, r"^[^\p{L}0-9+]+", ""))
-        before = F.regexp_extract(x["gap"], rf"([^{WS}]+)[{WS}]+$", 1)
         ctx = F.lower(F.when(name != "", name).otherwise(before))
         over = F.filter(spans, lambda s: (s["at"] < x["to"]) & (s["to"] > x["at"]))
-        head = F.filter(over, lambda s: s["at"] >= x["at"])
+        head = F.filter(over, lambda s: F.lit(not run) & (s["at"] >= x["at"]))
         kind = F.when(F.size(head) > 0, F.get(head, 0)["kind"])
         # a known one's value is what its form matched, which may be several tokens
         value = F.when(F.size(head) > 0, F.substr(text, F.get(head, 0)["at"] + 1, F.get(head, 0)["to"] - F.get(head, 0)["at"])).otherwise(value)
-        use = (ctx != "") & (value != "") & ((F.size(over) == 0) | (F.size(head) > 0))
+        use = (value != "") & ((F.size(over) == 0) | (F.size(head) > 0))
         return F.when(use, F.struct(ctx.alias("ctx"), value.alias("value"), kind.alias("kind"), at.alias("at"), (at + F.char_length(value)).alias("to")))
 
-    return F.filter(F.transform(found(text, TOKEN), one), lambda x: x.isNotNull())
+    word = lambda x: F.regexp_extract(x["gap"], rf"([^{WS}]+)[{WS}]+$", 1)
+    after = lambda xs, x, i: F.when((word(x) == "") & (i > 0), F.get(xs, i - 1)["m"]).otherwise(word(x))
+    tokens = let(found(text, TOKEN), lambda xs: F.transform(xs, lambda x, i: one(x, after(xs, x, i), False)))
+    runs = let(found(text, RUN), lambda xs: F.transform(xs, lambda x, i: one(x, after(xs, x, i), True)))
+    return F.filter(F.concat(tokens, runs), lambda x: x.isNotNull())
 
 
 def discover(things: DataFrame, docs: DataFrame, score: float = LEAST_SCORE, support: int = LEAST_SUPPORT, rounds: int = ROUNDS) -> DataFrame:
@@ -116,7 +125,7 @@ def discover(things: DataFrame, docs: DataFrame, score: float = LEAST_SCORE, sup
     seeds = graph.where("kind is not null")
     fresh = graph.where("kind is null").select("ctx", "value", "n")
     # Only contexts of things that may become known or make known can matter; how often these occur is counted in all texts.
-    asked = hinted(stash(graph.select("ctx").distinct(), "pii-contexts"))
+    asked = hinted(stash(graph.where("ctx <> ''").select("ctx").distinct(), "pii-contexts"))
     token = F.explode(words(F.col("text")))
     said = docs.select(token.alias("t")).select(F.lower(F.when(F.col("t").rlike("[=:]") & (F.regexp_extract("t", _KEY, 1) != ""), F.regexp_extract("t", _KEY, 1)).otherwise(F.col("t"))).alias("ctx"))
     totals = stash(said.join(asked, "ctx").groupBy("ctx").agg(F.count("*").alias("total")), "pii-totals")
@@ -150,6 +159,9 @@ def spans(docs: DataFrame, score: float = LEAST_SCORE, support: int = LEAST_SUPP
     known = hinted(discover(things, docs, score, support, rounds))
     # A value that a form fits is no discovery where the form fits it; elsewhere, its new spans are.
     more = things.where("kind is null and doc_id is not null").drop("kind").join(known, "value").groupBy("doc_id").agg(F.collect_set(F.struct("at", "kind", "to")).alias("more"))
+    # the parts of a run that is known as a whole are no spans of their own
+    part = lambda s: F.exists("more", lambda o: (o["at"] <= s["at"]) & (o["to"] >= s["to"]) & (o["to"] - o["at"] > s["to"] - s["at"]))
+    more = more.withColumn("more", F.filter("more", lambda s: ~part(s)))
     more = stash(more.withColumnRenamed("doc_id", "side_id"), "pii-more")
     out = seen.drop("things").join(hinted(more, 20_000), F.col("doc_id") == F.col("side_id"), "left")
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("all"))
