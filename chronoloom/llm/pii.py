@@ -8,6 +8,8 @@ patterns in turn.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ _PART = rf"[0-9(+][0-9()+/.-]*+(?![^{WS},;:!?])"
 RUN = rf"(?<![^{WS}]){_PART}(?: {_PART})++"
 _KEY = r"^[^A-Za-z]?([A-Za-z][A-Za-z_-]*[=:])[^A-Za-z0-9+]*+(?=.)"
 #: A pattern needs this score and so many different known identifiers; an identifier needs the score too.
-LEAST_SCORE, LEAST_SUPPORT, ROUNDS = 0.5, 3, 3
+LEAST_SCORE, LEAST_SUPPORT = 0.5, 3
 
 
 def _luhn(digits: Column) -> Column:
@@ -119,8 +121,11 @@ def instances(text: Column, spans: Column) -> Column:
     return F.filter(F.concat(tokens, runs), lambda x: x.isNotNull())
 
 
-def discover(things: DataFrame, docs: DataFrame, score: float = LEAST_SCORE, support: int = LEAST_SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """(value, kind) of the identifiers that confident patterns reveal. things: (ctx, value, kind), one row for each instance."""
+def discover(things: DataFrame, docs: DataFrame, score: float = LEAST_SCORE, support: int = LEAST_SUPPORT, rounds: int | None = None) -> DataFrame:
+    """(value, kind) of the identifiers that confident patterns reveal. things: (ctx, value, kind), one row for each instance.
+
+    Rounds go on till one finds nothing new, or as many as given.
+    """
     graph = stash(things.groupBy("ctx", "value").agg(F.count("*").alias("n"), F.min("kind").alias("kind")), "pii-graph")
     seeds = graph.where("kind is not null")
     fresh = graph.where("kind is null").select("ctx", "value", "n")
@@ -130,7 +135,7 @@ def discover(things: DataFrame, docs: DataFrame, score: float = LEAST_SCORE, sup
     said = docs.select(token.alias("t")).select(F.lower(F.when(F.col("t").rlike("[=:]") & (F.regexp_extract("t", _KEY, 1) != ""), F.regexp_extract("t", _KEY, 1)).otherwise(F.col("t"))).alias("ctx"))
     totals = stash(said.join(asked, "ctx").groupBy("ctx").agg(F.count("*").alias("total")), "pii-totals")
     known = stash(seeds.select("value", "kind").distinct(), "pii-known")
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         held = seeds.select("ctx", "value", "kind", "n").unionByName(fresh.join(known, "value").select("ctx", "value", "kind", "n"))
         patterns = held.groupBy("ctx", "kind").agg(F.sum("n").alias("hits"), F.count_distinct("value").alias("different"))
         patterns = patterns.where(F.col("different") >= support).join(totals, "ctx").select("ctx", "kind", F.least(F.lit(1.0), F.col("hits") / F.col("total")).alias("score"))
@@ -145,7 +150,7 @@ def discover(things: DataFrame, docs: DataFrame, score: float = LEAST_SCORE, sup
     return known
 
 
-def spans(docs: DataFrame, score: float = LEAST_SCORE, support: int = LEAST_SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+def spans(docs: DataFrame, score: float = LEAST_SCORE, support: int = LEAST_SUPPORT, rounds: int | None = None) -> DataFrame:
     """(doc_id, base, all) for each row: arrays of (at, kind, to), in code points, end exclusive, by place and kind.
 
     Null or empty text has none. Rows without a doc_id get the fixed forms alone; repeated rows are alike. Extra columns are
@@ -170,6 +175,6 @@ def spans(docs: DataFrame, score: float = LEAST_SCORE, support: int = LEAST_SUPP
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     """Every document's counts and spans."""
     out = spans(read(spark, sf_dir, "documents"))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))

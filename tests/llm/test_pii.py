@@ -15,3 +15,10 @@ def test_identifiers_in_a_row(spark):
     got = phones(spark, texts)
     assert got[9] == {"0171/551203", "0171/551204"} and got[10] == {"0171/551203"} and got[11] == {"0171/551204"}
     assert got[12] == {"020 7946 0958"}
+
+
+def test_long_chains_of_patterns(spark):
+    rows = [(f"c{k}", f"v{k}{i}", None) for k in range(6) for i in range(3)] + [(f"c{k + 1}", f"v{k}{i}", None) for k in range(5) for i in range(3)] * 2 + [("c0", f"s{i}", 3) for i in range(4)]
+    things = spark.createDataFrame(rows, "ctx string, value string, kind int")
+    docs = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(rows)], "doc_id long, text string")
+    assert {r["value"] for r in pii.discover(things, docs).collect()} == {v for _, v, _ in rows}
