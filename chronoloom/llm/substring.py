@@ -1,12 +1,12 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by prefix-partitioned windows, which replace suffix trees: slices of ``width`` words are compared whole.
 
 Suffixes start at words. Two windows of ``width`` equal words choose the same anchor, the least of the hashes of their
 ``gram``-word pieces, so suffixes are dealt out by the prefix at their anchor:
 
 1. Census: anchors (one in some 16 words) are counted by document. A prefix that only one document holds has a tree without
    inner nodes that matter, and goes.
-2. The suffixes of each remaining prefix are sorted with their texts; a sorted list with common prefix lengths is that suffix
-   tree, its inner nodes of depth ``width`` or more being the runs of neighbours that share ``width`` words. In each such run,
+2. The suffixes of each remaining prefix are sorted with their texts; common prefix
+   lengths aren't computed, as runs of neighbours that share ``width`` words are all that is asked for. In each such run,
    all but those of the least doc_id are repeats.
 3. A prefix that is too frequent for one group is made longer, up to all ``width`` words. Then it is the path of one node,
    whose least doc_id is an aggregate, summed up before rows move. No group has to fit in memory.
@@ -129,9 +129,9 @@ def _slices(span: bytes, n: int, width: int) -> list[bytes]:
 
 
 def repeats(group: list[tuple[int, int, int, bytes]], width: int) -> list[tuple[int, int, int]]:
-    """The suffix tree of one prefix: (doc_id, start, n, span) in, flagged stretches of window starts out.
+    """The repeats of one prefix: (doc_id, start, n, span) in, flagged stretches of window starts out.
 
-    The tree is its sorted leaves; those that share ``width`` words stand together and make one deep inner node.
+    No tree is built: leaves are sorted, and those that share ``width`` words stand together.
     """
     leaves = sorted((s, doc, start + j) for doc, start, n, span in group for j, s in enumerate(_slices(span, n, width)))
     flagged, node, least = [], None, None
