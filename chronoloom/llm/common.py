@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the inside of a regular expression's class.
 WS = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a narrow table (ids, hashes) that may be broadcast: at most some 64 MB. Larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a stashed table, as its values are held in memory, that may be broadcast. Larger ones are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -39,9 +41,23 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage: the cluster's spark.checkpoint.dir, else (in tests) a folder of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The shared folder for tables that cut lineage: the cluster's spark.checkpoint.dir.
+
+    Where that is unset, a local folder serves a local master (tests); on a cluster that's an error, as executors have disks of their own.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (path or "file:///tmp/checkpoints").rstrip("/")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -50,6 +66,17 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+_STASHED: dict = {}
+
+
+@atexit.register
+def _sweep() -> None:
+    """Removes what is left when Python ends; the JVM's own hook comes too late where it is killed."""
+    for fs, p in _STASHED.values():
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            fs.delete(p, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared scratch folder and reads it again: later work survives lost executors and repeats nothing.
 
@@ -58,6 +85,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     fs, p = _fs(spark, path)
+    _STASHED[path] = fs, p
     fs.deleteOnExit(p)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -67,27 +95,40 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Removes a stashed table that nothing reads any more."""
-    fs, p = _fs(df.sparkSession, df._stashed)
+    fs, p = _STASHED.pop(df._stashed)
     fs.delete(p, True)
 
 
-def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast of a narrow stashed table if it has at most so many rows; else Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a stashed table's values take at most so many bytes in memory, counted over all its rows."""
+    fixed = 16 + sum(8 for f in df.schema if f.dataType.typeName() not in ("string", "binary", "array"))
+    size = F.lit(fixed)
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) + 16
+        elif kind == "array":
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)) * 2 + 16
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
+
+
+def hinted(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast of a stashed table that small() finds small enough; else Spark shuffles it."""
+    return F.broadcast(df) if small(df, most) else df
 
 
-def attach(docs: DataFrame, side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs left join side on doc_id, which side has as ``side_id``, once each; side is a stashed table.
+def attach(docs: DataFrame, side: DataFrame, key: str = "side_id") -> DataFrame:
+    """docs left join side on doc_id, which side, a stashed table, has as ``key``, once each. Names of side are none of docs.
 
     If side's ids are few enough to broadcast, only the rows that have a partner are shuffled.
     """
-    ids, rest = side.select("side_id"), [f for f in side.schema if f.name != "side_id"]
-    on = docs["doc_id"] == F.col("side_id")
-    if ids.limit(rows + 1).count() > rows:
-        return docs.join(side, on, "left").drop("side_id")
+    ids, rest = side.select(key), [f for f in side.schema if f.name != key]
+    on = docs["doc_id"] == F.col(key)
+    if not small(ids):
+        return docs.join(side, on, "left").drop(key)
     hit = docs.join(F.broadcast(ids), on, "left_semi")
     miss = docs.join(F.broadcast(ids), on, "left_anti").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])
-    return hit.join(side, hit["doc_id"] == side["side_id"]).drop("side_id").unionByName(miss)
+    return hit.join(side, hit["doc_id"] == side[key]).drop(key).unionByName(miss)
 
 
 def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -95,12 +136,13 @@ def keep_least(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     Of repeated rows with that doc_id one stays. Rows without a doc_id stay, as nothing names them. Columns are those of docs.
     """
+    own = fresh("own_id", docs)
     found = stash(classes.where("doc_id is not null"), "classes")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")), "classes-gone")
-        return docs.join(hinted(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
-    stay = stash(found.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct(), "classes-stay")
-    one = docs.join(hinted(stay), docs["doc_id"] == F.col("stay_id"), "left_semi").dropDuplicates(["doc_id"])
+        gone = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)), "classes-gone")
+        return docs.join(hinted(gone), docs["doc_id"] == F.col(own), "left_anti")
+    stay = stash(found.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct(), "classes-stay")
+    one = docs.join(hinted(stay), docs["doc_id"] == F.col(own), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
 
 
@@ -119,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # With many edges, least neighbours are tables of their own: the join can then split the rows of a node with very many.
-        own = (lambda df: stash(df, "cc-own")) if state["n"] > BROADCAST_ROWS else (lambda df: df)
+        own = (lambda df: stash(df, "cc-own")) if state["n"] > 1_000_000 else (lambda df: df)
         least = own(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = own(large)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, hinted, let, pick, read, stash
+from .common import attach, fresh, hinted, let, pick, read, stash
 
 WINDOW = 8
 #: Of an item's windows, the share that must be found in one document.
@@ -101,7 +101,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float
         exact = not mine.where("not told").isEmpty()
         reading = lambda r: F.concat(windows(template(r), size), windows(template(r, True), size), *([windows(F.transform(r, plain), size)] if exact else []))  # noqa: B023, E731
         theirs = docs.select("doc_id", F.explode(let(raw_tokens(F.col("text")), reading)).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
-        met = theirs.join(hinted(mine, 200_000), "h").select("doc_id", "item_id", "at", "item_at", "told", "names")
+        met = theirs.join(hinted(mine), "h").select("doc_id", "item_id", "at", "item_at", "told", "names")
         found = met if found is None else found.unionByName(met)
     if found is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"), F.lit(False).alias("reparameterised")).limit(0)
@@ -120,7 +120,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float
     aligned = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.struct(F.col("item_at").alias("at"), "told", "names")).alias("own"))
     # Of each alignment, those at neighbouring offsets
     near = Window.partitionBy("doc_id", "item_id").orderBy("shift").rangeBetween(-REACH, REACH)
-    aligned = aligned.withColumn("near", F.collect_list(F.struct("shift", "own")).over(near)).join(hinted(counts, 200_000), "item_id")
+    aligned = aligned.withColumn("near", F.collect_list(F.struct("shift", "own")).over(near)).join(hinted(counts), "item_id")
     aligned = aligned.where(enough(F.flatten(F.transform("near", lambda x: x["own"]))))
     aligned = stash(aligned, "bench-aligned")
     holders = stash(aligned.groupBy(F.col("doc_id").alias("side_id")).agg(F.lit(True).alias("held")), "bench-holders")
@@ -133,7 +133,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float
     way = lambda runs, names: F.struct(F.lit(names).alias("names"), (runs if names else strict(runs)).alias("runs"))
     both = aligned.withColumn("way", F.explode(F.array(*[way(runs, names) for runs in (alone, nearest) for names in (False, True)])))
     both = both.withColumn("chain", F.col("way.runs")).withColumn("used", F.flatten(F.transform("chain", lambda x: x["own"]))).where(enough(F.col("used"))).drop("near", "own")
-    both = both.join(texts, "doc_id").join(hinted(items.select("item_id", "item", "t", "named"), 20_000), "item_id")
+    both = both.join(texts, "doc_id").join(hinted(items.select("item_id", "item", "t", "named")), "item_id")
     both = both.withColumn("t", F.when(F.col("way.names"), F.col("named")).otherwise(F.col("t"))).withColumn("doc_t", F.when(F.col("way.names"), F.col("doc_named")).otherwise(F.col("doc_t")))
     holds = lambda x, i: F.exists(x["own"], lambda w: (w["at"] <= i) & (i < w["at"] + F.col("size")))
     places = F.transform(F.sequence(F.lit(0), F.col("tokens") - 1), lambda i: F.struct(i.alias("i"), F.get(F.filter("chain", lambda x: holds(x, i)), 0)["shift"].alias("shift")))
@@ -148,8 +148,9 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of docs that contain no benchmark item, with the columns of docs. Rows without a doc_id stay."""
-    gone = stash(hits(docs, items, **how).select(F.col("doc_id").alias("gone_id")).distinct(), "bench-gone")
-    return docs.join(hinted(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    own = fresh("own_id", docs)
+    gone = stash(hits(docs, items, **how).select(F.col("doc_id").alias(own)).distinct(), "bench-gone")
+    return docs.join(hinted(gone), docs["doc_id"] == F.col(own), "left_anti")
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

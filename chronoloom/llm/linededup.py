@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach, hinted, let, pick, read, stash
+from .common import ascii_lower, attach, fresh, hinted, let, pick, read, stash
 
 
 def line_key(line: Column) -> Column:
@@ -47,13 +47,15 @@ def drop_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> D
     the largest doc_id that holds it. Null or empty text is one empty line. Rows without a doc_id aren't counted and
     keep all lines. Repeated rows are one document, and all lose the same. An empty table gives an empty one.
     """
-    lost = stash(frequent(docs, least_chars, least_docs).withColumnRenamed("doc_id", "side_id"), "lines-lost")
-    out = attach(docs.drop("kept_text", "n_lines", "n_dropped", "drop", "kept", "side_id"), lost)
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    key, gone, left = (fresh(x, docs) for x in ("side_id", "drop", "kept"))
+    lost = stash(frequent(docs, least_chars, least_docs).select(F.col("doc_id").alias(key), F.col("drop").alias(gone)), "lines-lost")
+    out = attach(docs, lost, key)
     every = lines(F.col("text"))
     mark = lambda x: _mark(x, least_chars)
-    kept = F.when(F.col("drop").isNull(), every).otherwise(F.filter(every, lambda x: F.coalesce(~F.array_contains(F.col("drop"), mark(x)), F.lit(True))))
-    out = out.withColumn("n_lines", F.size(every).cast("long")).withColumn("kept", kept)
-    return out.withColumn("n_dropped", F.col("n_lines") - F.size("kept")).withColumn("kept_text", F.array_join("kept", "\n")).drop("kept", "drop")
+    kept = F.when(F.col(gone).isNull(), every).otherwise(F.filter(every, lambda x: F.coalesce(~F.array_contains(F.col(gone), mark(x)), F.lit(True))))
+    out = out.withColumn("n_lines", F.size(every).cast("long")).withColumn(left, kept)
+    return out.withColumn("n_dropped", F.col("n_lines") - F.size(left)).withColumn("kept_text", F.array_join(left, "\n")).drop(left, gone)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, let, pick, read, words
+from .common import WS, fresh, let, pick, read, words
 
 BUCKETS = 10_000
 #: Trusted documents that the target is taken from: at most so many labelled rows, those of the smallest hash of doc_id.
@@ -70,17 +70,18 @@ def judged(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -
     Columns of these names are replaced. Null text counts as empty: no words, base_failed, score null, not kept.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    own = ["_w", "_h", "_t", "_c", "_p", "_l", "_f"]
-    out = docs.drop(*names, *own)
+    docs = docs.drop(*names)
+    w_, h_, t_, c_, p_, l_, f_ = (fresh(x, docs) for x in ("_w", "_h", "_t", "_c", "_p", "_l", "_f"))
+    out = docs
     text = F.coalesce("text", F.lit(""))
-    out = out.withColumn("_w", words(F.col("text"))).withColumn("_h", hashed(F.col("_w")))
-    w, h, n = F.col("_w"), F.col("_h"), F.size("_w")
+    out = out.withColumn(w_, words(F.col("text"))).withColumn(h_, hashed(F.col(w_)))
+    w, h, n = F.col(w_), F.col(h_), F.size(w_)
     packed = F.transform(F.slice(h, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.lit(~_POS)).bitwiseOR(i.cast("long")))
-    out = out.withColumn("_t", F.sort_array(packed))
-    t = F.col("_t")
+    out = out.withColumn(t_, F.sort_array(packed))
+    t = F.col(t_)
     same = lambda x, y: F.coalesce(F.shiftright(x.bitwiseXOR(y), 21) == 0, F.lit(False))
-    out = out.withColumn("_c", F.filter(t, lambda x, i: same(x, F.get(t, i + 1)) | same(x, F.get(t, i - 1))))
-    c = F.col("_c")
+    out = out.withColumn(c_, F.filter(t, lambda x, i: same(x, F.get(t, i + 1)) | same(x, F.get(t, i - 1))))
+    c = F.col(c_)
     at = lambda x: x.bitwiseAND(F.lit(_POS)).cast("int")
     word = lambda x, k: F.get(w, at(x) + k)
     clash = lambda x, y: same(x, y) & ((word(x, 0) != word(y, 0)) | (word(x, 1) != word(y, 1)) | (word(x, 2) != word(y, 2)))
@@ -88,26 +89,26 @@ def judged(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -
     exact = F.array_sort(F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))))
     alike = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
     slow = let(exact, lambda e: F.transform(F.filter(e, lambda x, i: alike(x, F.get(e, i + 1)) | alike(x, F.get(e, i - 1))), lambda x: x["i"]))
-    out = out.withColumn("_p", F.sort_array(F.when(doubt, slow).otherwise(F.transform(c, at))))
-    p = F.col("_p")
+    out = out.withColumn(p_, F.sort_array(F.when(doubt, slow).otherwise(F.transform(c, at))))
+    p = F.col(p_)
     # Windows were sorted as (43 bits of hash, place) in one long; neighbours of one hash were compared as words, and should two
     # different windows share the bits (or the text have over 2**21 words), windows are sorted as words instead.
     # A repeated window covers three words, fewer if the next repeated one starts among them.
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.withColumn("_l", F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
-    out = out.withColumn("_f", features(hashed(words(F.lower("text"))), len(ratios)))
+    out = out.withColumn(l_, F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
+    out = out.withColumn(f_, features(hashed(words(F.lower("text"))), len(ratios)))
     ratio = table(ratios)
-    score = F.aggregate("_f", F.lit(0.0), lambda a, b: a + F.get(ratio, b)) / F.nullif(F.size("_f"), F.lit(0))
+    score = F.aggregate(f_, F.lit(0.0), lambda a, b: a + F.get(ratio, b)) / F.nullif(F.size(f_), F.lit(0))
     found = F.struct(
         n.cast("long").alias("n_words"),
         F.char_length(F.regexp_replace(text, f"[{WS}]+", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        (F.size(l_) - F.size(F.array_distinct(l_))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         score.alias("score"),
     )
     # A generator's output: a filter on the verdict isn't pushed below it, where all of the above would be worked out again.
-    out = out.select(*docs.drop(*names, *own).columns, F.inline(F.array(found)))
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(found)))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
 

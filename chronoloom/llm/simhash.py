@@ -22,16 +22,12 @@ from pyspark.sql import functions as F
 from .common import components, hinted, keep_least, pick, read, stash
 
 BITS = 64
+#: Fingerprints whose index entries one task makes.
+ENTRIES_PER_TASK = 250_000
 
 
-def fingerprint(text: bytes, k: int = 3) -> int:
-    """SimHash of a text's k-word shingles, repeats included; a shorter text is one shingle, one without words gives 0."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - k + 1)
-    shingles = map(b" ".join, zip(*[words[i:] for i in range(k)], strict=False)) if len(words) >= k else iter([b" ".join(words)])
-    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(42))
+def voted(hashes, n: int) -> int:
+    """The fingerprint of n hashes, an iterator: a bit is set if over half the hashes have it."""
     votes, left = np.zeros(BITS, np.int64), n
     while left > 0:  # in pieces: a very long text needs no more memory
         h = np.fromiter(hashes, "<u8", min(left, 1 << 16))
@@ -40,6 +36,15 @@ def fingerprint(text: bytes, k: int = 3) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, k: int = 3) -> int:
+    """SimHash of a text's k-word shingles, repeats included; a shorter text is one shingle, one without words gives 0."""
+    words = text.lower().split()
+    if not words:
+        return 0
+    shingles = map(b" ".join, zip(*[words[i:] for i in range(k)], strict=False)) if len(words) >= k else iter([b" ".join(words)])
+    return voted(map(xxhash.xxh64_intdigest, shingles, repeat(42)), max(1, len(words) - k + 1))
+
+
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fp): fp as a signed long. Null text: as empty."""
 
@@ -65,7 +70,9 @@ def links(fps: DataFrame, distance: int = 2, hot: int = 32) -> DataFrame:
     if not 0 <= distance <= 2:
         raise ValueError("distance: 0 to 2 bits")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    index = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
+    # Fingerprints fill few files, but their 64 entries each are the work: dealt out anew, so that every core has a part.
+    parts = max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() // ENTRIES_PER_TASK + 1)
+    index = fps.repartition(parts).select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
     met = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     met = stash(met.where((F.col("n") > 2) | (F.col("n") == 2) & near("a", "b")), "simhash-met")
     out = met.where("n = 2").select("a", "b")
@@ -115,9 +122,17 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without the near duplicates; which rows stay: see common.keep_least()."""
-    return keep_least(docs, near_duplicates(docs, **how))
+def keep_first(docs: DataFrame, similarity: float | None = None, **how) -> DataFrame:
+    """The rows of docs without the near duplicates; which rows stay: see common.keep_least().
+
+    Texts are near duplicates by their fingerprints' bits, or, with ``similarity``, by their distinct shingles: then the index of
+    deletion variants names candidates, min-hash bands name those that differ in more bits, and the sets decide (nearcopies.py).
+    """
+    if similarity is None:
+        return keep_least(docs, near_duplicates(docs, **how))
+    from .nearcopies import near_copies
+
+    return keep_least(docs, near_copies(docs, similarity=similarity, **how))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

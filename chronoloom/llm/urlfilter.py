@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pick, read
+from .common import ascii_lower, fresh, pick, read
 
 BUCKETS = 1 << 13
 GRAMS = (3, 4, 5)
@@ -85,7 +85,8 @@ def judge(pages: DataFrame, rules=RULES, weights: list[float] | None = None) ->
     A null or broken url has empty parts, is fit by no rule and is scored like any other. An empty table gives an empty one.
     """
     weights = train(list(LABELLED)) if weights is None else weights
-    pages = pages.drop("host", "path", "rule", "score", "verdict", "_g")
+    pages = pages.drop("host", "path", "rule", "score", "verdict")
+    own = fresh("_g", pages)
     host, path = parts(F.col("url"))
     out = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -93,9 +94,9 @@ def judge(pages: DataFrame, rules=RULES, weights: list[float] | None = None) ->
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
     table = F.from_json(F.lit(json.dumps(weights[:-1])), "array<double>")
-    out = out.withColumn("_g", F.concat(_grams(F.concat(F.lit("^"), F.col("host"), F.lit("$"))), _grams(F.concat(F.lit("~"), F.col("path")))))
-    total = F.aggregate("_g", F.lit(0.0), lambda a, g: a + F.get(table, F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
-    out = out.withColumn("score", 1 / (1 + F.exp(-(total / F.greatest(F.size("_g"), F.lit(1)) + weights[-1])))).drop("_g")
+    out = out.withColumn(own, F.concat(_grams(F.concat(F.lit("^"), F.col("host"), F.lit("$"))), _grams(F.concat(F.lit("~"), F.col("path")))))
+    total = F.aggregate(own, F.lit(0.0), lambda a, g: a + F.get(table, F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
+    out = out.withColumn("score", 1 / (1 + F.exp(-(total / F.greatest(F.size(own), F.lit(1)) + weights[-1])))).drop(own)
     method = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, method))
 
