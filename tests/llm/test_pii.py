@@ -1,5 +1,8 @@
 """Identifiers in a row, at a text's start and in several tokens."""
 
+import random
+import time
+
 from chronoloom.llm import pii
 
 SEEDS = [f"so tel: +1 555 010 99{i:02d} and on" for i in range(8)]
@@ -22,3 +25,75 @@ def test_long_chains_of_patterns(spark):
     things = spark.createDataFrame(rows, "ctx string, value string, kind int")
     docs = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(rows)], "doc_id long, text string")
     assert {r["value"] for r in pii.discover(things, docs).collect()} == {v for _, v, _ in rows}
+
+
+def test_secrets_and_their_contexts(spark):
+    """Hexadecimal strings are seeds; what follows the same words is found though no form fits it."""
+    texts = [f'so it was token = "{"0123456789abcdef"[i:] * 3}" and on' for i in range(4)]
+    texts += ['it has token = "Zx9-kk_41pQ77" in it', "f" * 40, "1" * 40, 'a == "b12" and = "c33"']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["base"], [(texts[r["doc_id"]][s["at"] : s["to"]], pii.KINDS[s["kind"]]) for s in r["all"]]) for r in pii.spans(docs).collect()}
+    assert all(got[i] == ([], [("0123456789abcdef"[i:] * 3, "secret")]) for i in range(4))
+    assert got[4] == ([], [("Zx9-kk_41pQ77", "secret")]) and not any(got[i][1] for i in (5, 6, 7))
+
+
+def plain_discovery(places, totals, score=0.5, support=3):
+    """Bootstrapping over (ctx, value, kind, mate) with plain loops."""
+    known = {}
+    for _, value, kind, _ in sorted(places, key=lambda p: -1 if p[2] is None else -p[2]):
+        if kind is not None:
+            known[value] = kind
+    while True:
+        hits, different = {}, {}
+        for ctx, value, kind, mate in places:
+            k = kind if kind is not None else known.get(mate, known.get(value))
+            if k is not None:
+                hits[ctx, k] = hits.get((ctx, k), 0) + 1
+                different.setdefault((ctx, k), set()).add(mate if mate in known else value)
+        patterns = {c: hits[c] / totals[c[0]] for c in hits if len(different[c]) >= support and hits[c] / totals[c[0]] >= score}
+        doubts = {}
+        for ctx, value, kind, mate in {p for p in places if p[2] is None}:
+            for (c, k), s in patterns.items():
+                if c == ctx:
+                    for v in {value, mate} - {None}:
+                        doubts.setdefault((v, k), {})[c] = max(1e-9, 1 - s)
+        new = {}
+        for (v, k), by in doubts.items():
+            s = 1.0
+            for d in by.values():
+                s *= d
+            if 1 - s >= score and v not in known:
+                new[v] = max(new.get(v, (-1.0, 0)), (1 - s, -k))
+        if not new:
+            return known
+        known |= {v: -k for v, (_, k) in new.items()}
+
+
+def test_graph_scores_against_loops(spark):
+    rng = random.Random(5)
+    for _ in range(2):
+        places = []
+        for _ in range(400):
+            v = rng.randrange(60)
+            mate = f"v{v} w{v}" if v % 10 == 3 else None
+            ctx = v % 3 * 4 + rng.randrange(2) if rng.random() < 0.8 else rng.randrange(12)
+            places.append((f"c{ctx}", f"v{v}", v % 3 if v < 46 and v % 10 != 3 else None, mate))
+        others = [f"c{rng.randrange(12)} said nothing" for _ in range(40)]
+        totals = {}
+        for c in [p[0] for p in places] + [x.split()[0] for x in others]:
+            totals[c] = totals.get(c, 0) + 1
+        things = spark.createDataFrame(places, "ctx string, value string, kind int, mate string")
+        docs = spark.createDataFrame([(i, c) for i, c in enumerate([p[0] for p in places] + others)], "doc_id long, text string")
+        want = plain_discovery(places, totals)
+        assert {r["value"]: r["kind"] for r in pii.discover(things, docs).collect()} == want and len(want) > 42
+
+
+def test_many_tokens_in_one_text(spark):
+    text = " ".join(f"x{i}@b{i}.cd a{i} 7" for i in range(11_000))
+    docs = spark.createDataFrame([(1, text, "x", "y")], "doc_id long, text string, value string, ctx string")
+    pii.spans(docs.limit(0)).count()
+    began = time.monotonic()
+    row = pii.spans(docs).collect()[0]
+    assert len(row["base"]) == 11_000 and time.monotonic() - began < 60
+    s = row["base"][-1]
+    assert text[s["at"] : s["to"]] == "x10999@b10999.cd"
