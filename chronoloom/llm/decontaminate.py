@@ -10,6 +10,8 @@ names are found, and texts that merely have numbers in the same places are not.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ COVERED = 0.8
 REACH = 8
 #: A window with fewer tokens that are no placeholders (or than its tokens, if fewer) is indexed by its tokens as they are.
 LITERALS = 4
+#: Bits of the constant table of the windows' first pairs, at most.
+MOST_BITS = 1 << 24
 #: Units that become a placeholder. Fixed values.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers "
@@ -36,31 +40,61 @@ NUMBER, UNIT, NAME, _MARK, _FIRST = "<n>", "<u>", "<p>", "\x01", "\x02"
 
 def raw_tokens(text: Column) -> Column:
     """Lower-cased tokens of letters and numbers (with their decimal marks); capitalised words keep a mark: one amid a sentence, another elsewhere."""
-    t = F.translate(F.coalesce(text, F.lit("")), _MARK + _FIRST, "  ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", _MARK)
-    t = F.lower(F.regexp_replace(t, rf"(?<![\p{{L}}\p{{M}}\p{{N}}{_MARK}])(?=\p{{Lu}})", _FIRST))
-    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}.,{_MARK}{_FIRST}]+|(?<!\p{{N}})[.,]|[.,](?!\p{{N}})", " ")
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(F.contains(t, F.lit(_MARK)) | F.contains(t, F.lit(_FIRST)), F.translate(t, _MARK + _FIRST, "  ")).otherwise(t)
+    # What is rare is looked for first, and single spaces, which part most words, stay as they are.
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;] )", _MARK)
+    t = F.lower(F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}{_MARK}])", _FIRST))
+    t = F.regexp_replace(t, rf"[^ \p{{L}}\p{{M}}\p{{N}}.,{_MARK}{_FIRST}]+|[.,](?:(?<!\p{{N}}[.,])|(?!\p{{N}}))", " ")
     return F.filter(F.split(t, " "), lambda x: x != "")
 
 
 def plain(token: Column) -> Column:
     """A token without its mark."""
-    return F.ltrim(token, F.lit(_MARK + _FIRST))
+    return F.when(token < "\x03", F.substring(token, 2, 1 << 30)).otherwise(token)
+
+
+def _kind(token: Column, names: bool) -> Column:
+    """A token, or the placeholder for its type. Marks sort before all that a token can begin with."""
+    word = token if names else plain(token)
+    return F.when(token < ("\x03" if names else _FIRST), NAME).when((token >= "0") & (token < ":"), NUMBER).when(word.isin(UNITS), UNIT).otherwise(word)
 
 
 def template(tokens: Column, names: bool = False) -> Column:
     """Each token, or the placeholder for its type; with names, words that begin a sentence are read as names too."""
-    first = lambda x: F.substring(x, 1, 1)
-    named = lambda x: first(x).isin(_MARK, _FIRST) if names else first(x) == _MARK
-    word = lambda x: x if names else plain(x)
-    kind = lambda x: F.when(named(x), NAME).when(first(x).between("0", "9"), NUMBER).when(word(x).isin(UNITS), UNIT).otherwise(word(x))
-    return F.transform(tokens, kind)
+    return F.transform(tokens, lambda x: _kind(x, names))
+
+
+def windows(tokens: Column, width: int, kind=lambda x: x, begins=None) -> Column:
+    """(h, at, pair): hash and place of each window of tokens, or of what ``kind`` makes of them, and the hash of its first two.
+
+    begins: a predicate on pairs; windows of which it doesn't hold are left out before they are hashed.
+    """
 
+    def whole(h: Column) -> Column:
+        pair = lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)) if width > 1 else F.get(h, i)
+        first = lambda x, i: F.xxhash64(x, F.get(h, i + 1)) if width > 1 else x
+        fits = lambda x, i: (begins(first(x, i)) if begins else F.lit(True)) & (i <= F.size(h) - width)
+        places = F.array_compact(F.transform(h, lambda x, i: F.when(fits(x, i), i)))
+        return F.transform(places, lambda i: F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(width)]).alias("h"), i.alias("at"), pair(i).alias("pair")))
 
-def windows(tokens: Column, width: int) -> Column:
-    """(h, at): hash and place of each window."""
-    whole = lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - width + 1, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, *[F.get(h, i + k) for k in range(1, width)]).alias("h"), i.alias("at")))
-    return let(F.transform(tokens, lambda x: F.xxhash64(x)), whole)
+    return let(F.transform(tokens, lambda x: F.xxhash64(kind(x))), whole)
+
+
+def _beginnings(mine: DataFrame):
+    """A predicate that holds for all first pairs of the items' windows, and for few others: a constant table of bits.
+
+    With more than a million windows there is none, and all windows of documents are joined.
+    """
+    n = mine.count()
+    if n > MOST_BITS >> 4:
+        return None
+    bits = 1 << max(16, (n * 16).bit_length())
+    table = [0] * (bits >> 6)
+    for r in mine.select(F.pmod("pair", F.lit(bits)).alias("b")).distinct().collect():  # a million numbers at most
+        table[r["b"] >> 6] |= 1 << (r["b"] & 63)
+    held = F.from_json(F.lit(json.dumps([w - (1 << 64) if w >> 63 else w for w in table])), "array<bigint>")
+    return lambda p: F.getbit(F.get(held, F.shiftright(p.bitwiseAND(F.lit(bits - 1)), 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def literal(tokens: Column) -> Column:
@@ -85,26 +119,28 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float
     items = stash(items.withColumn("size", F.least(F.size("t"), F.lit(width))), "bench-items")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``width`` numbers
     docs = pick(docs, "doc_id", "text").where("doc_id is not null")
-    found = index = None
+    if not sizes:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"), F.lit(False).alias("reparameterised")).limit(0)
+    mine = None
     for size in sizes:
         own = items.where(F.col("size") == size)
-        part = lambda c: F.slice(c, F.col("x.at") + 1, F.lit(size))
+        part = lambda c: F.slice(c, F.col("x.at") + 1, F.lit(size))  # noqa: B023, E731
         readings = [own.select("item_id", F.col(c).alias("r"), F.explode(windows(F.col(c), size)).alias("x")).withColumn("told", literal(part("r")) >= min(size, literals)) for c in ("t", "named")]
-        mine = [r.where("told").select("item_id", F.col("x.h").alias("h"), F.col("x.at").alias("item_at"), "told", F.lit(k == 1).alias("names")) for k, r in enumerate(readings)]
+        both = [r.where("told").select("item_id", "x.h", "x.pair", F.col("x.at").alias("item_at"), "told", F.lit(k == 1).alias("names")) for k, r in enumerate(readings)]
         bare = F.explode(windows(F.transform("item", plain), size)).alias("x")
         # by their tokens: windows that neither reading tells
         rest = readings[0].where("not told").select("item_id", F.col("x.at").alias("item_at"))
-        rest = own.select("item_id", bare).select("item_id", F.col("x.h").alias("h"), F.col("x.at").alias("item_at")).join(rest, ["item_id", "item_at"])
-        mine = mine[0].unionByName(mine[1]).unionByName(rest.select("item_id", "h", "item_at", F.lit(False).alias("told"), F.lit(False).alias("names")))
-        mine = stash(mine.groupBy("item_id", "h", "item_at", "told").agg(F.min("names").alias("names")), "bench-windows")
-        index = mine.select("item_id", "item_at", "told") if index is None else index.unionByName(mine.select("item_id", "item_at", "told"))
-        exact = not mine.where("not told").isEmpty()
-        reading = lambda r: F.concat(windows(template(r), size), windows(template(r, True), size), *([windows(F.transform(r, plain), size)] if exact else []))  # noqa: B023, E731
-        theirs = docs.select("doc_id", F.explode(let(raw_tokens(F.col("text")), reading)).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
-        met = theirs.join(hinted(mine), "h").select("doc_id", "item_id", "at", "item_at", "told", "names")
-        found = met if found is None else found.unionByName(met)
-    if found is None:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"), F.lit(False).alias("reparameterised")).limit(0)
+        rest = own.select("item_id", bare).select("item_id", "x.h", "x.pair", F.col("x.at").alias("item_at")).join(rest, ["item_id", "item_at"])
+        both = both[0].unionByName(both[1]).unionByName(rest.select("item_id", "h", "pair", "item_at", F.lit(False).alias("told"), F.lit(False).alias("names"))).withColumn("size", F.lit(size))
+        mine = both if mine is None else mine.unionByName(both)
+    mine = stash(mine.groupBy("item_id", "h", "pair", "item_at", "told", "size").agg(F.min("names").alias("names")), "bench-windows")
+    index = mine.select("item_id", "item_at", "told")
+    kinds = [lambda x: _kind(x, False), lambda x: _kind(x, True), *([plain] if not mine.where("not told").isEmpty() else [])]
+    # Texts are tokenised once for all sizes and readings.
+    begins = _beginnings(mine)
+    theirs = docs.select("doc_id", F.explode(let(raw_tokens(F.col("text")), lambda r: F.concat(*[windows(r, size, k, begins) for size in sizes for k in kinds]))).alias("x"))
+    theirs = theirs.select("doc_id", "x.h", "x.pair", "x.at")
+    found = theirs.join(hinted(mine), ["h", "pair"]).select("doc_id", "item_id", "at", "item_at", "told", "names")
     told = index.where("told").groupBy("item_id").agg(F.array_sort(F.collect_set("item_at")).alias("told_at"))
     counts = items.join(told, "item_id", "left").select("item_id", "size", F.size("t").alias("tokens"), (F.size("t") - F.col("size") + 1).alias("windows"), F.coalesce("told_at", F.array().cast("array<int>")).alias("told_at"))
     counts = counts.withColumn("told_tokens", _covered(F.col("told_at"), F.col("size")))
