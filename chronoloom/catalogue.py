@@ -18,7 +18,7 @@ ORACLES: dict = {}
 IDS, ORDER = ["user_id"], ["ts", "event_id"]
 W = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 EV = "e AS (SELECT event_id, ts, user_id, event_type, value, CASE WHEN event_type <> 'error' THEN value END AS v FROM events)"
-DAILY = "d AS (SELECT o_orderpriority AS id, o_orderdate AS day, sum(o_totalprice) AS total FROM orders WHERE o_custkey % 40 = 3 GROUP BY 1, 2)"
+DAILY = "d AS (SELECT o_orderpriority AS id, o_orderdate AS day, sum(o_totalprice) AS total FROM orders GROUP BY 1, 2)"
 
 
 def query(sql: str | None = None):
@@ -43,8 +43,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "orders").where("o_custkey % 40 = 3")
-    return rows.groupBy(F.col("o_orderpriority").alias("id"), F.col("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("total"))
+    return read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("id"), F.col("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("total"))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -496,9 +495,9 @@ def average_precision(spark, sf):
     return rounded(metrics.average_precision(scored(spark, sf), "p", "quality"))
 
 
-@query("""WITH x AS (SELECT label, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE)] AS z, label % 3 AS t FROM embeddings), l AS (SELECT z[t + 1] - ln(exp(z[1]) + exp(z[2]) + exp(z[3])) AS lp FROM x) SELECT round(avg(-pow(1 - exp(lp), 2) * lp), 6) AS focal FROM l""")
+@query("""WITH x AS (SELECT list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS z, label AS t FROM embeddings), l AS (SELECT z[t + 1] - ln(list_sum(list_transform(z, lambda v: exp(v)))) AS lp FROM x) SELECT round(avg(-pow(1 - exp(lp), 2) * lp), 6) AS focal FROM l""")
 def focal_loss(spark, sf):
-    z = read(spark, sf, "embeddings").select((F.col("label") % 3).alias("t"), F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("z"))
+    z = read(spark, sf, "embeddings").select(F.col("label").alias("t"), F.transform("embedding", lambda v: v.cast("double")).alias("z"))
     return rounded(z.agg(metrics.focal("z", "t").alias("focal")))
 
 
@@ -533,7 +532,7 @@ def minimal_features(spark, sf):
 
 
 @query("""WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events), b AS (SELECT event_id, CASE WHEN value = hi THEN 20 ELSE CAST(floor((value - lo) / (hi - lo) * 20) AS INT) + 1 END AS b FROM events, e), c AS (SELECT b, count(*) AS n FROM b GROUP BY 1),
-s AS (SELECT c.b, any_value(c.n) AS n, sum(o.n * exp(-(o.b - c.b) * (o.b - c.b) / 2.0)) AS s FROM c JOIN c o ON abs(o.b - c.b) <= 2 GROUP BY 1), m AS (SELECT sum(n / s) / sum(n) AS m FROM s)
+s AS (SELECT c.b, any_value(c.n) AS n, sum(o.n * CASE abs(o.b - c.b) WHEN 0 THEN 1 WHEN 1 THEN exp(-0.5) + exp(-8) ELSE exp(-2) + exp(-4.5) END) AS s FROM c JOIN c o ON abs(o.b - c.b) <= 2 GROUP BY 1), m AS (SELECT sum(n / s) / sum(n) AS m FROM s)
 SELECT event_id, round(1 / s / m, 6) AS lds_weight FROM b JOIN s USING (b), m""")
 def lds_weights(spark, sf):
     out = metrics.label_distribution_weights(read(spark, sf, "events"), "value", 20, kernel=metrics.kernel_window("gaussian", 5, 1.0))
@@ -547,11 +546,11 @@ def top_losses(spark, sf):
 
 # Arrays
 
-EMB = "SELECT vec_id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings"
+EMB = "SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings"
 
 
 def vectors(spark, sf):
-    return read(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double")).alias("x"))
+    return read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
 def _array(name, expr, sql):
@@ -559,14 +558,14 @@ def _array(name, expr, sql):
     ORACLES[name] = f"WITH v AS ({EMB}) SELECT vec_id, {sql} FROM v"
 
 
-_array("array_resample", lambda x: F.round(arrays.total(arrays.resample(x, 24)), 6).alias("s"), "round(list_sum(list_transform(range(24), lambda i: x[CAST(floor(i * 16 / 24) AS INT) + 1])), 6) AS s")
-_array("blur_smooth", lambda x: F.round(F.get(arrays.blur(x), 0) + F.get(arrays.smooth(x), 15) + F.get(arrays.blur(x), 7), 6).alias("s"), "round((x[1] + x[2]) / 2 + (x[15] + 5 * x[16] + x[16]) / 7 + (x[7] + x[9]) / 2, 6) AS s")
-_array("array_padding", lambda x: F.round(arrays.total(arrays.pad(x, 20, 1.0)) + arrays.total(arrays.pad(x, 5)), 6).alias("s"), "round(list_sum(x) + 4 + list_sum(x[12:16]), 6) AS s")
-_array("array_roll", lambda x: F.round(F.get(arrays.roll(x, 3), 0) * 2 + F.get(arrays.roll(x, -2), 15), 6).alias("s"), "round(x[14] * 2 + x[2], 6) AS s")
-_array("patches", lambda x: F.round(arrays.total(arrays.patches(x, 6, 4, reduce="max")), 6).alias("s"), "round(greatest(0, list_max(x[1:4])) + list_max(x[3:8]) + list_max(x[7:12]) + list_max(x[11:16]), 6) AS s")
+_array("array_resample", lambda x: F.round(arrays.total(arrays.resample(x, 96)), 6).alias("s"), "round(list_sum(list_transform(range(96), lambda i: x[CAST(floor(i * len(x) / 96) AS INT) + 1])), 6) AS s")
+_array("blur_smooth", lambda x: F.round(F.get(arrays.blur(x), 0) + F.get(arrays.smooth(x), 63) + F.get(arrays.blur(x), 7), 6).alias("s"), "round((x[1] + x[2]) / 2 + (x[63] + 5 * x[64] + x[64]) / 7 + (x[7] + x[9]) / 2, 6) AS s")
+_array("array_padding", lambda x: F.round(arrays.total(arrays.pad(x, 68, 1.0)) + arrays.total(arrays.pad(x, 5)), 6).alias("s"), "round(list_sum(x) + 4 + list_sum(x[60:64]), 6) AS s")
+_array("array_roll", lambda x: F.round(F.get(arrays.roll(x, 3), 0) * 2 + F.get(arrays.roll(x, -2), 63), 6).alias("s"), "round(x[62] * 2 + x[2], 6) AS s")
+_array("patches", lambda x: F.round(arrays.total(arrays.patches(x, 6, 4, reduce="max")), 6).alias("s"), "round(greatest(0, list_max(x[1:4])) + list_sum(list_transform(range(15), lambda i: list_max(x[4 * i + 3:4 * i + 8]))), 6) AS s")
 _array("gramian_field", lambda x: F.round(arrays.total(F.flatten(arrays.gramian(arrays.rescaled(x)))), 4).alias("s"), "round(list_sum(list_transform(list_transform(x, lambda e: -1 + 2 * (e - list_min(x)) / (list_max(x) - list_min(x))), lambda e: e)) ** 2 - list_sum(list_transform(list_transform(x, lambda e: -1 + 2 * (e - list_min(x)) / (list_max(x) - list_min(x))), lambda e: sqrt(greatest(0, 1 - e * e)))) ** 2, 4) AS s")
 _array("recurrence_plot", lambda x: F.round(arrays.total(F.flatten(arrays.recurrence(x))), 6).alias("s"), "round(list_sum(list_transform(x, lambda a: list_sum(list_transform(x, lambda b: abs(a - b))))), 6) AS s")
-_array("explode_arrays", lambda x: F.inline(F.transform(x, lambda v, i: F.struct(i.cast("long").alias("step"), v.alias("v")))), "unnest(range(16)) AS step, unnest(x) AS v")
+_array("explode_arrays", lambda x: F.inline(F.transform(x, lambda v, i: F.struct(i.cast("long").alias("step"), v.alias("v")))), "unnest(range(len(x))) AS step, unnest(x) AS v")
 
 
 @query(f"""WITH v AS ({EMB}) SELECT l.vec_id, l.x[1] AS a, r.x[2] AS b FROM v l JOIN v r USING (vec_id)""")
@@ -607,4 +606,4 @@ def rand_augment(spark, sf):
 def subsequence_mask(spark, sf):
     from .functions import augment
 
-    return vectors(spark, sf).select("vec_id", augment.masked("x", augment.subsequence_mask(16, F.col("vec_id"), seed=3)).alias("x"))
+    return vectors(spark, sf).select("vec_id", augment.masked("x", augment.subsequence_mask(64, F.col("vec_id"), seed=3)).alias("x"))

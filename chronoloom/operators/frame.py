@@ -68,19 +68,65 @@ def sliceable(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, NumericType | DateType | TimestampType | TimestampNTZType)
 
 
+def _key(df: DataFrame, column: str) -> Column:
+    """A column to slice by, as a double."""
+    if isinstance(df.schema[column].dataType, NumericType):
+        return F.col(column).cast("double")
+    return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+
+
+def _sliced(df: DataFrame, column: str, source: DataFrame, slices: int) -> DataFrame:
+    """Adds _slice, growing with the column; the bounds are approximate quantiles of the source's. Nulls are in slice -1."""
+    key = _key(df, column)
+    bounds = source.select(_key(source, column).alias("_k")).where("_k is not null").approxQuantile("_k", [i / slices for i in range(1, slices)], 0.01)
+    bounds = sorted(set(bounds))
+    slot = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
+    return df.withColumn("_slice", F.coalesce(F.when(key.isNotNull(), slot), F.lit(-1)))
+
+
+def running(df: DataFrame, order: str, sums: dict[str, str], by: str | None = None, source: DataFrame | None = None, slices: int = 256) -> DataFrame:
+    """Adds running totals {name: column} in the order of a column of distinct values, nulls first, not in one task.
+
+    Values are dealt out to slices, summed within these, and the slices before are added. ``source``, a table that has the order's
+    column and is cheaper to read, gives the bounds. There is a row for each slice and value of ``by``, which must have few.
+    """
+    by_ = listed(by)
+    if not sliceable(df, order):
+        w = before(over(by_, order))
+        return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
+    df = _sliced(df, order, df if source is None else source, slices)
+    parts = df.groupBy(*by_, "_slice").agg(*[F.sum(c).alias(f"_all_{name}") for name, c in sums.items()])
+    w = before(over(by_, "_slice"))
+    parts = parts.select(*by_, "_slice", *[(F.sum(f"_all_{name}").over(w) - F.col(f"_all_{name}")).alias(f"_off_{name}") for name in sums])
+    out = df.join(F.broadcast(parts), [*by_, "_slice"])
+    own = before(over([*by_, "_slice"], order))
+    return out.withColumns({name: F.sum(c).over(own) + F.col(f"_off_{name}") for name, c in sums.items()}).drop("_slice", *[f"_off_{name}" for name in sums])
+
+
+def quantiles(df: DataFrame, columns: Names, shares: Iterable[float]) -> DataFrame:
+    """(variable, q): exact quantiles of each column, linear between ranks, as an array. Columns without values have no row.
+
+    Values are counted, the distinct ones ranked in slices, and the ranks asked for picked: no task holds a column's values.
+    """
+    columns, shares = listed(columns), list(shares)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
+    runs = long.groupBy("variable", "v").agg(F.count("*").alias("m"))
+    ranked = running(runs, "v", {"upto": "m"}, "variable", long)
+    total = runs.groupBy("variable").agg(F.sum("m").alias("n"))  # a row for each column
+    ranked = ranked.join(F.broadcast(total), "variable")
+    at = lambda r: F.max(F.when((F.col("upto") - F.col("m") <= r) & (r < F.col("upto")), F.col("v")))
+    place = [(F.col("n") - 1) * F.lit(float(p)) for p in shares]
+    ends = [x for i, p in enumerate(place) for x in (at(F.floor(p)).alias(f"lo{i}"), at(F.ceil(p)).alias(f"hi{i}"))]
+    found = ranked.groupBy("variable", "n").agg(*ends)
+    value = lambda i, p: F.when(F.floor(p) == F.ceil(p), F.col(f"lo{i}")).otherwise((F.ceil(p) - p) * F.col(f"lo{i}") + (p - F.floor(p)) * F.col(f"hi{i}"))
+    return found.select("variable", F.array(*[value(i, p) for i, p in enumerate(place)]).alias("q"))
+
+
 def number_series(df: DataFrame, order: Names, name: str = "_rn", count: str | None = None, slices: int = 256) -> DataFrame:
     """Numbers the rows of one series in parallel: rows are dealt out to slices of the first order column, whose bounds are
     approximate quantiles, numbered within these, and the slices before are added. Nulls are in the first slice, as in a sort."""
     order = listed(order)
-    kind, key = df.schema[order[0]].dataType, F.col(order[0])
-    if isinstance(kind, NumericType):
-        key = key.cast("double")
-    else:
-        key = F.unix_micros(key.cast("timestamp")).cast("double")
-    bounds = df.select(key.alias("_k")).where("_k is not null").approxQuantile("_k", [i / slices for i in range(1, slices)], 0.01)
-    bounds = sorted(set(bounds))
-    slot = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
-    df = df.withColumn("_slice", F.coalesce(F.when(key.isNotNull(), slot), F.lit(-1)))
+    df = _sliced(df, order[0], df, slices)
     counts = df.groupBy(F.col("_slice").alias("_s")).agg(F.count("*").alias("_m"))
     # a row for each slice: this much passes through one task
     w = Window.orderBy("_s")

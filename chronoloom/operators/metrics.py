@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frame import Names, continuous_columns, listed
+from .frame import Names, continuous_columns, listed, quantiles, running
 
 
 def _c(x: str | Column) -> Column:
@@ -112,12 +112,12 @@ def threshold_at_specificity(df: DataFrame, score: str, actual: str, specificity
     """(threshold): the k-th largest score among negatives, k the whole part of their number times 1 - specificity, 1 at least."""
     neg = df.where(F.col(actual) == 0)
     k = F.greatest(F.lit(1), F.floor(F.col("n") * (1 - specificity) + 1e-9))
-    # distinct scores with counts, not rows, are ordered
+    # distinct scores with counts, not rows, are ordered, and these in slices
     runs = neg.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("m"))
-    w = Window.orderBy(F.col("threshold").desc())
-    runs = runs.withColumn("upto", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = running(runs, "threshold", {"below": "m"}, source=neg.select(F.col(score).alias("threshold")))
     total = neg.agg(F.count("*").alias("n"))
-    return runs.join(F.broadcast(total)).where((F.col("upto") >= k) & (F.col("upto") - F.col("m") < k)).select("threshold")
+    runs = runs.join(F.broadcast(total)).withColumn("upto", F.col("n") - F.col("below") + F.col("m"))
+    return runs.where((F.col("upto") >= k) & (F.col("upto") - F.col("m") < k)).select("threshold")
 
 
 def recall_at_specificity(df: DataFrame, score: str, actual: str, specificity: float = 0.95) -> DataFrame:
@@ -196,8 +196,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         runs = df.groupBy(F.col(c).alias(f"_{c}")).agg(F.count("*").alias("m"))
-        upto = F.sum("m").over(Window.orderBy(f"_{c}").rowsBetween(Window.unboundedPreceding, 0))
-        return runs.select(f"_{c}", (upto - (F.col("m") - 1) / 2).alias(f"{c}_rank"))
+        runs = running(runs, f"_{c}", {"upto": "m"}, source=df.select(F.col(c).alias(f"_{c}")))
+        return runs.select(f"_{c}", (F.col("upto") - (F.col("m") - 1) / 2).alias(f"{c}_rank"))
 
     both = df.join(ranks(a), F.col(a) == F.col(f"_{a}")).join(ranks(b), F.col(b) == F.col(f"_{b}"))
     return both.agg(F.corr(f"{a}_rank", f"{b}_rank").alias("rho"))
@@ -233,10 +233,10 @@ def welch(df: DataFrame, value: str, group: str, a, b) -> dict[str, float]:
 
 def kolmogorov_smirnov(df: DataFrame, value: str, group: str, a, b) -> dict[str, float]:
     """The two-sample statistic and its asymptotic p; distinct values with counts are ordered, not rows."""
-    runs = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(*[count_if(F.col(group) == g).alias(k) for k, g in (("a", a), ("b", b))])
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    sums = runs.select(F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b"))
-    total = runs.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
+    runs = rows.groupBy(F.col(value).alias("v")).agg(*[count_if(F.col(group) == g).alias(k) for k, g in (("own", a), ("other", b))])
+    sums = running(runs, "v", {"a": "own", "b": "other"}, source=rows.select(F.col(value).alias("v")))
+    total = runs.agg(F.sum("own").alias("na"), F.sum("other").alias("nb"))
     row = sums.join(F.broadcast(total)).agg(F.max(F.abs(F.col("a") / F.col("na") - F.col("b") / F.col("nb"))).alias("d"), F.first("na").alias("na"), F.first("nb").alias("nb")).first()
     x = row["d"] * math.sqrt(row["na"] * row["nb"] / (row["na"] + row["nb"]))
     return {"d": row["d"], "p": min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))}
@@ -246,11 +246,13 @@ def profile(df: DataFrame, columns: Names = None, percents=(1, 25, 50, 75, 99))
     """A row for each variable: n, nulls, percentiles, fences, share outside them, mean and deviation."""
     columns = listed(columns) or continuous_columns(df)
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    stats = long.groupBy("variable").agg(F.count("*").alias("n"), count_if(F.col("v").isNull()).alias("n_missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.percentile("v", F.array(*[F.lit(p / 100) for p in percents])).alias("q"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    width = F.col("_q")[1] - F.col("_q")[0]
-    stats = stats.withColumns({"lower": F.col("_q")[0] - 1.5 * width, "upper": F.col("_q")[1] + 1.5 * width, **{f"p{p}": F.col("q")[i] for i, p in enumerate(percents)}})
+    stats = long.groupBy("variable").agg(F.count("*").alias("n"), count_if(F.col("v").isNull()).alias("n_missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    at = quantiles(df, columns, [0.25, 0.75, *[p / 100 for p in percents]])
+    stats = stats.join(F.broadcast(at), "variable", "left")  # a row for each column
+    width = F.col("q")[1] - F.col("q")[0]
+    stats = stats.withColumns({"lower": F.col("q")[0] - 1.5 * width, "upper": F.col("q")[1] + 1.5 * width, **{f"p{p}": F.col("q")[i + 2] for i, p in enumerate(percents)}})
     out = long.join(F.broadcast(stats.select("variable", "lower", "upper")), "variable").groupBy("variable").agg(F.avg(F.when(F.col("v").isNotNull(), ((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))).cast("double"))).alias("outlier_share"))
-    return stats.drop("q", "_q").join(out, "variable")
+    return stats.drop("q").join(out, "variable")
 
 
 def histogram(df: DataFrame, c: str, bins: int = 100) -> DataFrame:
@@ -261,12 +263,25 @@ def histogram(df: DataFrame, c: str, bins: int = 100) -> DataFrame:
 
 
 def kernel_window(kind: str = "gaussian", size: int = 9, sigma: float = 1.0) -> list[float]:
-    """A smoothing kernel whose largest weight is 1 (gaussian, laplace) or that falls in a line (triang)."""
+    """A smoothing kernel whose largest weight is 1 (gaussian, laplace) or that falls in a line (triang).
+
+    The gaussian is an impulse filtered over ``size`` places: weights up to four sigma, what passes an end being reflected.
+    """
     half = (size - 1) // 2
     if kind == "triang":
         return [(half + 1 - abs(i)) / (half + 1) for i in range(-half, half + 1)]
-    f = {"gaussian": lambda x: math.exp(-x * x / (2 * sigma * sigma)), "laplace": lambda x: math.exp(-abs(x) / sigma)}[kind]
-    return [f(i) / f(0) for i in range(-half, half + 1)]
+    if kind == "laplace":
+        return [math.exp(-abs(i) / sigma) for i in range(-half, half + 1)]
+    if kind != "gaussian":
+        raise ValueError("kind must be gaussian, triang or laplace")
+    n, far = 2 * half + 1, int(4 * sigma + 0.5)
+    out = [0.0] * n
+    for i in range(n):
+        for k in range(-far, far + 1):
+            at = (i + k) % (2 * n)
+            if (at if at < n else 2 * n - 1 - at) == half:
+                out[i] += math.exp(-k * k / (2 * sigma * sigma))
+    return [v / max(out) for v in out]
 
 
 def label_distribution_weights(df: DataFrame, label: str, bins: int = 100, *, kernel: list[float] | None = None, power: float = 1.0, most: float | None = None) -> DataFrame:

@@ -46,30 +46,40 @@ def frame_sizes(frames: DataFrame) -> DataFrame:
 
 
 def candidates(frames: DataFrame) -> DataFrame:
-    """(file, frame, candidates): of each person with all joints, the parts of the score that need no memory."""
+    """(file, frame, candidates): of each person with all joints, the parts of the score that need no memory.
+
+    Of more joints or scores than ``JOINTS`` the first count; where scores are fewer, each is 1. Scores may lie outside 0 to 1.
+    """
     sized = frames.join(frame_sizes(frames), "file")
 
-    def one(i):
+    def one(p):
+        scores = F.when(F.size(p["keypoint_scores"]) >= JOINTS, F.slice(p["keypoint_scores"], 1, JOINTS)).otherwise(F.array_repeat(F.lit(1.0), JOINTS))
+        i = {"bbox": p["bbox"], "bbox_score": p["bbox_score"], "keypoints": F.slice(p["keypoints"], 1, JOINTS), "keypoint_scores": scores}
         box = _bbox(i)
         cx, cy = (box[0] + box[2]) / 2 / F.col("width"), (box[1] + box[3]) / 2 / F.col("height")
         area = F.greatest(F.lit(0.0), box[2] - box[0]) * F.greatest(F.lit(0.0), box[3] - box[1]) / (F.col("width") * F.col("height"))
         off = F.sqrt((cx - 0.5) * (cx - 0.5) + (cy - 0.5) * (cy - 0.5))
         unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-        pose = F.aggregate(i["keypoint_scores"], F.lit(0.0), lambda a, e: a + e) / F.size(i["keypoint_scores"])
-        fixed = WEIGHTS["bbox"] * unit(F.coalesce(i["bbox_score"], F.lit(0.0))) + WEIGHTS["pose"] * unit(F.coalesce(pose, F.lit(0.0))) + WEIGHTS["center"] * (1 - unit(off / F.sqrt(F.lit(0.5)))) + WEIGHTS["size"] * (1 - unit(area / 0.75))
+        known = F.filter(i["keypoint_scores"], lambda e: e.isNotNull())
+        pose = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, e: a + e) / F.size(known))
+        fixed = WEIGHTS["bbox"] * F.coalesce(i["bbox_score"], F.lit(0.0)) + WEIGHTS["pose"] * F.coalesce(pose, F.lit(0.0)) + WEIGHTS["center"] * (1 - unit(off / F.sqrt(F.lit(0.5)))) + WEIGHTS["size"] * (1 - unit(area / 0.75))
         return F.struct(cx.alias("cx"), cy.alias("cy"), fixed.alias("fixed"), i["keypoints"].alias("keypoints"), i["keypoint_scores"].alias("scores"))
 
-    whole = F.filter("instances", lambda i: (F.size(i["keypoints"]) == JOINTS) & (F.size(i["keypoint_scores"]) == JOINTS))
+    whole = F.filter("instances", lambda i: (F.size(i["keypoints"]) >= JOINTS) & F.forall(i["keypoints"], lambda k: F.size(k) >= 2))
     return sized.select("file", "frame", F.transform(whole, one).alias("candidates"))
 
 
 def follow(found: list[list[tuple[float, float, float]]]) -> list[int | None]:
-    """For each frame's (cx, cy, fixed score) the chosen candidate; the first of equals. Continuity is to the last chosen."""
+    """For each frame's (cx, cy, fixed score) the chosen candidate; the first of equals.
+
+    Continuity is nearness to the last chosen, or, as long as there is none, to the frame's centre.
+    """
     last, out = None, []
     for frame in found:
         best, score = None, -np.inf
         for n, (cx, cy, fixed) in enumerate(frame):
-            near = 1.0 if last is None else 1 - min(1.0, np.hypot(cx - last[0], cy - last[1]) / 0.35)
+            far = np.hypot(cx - 0.5, cy - 0.5) / 0.5**0.5 if last is None else np.hypot(cx - last[0], cy - last[1]) / 0.35
+            near = 1 - min(1.0, far)
             if fixed + WEIGHTS["continuity"] * near > score:
                 best, score = n, fixed + WEIGHTS["continuity"] * near
         if best is not None:

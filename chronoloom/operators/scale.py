@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frame import Names, continuous_columns, listed
+from .frame import Names, continuous_columns, listed, quantiles
 
 #: Scalers' centres and scales. standard: sample deviation plus eps; clamped: the deviation, eps at least; robust: interquartile
 #: range plus eps; fence: the width between the outlier fences, four ranges, eps at least; minmax: to the range.
@@ -35,14 +35,18 @@ class Scaler:
         ids = listed(self.ids)
         columns = listed(self.columns) or [c for c in continuous_columns(df) if c not in ids]
         rows = df.where(self.where) if self.where is not None else df
+        at = (self.quantiles[0], 0.5, self.quantiles[1])
+        ranked = self.kind in ("robust", "fence") and self.exact and not ids
+        if ranked:  # of a whole table: ranks in slices, as all values of a column are too many for one task
+            rows = quantiles(rows, columns, at).groupBy().pivot("variable", columns).agg(F.first("q"))
         aggs = []
         for c in columns:
             if self.kind in ("standard", "clamped"):
                 center, scale = F.avg(c), F.stddev_samp(c)
                 scale = scale + self.eps if self.kind == "standard" else F.greatest(scale, F.lit(self.eps))
             elif self.kind in ("robust", "fence"):
-                at = F.array(*[F.lit(q) for q in (self.quantiles[0], 0.5, self.quantiles[1])])
-                q = F.percentile(c, at) if self.exact else F.percentile_approx(c, at, 100_000)
+                marks = F.array(*[F.lit(q) for q in at])
+                q = F.first(c) if ranked else F.percentile(c, marks) if self.exact else F.percentile_approx(c, marks, 100_000)
                 center, scale = q[1], q[2] - q[0]
                 scale = scale + self.eps if self.kind == "robust" else F.greatest(4 * scale, F.lit(self.eps))
             elif self.kind == "minmax":
@@ -88,9 +92,11 @@ def clip(c: str | Column, lo: float, hi: float) -> Column:
 def clip_outliers(df: DataFrame, columns: Names, ids: Names = None, where: str | None = None) -> DataFrame:
     """Values beyond 1.5 interquartile ranges from the quartiles are moved to these fences."""
     columns, ids = listed(columns), listed(ids)
-    q = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in columns}
-    aggs = [x for c in columns for x in ((q[c][0] - 1.5 * (q[c][1] - q[c][0])).alias(f"{c}__lo"), (q[c][1] + 1.5 * (q[c][1] - q[c][0])).alias(f"{c}__hi"))]
     rows = df.where(where) if where else df
+    if not ids:
+        rows = quantiles(rows, columns, (0.25, 0.75)).groupBy().pivot("variable", columns).agg(F.first("q"))
+    q = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) if ids else F.first(c) for c in columns}
+    aggs = [x for c in columns for x in ((q[c][0] - 1.5 * (q[c][1] - q[c][0])).alias(f"{c}__lo"), (q[c][1] + 1.5 * (q[c][1] - q[c][0])).alias(f"{c}__hi"))]
     fences = rows.groupBy(*ids).agg(*aggs) if ids else rows.agg(*aggs)
     both = df.join(fences, ids, "left") if ids else df.join(F.broadcast(fences))
     return both.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.least(c, f"{c}__hi"), F.col(f"{c}__lo"))) for c in columns}).select(*df.columns)
@@ -140,7 +146,8 @@ def fit_power(df: DataFrame, c: str, kind=yeo_johnson, powers: list[float] | Non
 def quantile_transform(df: DataFrame, c: str, points: int = 100, *, where: str | None = None) -> Column:
     """The share of fitted values up to a value, linear between ``points`` quantiles."""
     rows = df.where(where) if where else df
-    q = rows.agg(F.percentile(c, F.array(*[F.lit(i / points) for i in range(points + 1)]))).first()[0] or []
+    row = quantiles(rows, c, [i / points for i in range(points + 1)]).first()
+    q = row["q"] if row else []
     x, out = F.col(c).cast("double"), F.lit(1.0)
     for i in range(points - 1, -1, -1) if q else ():
         share = (i + (x - q[i]) / (q[i + 1] - q[i])) / points if q[i + 1] > q[i] else F.lit(i / points)
