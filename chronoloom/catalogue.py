@@ -5,6 +5,8 @@ Events are the panel: an entity is a user, the order is (ts, event_id), and the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -532,9 +534,17 @@ def minimal_features(spark, sf):
 
 
 @query("""WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events), b AS (SELECT event_id, CASE WHEN value = hi THEN 20 ELSE CAST(floor((value - lo) / (hi - lo) * 20) AS INT) + 1 END AS b FROM events, e), c AS (SELECT b, count(*) AS n FROM b GROUP BY 1),
-s AS (SELECT c.b, any_value(c.n) AS n, sum(o.n * CASE abs(o.b - c.b) WHEN 0 THEN 1 WHEN 1 THEN exp(-0.5) + exp(-8) ELSE exp(-2) + exp(-4.5) END) AS s FROM c JOIN c o ON abs(o.b - c.b) <= 2 GROUP BY 1), m AS (SELECT sum(n / s) / sum(n) AS m FROM s)
+s AS (SELECT c.b, any_value(c.n) AS n, sum(o.n * exp(-(o.b - c.b) * (o.b - c.b) / 2.0)) AS s FROM c JOIN c o ON abs(o.b - c.b) <= 2 GROUP BY 1), m AS (SELECT sum(n / s) / sum(n) AS m FROM s)
 SELECT event_id, round(1 / s / m, 6) AS lds_weight FROM b JOIN s USING (b), m""")
 def lds_weights(spark, sf):
+    out = metrics.label_distribution_weights(read(spark, sf, "events"), "value", 20, kernel=[math.exp(-d * d / 2) for d in range(-2, 3)])
+    return rounded(out.select("event_id", "lds_weight"))
+
+
+@query("""WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events), b AS (SELECT event_id, CASE WHEN value = hi THEN 20 ELSE CAST(floor((value - lo) / (hi - lo) * 20) AS INT) + 1 END AS b FROM events, e), c AS (SELECT b, count(*) AS n FROM b GROUP BY 1),
+s AS (SELECT c.b, any_value(c.n) AS n, sum(o.n * CASE abs(o.b - c.b) WHEN 0 THEN 1 WHEN 1 THEN exp(-0.5) + exp(-8) ELSE exp(-2) + exp(-4.5) END) AS s FROM c JOIN c o ON abs(o.b - c.b) <= 2 GROUP BY 1), m AS (SELECT sum(n / s) / sum(n) AS m FROM s)
+SELECT event_id, round(1 / s / m, 6) AS lds_weight FROM b JOIN s USING (b), m""")
+def lds_weights_reflected(spark, sf):
     out = metrics.label_distribution_weights(read(spark, sf, "events"), "value", 20, kernel=metrics.kernel_window("gaussian", 5, 1.0))
     return rounded(out.select("event_id", "lds_weight"))
 
