@@ -10,10 +10,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import arrays
-from .operators import calendar, encode, fills, metrics, splits, windows
+from .functions import arrays, augment
+from .operators import calendar, encode, fills, metrics, reshape, splits, windows
 from .operators.frame import over
 from .operators.scale import Scaler, box_cox, clip, clip_outliers, fill_median, signed_log, yeo_johnson
+from .sources import series
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -584,6 +585,168 @@ def mixed_join(spark, sf):
     return v.select("vec_id", F.get("x", 0).alias("a")).join(v.select("vec_id", F.get("x", 1).alias("b")), "vec_id")
 
 
+def _order_sum(x):
+    """Elements times their places from 1: no two orders of an array are likely to agree."""
+    return F.round(arrays.total(F.transform(x, lambda e, i: e * (i + 1))), 6).alias("s")
+
+
+def _ordered(places: int, element: str) -> str:
+    return f"round(list_sum(list_transform(range(1, {places + 1}), lambda i: i * ({element}))), 6) AS s"
+
+
+_array("horizontal_flip", lambda x: _order_sum(augment.horizontal_flip(x)), _ordered(64, "x[65 - i]"))
+_array("vertical_flip", lambda x: _order_sum(augment.vertical_flip(x)), _ordered(64, "-x[i]"))
+_array("resized_by_factor", lambda x: _order_sum(augment.resize(x, 1.5)), _ordered(96, "x[(i - 1) * 64 // 96 + 1]"))
+_array("down_up_sample", lambda x: _order_sum(augment.down_up(x, 0.5)), _ordered(64, "x[(i - 1) // 2 * 2 + 1]"))
+_array("masked_steps", lambda x: _order_sum(augment.masked(x, F.transform(x, lambda e: e < 0), 0.25)), _ordered(64, "CASE WHEN x[i] < 0 THEN 0.25 ELSE x[i] END"))
+_array("patch_means", lambda x: _order_sum(arrays.patches(x, 8, reduce="mean")), _ordered(8, "list_avg(x[8 * i - 7:8 * i])"))
+_array("patch_minima", lambda x: _order_sum(arrays.patches(x, 8, 4, reduce="min", pad_before=False, value=9.0)), _ordered(15, "list_min(x[4 * i - 3:4 * i + 4])"))
+_array("take_steps", lambda x: _order_sum(arrays.take(x, [0, 5, -1])), "round(x[1] + 2 * x[6] + 3 * x[64], 6) AS s")
+_array("softmax", lambda x: _order_sum(arrays.softmax(x)), _ordered(64, "exp(x[i]) / list_sum(list_transform(x, lambda e: exp(e)))"))
+_array("keep_if", lambda x: (arrays.keep_if(x, lambda e: e > -0.3).cast("int") + 2 * arrays.keep_if(x, lambda e: e > 0.3, every=False).cast("int")).alias("s"), "CAST(list_min(x) > -0.3 AS INT) + 2 * CAST(list_max(x) > 0.3 AS INT) AS s")
+_array("joint_recurrence", lambda x: F.round(arrays.total(F.flatten(arrays.joint_recurrence(x, F.reverse(x)))), 6).alias("s"), "round(list_sum(list_transform(range(1, 65), lambda i: list_sum(list_transform(range(1, 65), lambda j: abs(x[i] - x[j]) * abs(x[65 - i] - x[65 - j]))))), 6) AS s")
+_array("mark_padding", lambda x: _order_sum(arrays.mark_padding(F.transform(x, lambda e: (e > 0).cast("double")))), _ordered(64, "CASE WHEN i > list_max(list_transform(range(1, 65), lambda j: CASE WHEN x[j] > 0 THEN 0 ELSE j END)) THEN -1 ELSE CAST(x[i] > 0 AS INT) END"))
+QUERIES["gramian_difference"] = lambda spark, sf: vectors(spark, sf).select("vec_id", _order_sum(F.get(arrays.gramian(arrays.rescaled("x"), difference=True), 0)))
+ORACLES["gramian_difference"] = f"""WITH v AS ({EMB}), z AS (SELECT vec_id, list_transform(x, lambda e: -1 + 2 * (e - list_min(x)) / (list_max(x) - list_min(x))) AS z FROM v)
+SELECT vec_id, {_ordered(64, "sqrt(greatest(0, 1 - z[1] * z[1])) * z[i] - z[1] * sqrt(greatest(0, 1 - z[i] * z[i]))")} FROM z"""
+
+
+@query(f"""WITH v AS ({EMB}), m AS (SELECT vec_id, list_transform(x, lambda e: CASE WHEN e >= -0.1 THEN e END) AS x FROM v),
+b AS (SELECT vec_id, x, coalesce(lag(x) OVER (ORDER BY vec_id), last_value(x) OVER (ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS b FROM m)
+SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN b[i] IS NULL OR x[i] IS NULL THEN 0 ELSE i * x[i] END)), 6) AS s FROM b""")
+def self_missingness(spark, sf):
+    holes = vectors(spark, sf).withColumn("x", F.transform("x", lambda e: F.when(e >= -0.1, e)))
+    return reshape.copy_missing(holes, "x", "vec_id").select("vec_id", _order_sum(F.col("x")))
+
+
+@query("SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings")
+def one_hot_round_trip(spark, sf):
+    e = read(spark, sf, "embeddings")
+    return e.select("vec_id", arrays.from_one_hot(arrays.one_hot("label", 16)).cast("long").alias("label"))
+
+
+@query(f"WITH v AS ({EMB}), l AS (SELECT unnest(range(64)) AS step, unnest(x) AS a, unnest(list_reverse(x)) AS b FROM v) SELECT step, round(sum(a * b), 6) AS s, count(*) AS n FROM l GROUP BY 1")
+def arrays_to_long(spark, sf):
+    long = series.to_long(vectors(spark, sf).withColumn("y", F.reverse("x")), ["vec_id"], ["x", "y"])
+    return rounded(long.groupBy(F.col("step").cast("long").alias("step")).agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.count("*").alias("n")))
+
+
+@query(f"WITH v AS ({EMB}) SELECT vec_id, {_ordered(64, 'x[i]')} FROM v")
+def long_to_arrays(spark, sf):
+    long = series.to_long(vectors(spark, sf), ["vec_id"], ["x"]).withColumn("dim", F.lit(0))
+    return series.to_arrays(long, ["vec_id"], value="x", dims=1).select("vec_id", _order_sum(F.col("x0")))
+
+
+# Samples, codes and tables
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), m AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM c),
+s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY 1) SELECT user_id, len(x) AS n, x[1] AS first_x, x[len(x)] AS last_x, event_type FROM s JOIN m USING (user_id) WHERE k = 1""")
+def long_to_samples(spark, sf):
+    out = reshape.to_samples(read(spark, sf, "events"), "user_id", ORDER, "value", "event_type")
+    return out.select("user_id", F.size("value").cast("long").alias("n"), F.get("value", 0).alias("first_x"), F.element_at("value", -1).alias("last_x"), "event_type")
+
+
+@query("WITH r AS (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) - 1 AS p FROM events) SELECT event_type AS value, min(p) AS position FROM r WHERE event_type IN ('error', 'view') GROUP BY 1")
+def first_rows_of_values(spark, sf):
+    return reshape.first_rows(read(spark, sf, "events"), "event_type", ORDER, ["error", "view"])
+
+
+@query("""WITH l AS (SELECT DISTINCT 'p_brand' AS variable, p_brand AS value FROM part UNION SELECT DISTINCT 'p_type', p_type FROM part) SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY value) - 1 AS code FROM l WHERE value IS NOT NULL""")
+def code_table(spark, sf):
+    return reshape.codes(read(spark, sf, "part"), ["p_brand", "p_type"])
+
+
+@query(f"""WITH v AS ({EMB}), b AS (SELECT vec_id, x, unnest(range(4)) AS b FROM v) SELECT vec_id, b AS block, round(list_sum(x) - list_sum(x[b * 16 + 1:b * 16 + 16]), 6) AS s FROM b""")
+def zeroed_blocks(spark, sf):
+    out = reshape.zero_blocks(vectors(spark, sf), ["x"], 64, 16)
+    return out.select("vec_id", F.col("block").cast("long").alias("block"), F.round(arrays.total("x"), 6).alias("s"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(regr_intercept(l_extendedprice, l_quantity) OVER w + regr_slope(l_extendedprice, l_quantity) OVER w * l_quantity, 3) AS line FROM lineitem WINDOW w AS (PARTITION BY l_linenumber)")
+def trend_line(spark, sf):
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(reshape.trend("l_quantity", "l_extendedprice", "l_linenumber"), 3).alias("line"))
+
+
+@query("WITH r AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n, value FROM events) SELECT (rn - 1) // 64 AS batch, count(*) AS n, round(sum(value), 4) AS s FROM r WHERE rn <= n - n % 64 GROUP BY 1")
+def ordered_batches(spark, sf):
+    out = splits.batches(read(spark, sf, "events"), ORDER, 64, drop_last=True)
+    return out.groupBy("batch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("s"))
+
+
+@query("""SELECT 'o_custkey' AS variable, count(*) AS n, count(*) - count(o_custkey) AS n_missing, count(DISTINCT o_custkey) AS n_distinct FROM orders UNION ALL SELECT 'o_orderstatus', count(*), count(*) - count(o_orderstatus), count(DISTINCT o_orderstatus) FROM orders""")
+def table_summary(spark, sf):
+    return series.summary(read(spark, sf, "orders"), ["o_custkey", "o_orderstatus"])
+
+
+@query("SELECT o_orderkey, o_orderdate AS day FROM orders")
+def steps_round_trip(spark, sf):
+    df, start = encode.steps_since(read(spark, sf, "orders"), "o_orderdate", "D", name="steps")
+    return df.select("o_orderkey", encode.time_at(F.col("steps"), start, "D").alias("day"))
+
+
+@query("SELECT user_id, CAST(count(*) FILTER (event_type = 'click') > 0 AS INT) AS click, CAST(count(*) FILTER (event_type = 'purchase') > 0 AS INT) AS purchase FROM events GROUP BY 1")
+def multi_hot(spark, sf):
+    kinds = read(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    hot = encode.multi_hot("k", ["click", "purchase"])
+    return kinds.select("user_id", F.get(hot, 0).alias("click"), F.get(hot, 1).alias("purchase"))
+
+
+# More metrics
+
+
+@query(f"WITH {SCORE} SELECT round(avg(CAST((p > 0.3) = (quality = 1) AND (p > 0.3) = (toxic = 1) AS INT)), 6) AS exact FROM s")
+def exact_match(spark, sf):
+    df = scored(spark, sf).select(F.array("p", "p").alias("s"), F.array("quality", "toxic").alias("a"))
+    return rounded(df.agg(metrics.exact_match("s", "a", 0.3).alias("exact")))
+
+
+@query(f"WITH {SCORE}, c AS (SELECT quality, avg(CAST(CAST(p > 0.3 AS INT) = quality AS INT)) AS a FROM s GROUP BY 1) SELECT round(avg(a), 6) AS mean_class_accuracy FROM c")
+def mean_class_accuracy(spark, sf):
+    return rounded(metrics.mean_class_accuracy(scored(spark, sf).withColumn("c", (F.col("p") > 0.3).cast("int")), "quality", "c"))
+
+
+@query(f"WITH {SCORE} SELECT CAST(greatest(1, ceil(p * 10)) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_confidence, round(avg(quality), 6) AS share_correct FROM s GROUP BY 1")
+def calibration_curve(spark, sf):
+    return rounded(metrics.calibration_curve(scored(spark, sf), "p", "quality"))
+
+
+@query(f"WITH {EV} SELECT round(avg(abs(value - 1 - v)), 6) AS mae, round(avg(CASE WHEN abs(value - 20 - v) < 2 THEN 0.5 * (value - 20 - v) ** 2 ELSE 2 * (abs(value - 20 - v) - 1) END), 6) AS huber FROM e WHERE v IS NOT NULL")
+def masked_losses(spark, sf):
+    e = events(spark, sf)
+    return rounded(e.agg(metrics.masked(metrics.mae, F.col("value") - 1, "v").alias("mae"), metrics.masked(metrics.huber, F.col("value") - 20, "v", 2.0).alias("huber")))
+
+
+@query("""WITH x AS (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS c FROM x GROUP BY 1, 2) SELECT round(sum((v - c) ** 2) / (SELECT count(*) FROM embeddings), 6) AS loss FROM x JOIN c USING (label, i)""")
+def center_loss(spark, sf):
+    z = read(spark, sf, "embeddings").select("label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return rounded(metrics.center_loss(z, "x", "label"))
+
+
+@query("""WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT CASE WHEN value = hi THEN 25 ELSE CAST(floor((value - lo) / (hi - lo) * 25) AS BIGINT) + 1 END AS bin, count(*) AS n FROM events, e GROUP BY 1""")
+def histogram(spark, sf):
+    return metrics.histogram(read(spark, sf, "events"), "value", 25)
+
+
+@query("""WITH r AS (SELECT event_id, user_id, value, sum(value) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING) - value AS u, sum(value) OVER (PARTITION BY user_id) AS t FROM events) SELECT user_id, count(*) AS n FROM r WHERE u < t * 0.4 GROUP BY 1""")
+def hardest_share(spark, sf):
+    return metrics.hardest_share(read(spark, sf, "events"), "value", 0.4, "user_id", "event_id").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT value, sum(CAST(event_type = 'click' AS INT)) AS a, sum(CAST(event_type = 'view' AS INT)) AS b FROM events WHERE event_type IN ('click', 'view') GROUP BY 1),
+r AS (SELECT sum(a) OVER (ORDER BY value) / (SELECT sum(a) FROM c) AS a, sum(b) OVER (ORDER BY value) / (SELECT sum(b) FROM c) AS b FROM c) SELECT round(max(abs(a - b)), 6) AS d FROM r""")
+def two_sample_distance(spark, sf):
+    d = metrics.kolmogorov_smirnov(read(spark, sf, "events"), "value", "event_type", "click", "view")["d"]
+    return rounded(spark.createDataFrame([(float(d),)], "d double"))
+
+
+@query("""WITH g AS (SELECT event_type AS g, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1), a AS (SELECT * FROM g WHERE g = 'click'), b AS (SELECT * FROM g WHERE g = 'view')
+SELECT round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round((a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)), 4) AS df FROM a, b""")
+def welch_test(spark, sf):
+    w = metrics.welch(read(spark, sf, "events"), "value", "event_type", "click", "view")
+    return spark.createDataFrame([(w["t"], w["df"])], "t double, df double").select(F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
+
+
 # Without SQL: results of these are tested against NumPy or by their invariants.
 
 
@@ -607,13 +770,9 @@ def minirocket_features(spark, sf):
 
 @query()
 def rand_augment(spark, sf):
-    from .functions import augment
-
     return vectors(spark, sf).select("vec_id", augment.rand_augment("x", F.col("vec_id"), n=2, seed=5).alias("x"))
 
 
 @query()
 def subsequence_mask(spark, sf):
-    from .functions import augment
-
     return vectors(spark, sf).select("vec_id", augment.masked("x", augment.subsequence_mask(64, F.col("vec_id"), seed=3)).alias("x"))

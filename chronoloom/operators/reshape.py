@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frame import Names, listed
+from .frame import Names, listed, numbered
 
 
 def to_samples(df: DataFrame, sample: Names, order: Names, data: Names, target: str | None = None, *, target_by: str = "mode", length: int | None = None) -> DataFrame:
@@ -33,8 +33,8 @@ def _member(name: str) -> Column:
 
 def first_rows(df: DataFrame, column: str, order: Names, values: list) -> DataFrame:
     """(value, position): the place, from 0, of the first row with each of the values."""
-    rows = df.withColumn("_p", F.row_number().over(Window.orderBy(*listed(order))) - 1).where(F.col(column).isin(values))
-    return rows.groupBy(F.col(column).alias("value")).agg(F.min("_p").cast("long").alias("position"))
+    rows = numbered(df.select(column, *[c for c in listed(order) if c != column]), None, order, "_p").where(F.col(column).isin(values))
+    return rows.groupBy(F.col(column).alias("value")).agg((F.min("_p") - 1).cast("long").alias("position"))
 
 
 def codes(df: DataFrame, columns: Names) -> DataFrame:
@@ -56,10 +56,9 @@ def zero_blocks(df: DataFrame, variables: list[str], length: int, stride: int, *
 
 def copy_missing(df: DataFrame, x: str, order: Names) -> DataFrame:
     """Where the sample before has no value, this one loses its own; the first looks at the last. For tables of samples."""
-    w = Window.orderBy(*listed(order))
-    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.lag(x).over(w), F.last(x).over(ends))
-    return df.withColumn("_b", before).withColumn(x, F.transform(x, lambda e, i: F.when(F.get("_b", i).isNotNull(), e))).drop("_b")
+    rows = numbered(df, None, order, "_p", "_t")
+    before = rows.select((F.col("_p") % F.col("_t") + 1).alias("_p"), F.col(x).alias("_b"))
+    return rows.join(before, "_p").withColumn(x, F.transform(x, lambda e, i: F.when(F.get("_b", i).isNotNull(), e))).select(*df.columns)
 
 
 def drop_by_key(df: DataFrame, x: Names, key: str, chances: dict, row_key: str, *, seed: int = 0) -> DataFrame:
