@@ -41,6 +41,12 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[c] for c in columns])
 
 
+def others(df: DataFrame, *own: str) -> list[str]:
+    """The columns that an operator passes through: those not named like its own."""
+    taken = {c.lower() for c in own}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def fresh(name: str, *tables: DataFrame) -> str:
     """A column name that none of the tables has."""
     taken = {c.lower() for df in tables for c in df.columns}
