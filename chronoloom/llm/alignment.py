@@ -9,21 +9,21 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from itertools import accumulate
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
-from .bytebpe import schema, texts_of
+from .bytebpe import schema, segments, slices, texts_of
 from .common import others, read, small, stash
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A key with more than this part of all rows is hot; so many keys at most can be.
 PARTS = 1 << 16
 #: Segments a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 OWN = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
@@ -33,28 +33,6 @@ def defaults() -> tuple[str, str]:
     return str(public_tokenizers.path(A_FILE)), str(public_tokenizers.path(B_FILE))
 
 
-def segments(text: str) -> list[str]:
-    """The parts of a text between single spaces, so that `` `` + part, all joined, is `` `` + text.
-
-    A space that follows white space, or ends the text, stays in a part: at all others any token of either kind ends.
-    """
-    parts = text.split(" ")
-    if all(p and not p[-1].isspace() for p in parts):
-        return parts
-    out, now = [], parts[0]
-    for p in parts[1:]:
-        if not now or now[-1].isspace():
-            now = f"{now} {p}"
-        else:
-            out.append(now)
-            now = p
-    if not now and out:
-        out[-1] += " "
-    else:
-        out.append(now)
-    return out
-
-
 class Pair:
     """Both tokenizers, their tokens' bytes, and what is known of segments."""
 
@@ -75,87 +53,87 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
         # Where a piece has a space behind other characters, tokens may run over a segment's end.
-        self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known: dict = {}
-        self.pairs: dict = {}
-
-    def groups(self, a: list[int], b: list[int]) -> list[str]:
-        """``a1,a2|b1`` for each group."""
-        ends_a = list(accumulate(len(self.a_bytes[i]) for i in a))
-        ends_b = list(accumulate(len(self.b_bytes[i]) for i in b))
-        out, i, j, both = [], 0, 0, set(ends_b)
-        for k, end in enumerate(ends_a, 1):
-            if end in both:
-                m = j + 1
-                while ends_b[m - 1] != end:
-                    m += 1
-                out.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-                i, j = k, m
-        return out
+        self.cut = (lambda text: [text]) if any("▁" in p.lstrip("▁") for p in pieces) else segments
+        self.len_a, self.len_b = [len(self.a_bytes.get(i, b"")) for i in range(max(names.values()) + 1)], [len(self.b_bytes[i]) for i in range(len(pieces))]
+        self.known, self.old = {}, {}
+        # Groups have numbers here: their names, pairs, and tokens of A and B.
+        self.number: dict = {}
+        self.names, self.pairs, self.size_a, self.size_b = [], [], [], []
+
+    def group(self, a: list[int], b: list[int]) -> int:
+        key = (a[0], b[0]) if len(a) == len(b) == 1 else f"{','.join(map(str, a))}|{','.join(map(str, b))}"
+        at = self.number.get(key)
+        if at is None:
+            at = self.number[key] = len(self.names)
+            name = key if isinstance(key, str) else f"{a[0]}|{b[0]}"
+            self.names.append(name)
+            self.pairs.append(tuple(x << 32 | y for x, y in self.links(name)))
+            self.size_a.append(len(a))
+            self.size_b.append(len(b))
+        return at
+
+    def groups(self, a: list[int], b: list[int]) -> tuple[int, ...]:
+        """The groups' numbers: tokens are taken from whichever side is behind till both end at one byte."""
+        out, len_a, len_b = [], self.len_a, self.len_b
+        i = j = first_a = first_b = ahead = 0
+        while i < len(a):
+            if ahead <= 0:
+                ahead += len_a[a[i]]
+                i += 1
+            while ahead > 0:
+                ahead -= len_b[b[j]]
+                j += 1
+            if not ahead:
+                out.append(self.group(a[first_a:i], b[first_b:j]))
+                first_a, first_b = i, j
+        return tuple(out)
 
     def encoded(self, texts: list[str]) -> list:
-        """(A tokens, B tokens, groups, groups joined) of each text, or None if a tokenizer doesn't give its bytes back."""
+        """The groups of each text, or None if a tokenizer doesn't give its bytes back."""
         out = []
         for at in range(0, len(texts), 4096):
             part = texts[at : at + 4096]
             every = zip(part, self.a.encode_batch_fast([f" {t}" for t in part], add_special_tokens=False), self.b.encode(part, num_threads=1), strict=True)
             for text, a, b in every:
                 a, raw = a.ids, f" {text}".encode()
-                if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-                    out.append(None)
-                else:
-                    groups = self.groups(a, b)
-                    out.append((len(a), len(b), groups, ";".join(groups)))
+                same = b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
+                out.append(self.groups(a, b) if same else None)
         return out
 
-    def learn(self, texts) -> dict:
-        """What is known of these segments; long ones hardly come again and aren't kept."""
+    def learn(self, texts: set[str]) -> dict:
+        """The groups of these segments. What two generations of short ones had is remembered."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.pairs.clear()
-        new = [t for t in texts if t not in self.known]
-        found = dict(zip(new, self.encoded(new), strict=True))
-        self.known |= {t: v for t, v in found.items() if len(t) <= 100}
+            self.old, self.known = self.known, {}
+        if len(self.names) > 5 * REMEMBERED:
+            for held in (self.known, self.old, self.number, self.names, self.pairs, self.size_a, self.size_b):
+                held.clear()
+        known, old, new, found = self.known, self.old, [], {}
+        for t in texts:
+            if t in known:
+                found[t] = known[t]
+            elif t in old:
+                found[t] = known[t] = old[t]
+            else:
+                new.append(t)
+        for t, groups in zip(new, self.encoded(new), strict=True):
+            found[t] = groups
+            if len(t) <= 100:
+                known[t] = groups
         return found
 
     def links(self, group: str) -> Counter:
         """How often each (A id, B id) is linked in a group: the tokens' ranges overlap."""
         a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
         out, i, j = Counter(), 0, 0
-        end_a, end_b = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
+        end_a, end_b = self.len_a[a[0]], self.len_b[b[0]]
         while True:
             out[a[i], b[j]] += 1
             step_a, step_b = end_a <= end_b, end_b <= end_a
             i, j = i + step_a, j + step_b
             if i == len(a) or j == len(b):
                 return out
-            end_a += len(self.a_bytes[a[i]]) if step_a else 0
-            end_b += len(self.b_bytes[b[j]]) if step_b else 0
-
-    def linked(self, group: str):
-        """The distinct pairs of a group, remembered."""
-        out = self.pairs.get(group)
-        if out is None:
-            out = tuple(self.links(group))
-            if len(group) <= 200:
-                self.pairs[group] = out
-        return out
-
-
-def _text(pair: Pair, text: str, found: dict):
-    """(A tokens, B tokens, {group: times}, groups joined) of a text; without tokens zeros."""
-    if not text:
-        return 0, 0, {}, ""
-    parts = segments(text) if pair.splits else [text]
-    seen = [found.get(p) or pair.known.get(p) for p in parts]
-    if not all(seen):
-        seen = pair.encoded([text])
-        if not seen[0]:
-            return 0, 0, {}, ""
-    times: Counter = Counter()
-    for s in seen:
-        times.update(s[2])
-    return sum(s[0] for s in seen), sum(s[1] for s in seen), times, ";".join([s[3] for s in seen])
+            end_a += self.len_a[a[i]] if step_a else 0
+            end_b += self.len_b[b[j]] if step_b else 0
 
 
 TABLE = "n_a long, n_b long, n_groups long, groups_sha256 string, groups array<struct<g: string, n: long>>, again array<struct<a: int, b: int, n: long>>"
@@ -168,32 +146,34 @@ def _tabulate(a_path: str, b_path: str):
         from pyspark import TaskContext
 
         pair, row = Pair(a_path, b_path), TaskContext.get().partitionId() << 33
-        for b in batches:
-            texts = texts_of(b.column(1))
-            found = pair.learn({p for t in texts if t for p in (segments(t) if pair.splits else [t])})
+        for b in slices(batches, 1):
+            texts = [(t, pair.cut(t) if t else []) for t in texts_of(b.column(1))]
+            found = pair.learn({p for _, parts in texts for p in parts})
             cols: list[list] = [[] for _ in range(5)]
-            groups, again, held, more = [], [], [0], [0]
-            for text in texts:
-                n_a, n_b, times, joined = _text(pair, text, found)
-                twice: Counter = Counter()
-                seen: set = set()
-                for g in times:
-                    linked = pair.linked(g)
-                    twice.update(seen.intersection(linked))
-                    seen.update(linked)
-                sha = hashlib.sha256(joined.encode()).hexdigest() if joined else ""
-                for c, v in zip(cols, (row, n_a, n_b, sum(times.values()), sha), strict=True):
-                    c.append(v)
-                groups += times.items()
-                again += twice.items()
+            groups, counts, again, held, more = [], [], [], [0], [0]
+            for text, parts in texts:
+                seen = [found[p] for p in parts]
+                # A segment that isn't given back: the whole text is asked.
+                flat = list(chain.from_iterable(seen)) if None not in seen else pair.encoded([text])[0] or []
+                times = Counter(flat)
+                names = [pair.names[g] for g in flat]
+                linked = list(chain.from_iterable([pair.pairs[g] for g in times]))
+                if len(set(linked)) < len(linked):
+                    again += [(p, n - 1) for p, n in Counter(linked).items() if n > 1]
+                groups += [pair.names[g] for g in times]
+                counts += times.values()
                 held.append(len(groups))
                 more.append(len(again))
+                sha = hashlib.sha256(";".join(names).encode()).hexdigest() if flat else ""
+                n_a, n_b = (sum([n * size[g] for g, n in times.items()]) for size in (pair.size_a, pair.size_b))
+                for c, v in zip(cols, (row, n_a, n_b, len(flat), sha), strict=True):
+                    c.append(v)
                 row += 1
-            groups_ = pa.StructArray.from_arrays([pa.array([g for g, _ in groups], pa.string()), pa.array([n for _, n in groups], pa.int64())], ["g", "n"])
-            again_ = pa.StructArray.from_arrays([pa.array([p[0] for p, _ in again], pa.int32()), pa.array([p[1] for p, _ in again], pa.int32()), pa.array([n for _, n in again], pa.int64())], ["a", "b", "n"])
-            flat = [pa.array(c, pa.int64()) for c in cols[:4]]
+            groups_ = pa.StructArray.from_arrays([pa.array(groups, pa.string()), pa.array(counts, pa.int64())], ["g", "n"])
+            again_ = pa.StructArray.from_arrays([pa.array([p >> 32 for p, _ in again], pa.int32()), pa.array([p & 0xFFFFFFFF for p, _ in again], pa.int32()), pa.array([n for _, n in again], pa.int64())], ["a", "b", "n"])
+            flat_ = [pa.array(c, pa.int64()) for c in cols[:4]]
             lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in ((held, groups_), (more, again_))]
-            yield pa.RecordBatch.from_arrays([flat[0], b.column(0), *flat[1:], pa.array(cols[4], pa.string()), *lists], names=["row", "rest", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "again"])
+            yield pa.RecordBatch.from_arrays([flat_[0], b.column(0), *flat_[1:], pa.array(cols[4], pa.string()), *lists], names=["row", "rest", "n_a", "n_b", "n_groups", "groups_sha256", "groups", "again"])
 
     return run
 

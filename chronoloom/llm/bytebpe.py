@@ -9,9 +9,12 @@ concatenates the ids' bytes.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -44,25 +47,94 @@ def texts_of(column) -> list[str]:
     return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches, column: int, most: int = 1 << 21):
+    """Batches of so many bytes in a column at most, or of one row: what a task holds doesn't depend on how rows are batched."""
+    for b in batches:
+        begin, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()):
+            if held and held + n > most:
+                yield b.slice(begin, i - begin)
+                begin, held = i, 0
+            held += n + 64
+        if begin < b.num_rows:
+            yield b.slice(begin)
+
+
+#: White space before a space, a space at an end.
+_BLANK = re.compile(r"\s |\A | \Z")
+
+
+def segments(text: str) -> list[str]:
+    """The parts of a text between single spaces, so that `` `` + part, all joined, is `` `` + text.
+
+    A space that follows white space, or ends the text, stays in a part. At all others pre-tokens end, whatever is around.
+    """
+    if not _BLANK.search(text):
+        return text.split(" ")
+    out, (now, *parts) = [], text.split(" ")
+    for p in parts:
+        if not now or now[-1].isspace():
+            now = f"{now} {p}"
+        else:
+            out.append(now)
+            now = p
+    if not now and out:
+        out[-1] += " "
+    else:
+        out.append(now)
+    return out
+
+
+class Memory(dict):
+    """What was worked out for short texts. Of two generations the older goes, so that frequent ones stay."""
+
+    def __init__(self, work, most: int = 250_000, chars: int = 100):
+        super().__init__()
+        self.work, self.most, self.chars, self.old = work, most, chars, {}
+
+    def __missing__(self, text: str):
+        out = self.old.get(text)
+        out = self.work(text) if out is None else out
+        if len(text) <= self.chars:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[text] = out
+        return out
+
+
+class Encoder:
+    """Ids of a text as packed 32-bit numbers. What is between spaces is encoded with the space before it, once."""
+
+    def __init__(self, path: str, pattern: str):
+        self.own = encoding(path, pattern)
+        self.known = Memory(lambda part: array("i", self.own.encode_ordinary(f" {part}")).tobytes())
+
+    def __call__(self, text: str) -> bytes:
+        first, *rest = segments(text)
+        return array("i", self.own.encode_ordinary(first)).tobytes() + b"".join(map(self.known.__getitem__, rest))
+
+
 def schema(*parts: str | StructField) -> StructType:
     """Fields, and what DDL strings say, in this order."""
     return StructType([f for p in parts for f in (StructType.fromDDL(p) if isinstance(p, str) else [p])])
 
 
-def _lists(rows: list, values: pa.Array | None = None) -> pa.Array:
+def _lists(rows: list) -> pa.Array:
     ends = list(accumulate((len(r) for r in rows), initial=0))
-    flat = pa.array([v for r in rows for v in r], pa.int32()) if values is None else values
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([v for r in rows for v in r], pa.int64()))
 
 
 def _encode(path: str, pattern: str):
-    """Appends ids to the columns before the last, which is the text."""
+    """ids in place of the text, the last column."""
 
     def run(batches):
-        own = encoding(path, pattern)
-        for b in batches:
-            ids = [own.encode_ordinary(t) for t in texts_of(b.column(b.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(ids)], names=[*b.schema.names[:-1], "ids"])
+        encode = Encoder(path, pattern)
+        for b in slices(batches, -1):
+            ids = [encode(t) for t in texts_of(b.column(b.num_columns - 1))]
+            ends = pa.array(accumulate((len(i) // 4 for i in ids), initial=0), pa.int32())
+            flat = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(ends, flat)], names=[*b.schema.names[:-1], "ids"])
 
     return run
 
@@ -97,7 +169,7 @@ def _boundaries(pattern: str, size: int, overlap: int):
         import regex
 
         find = regex.compile(pattern).finditer
-        for b in batches:
+        for b in slices(batches, 3):
             heads, tails = [], []
             for no, n, chunk in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 first = no * size
@@ -107,7 +179,7 @@ def _boundaries(pattern: str, size: int, overlap: int):
                 starts = [] if doubtful else [m.end() for m in find(chunk) if m.end() <= sure and not m[0][-1].isspace()]
                 heads.append([first + s for s in starts if s < overlap])
                 tails.append([first + s for s in starts if s >= size])
-            cols = [*b.columns, _lists(heads, pa.array([x for h in heads for x in h], pa.int64())), _lists(tails, pa.array([x for t in tails for x in t], pa.int64()))]
+            cols = [*b.columns, _lists(heads), _lists(tails)]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "head", "tail"])
 
     return run
@@ -152,36 +224,31 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = SIZE, overlap:
     return short.unionByName(long.select("rest", "ids")).select(*[F.col("rest")[c].alias(c) for c in keep], "ids")
 
 
-def decode(df: DataFrame, path: str, pattern: str, name: str = "decoded") -> DataFrame:
-    """df, which has ``ids``, with their bytes under ``name`` (binary; they need not be UTF-8). Null ids have null bytes."""
-    df = df.select(*others(df, name))
+def decode(df: DataFrame, path: str, pattern: str, name: str = "decoded", packed: str | None = None) -> DataFrame:
+    """df, which has ``ids``, with their bytes under ``name`` (binary; they need not be UTF-8). Null ids have null bytes.
 
-    def run(batches):
-        own = encoding(path, pattern)
-        for b in batches:
-            found = [None if ids is None else own.decode_bytes(ids) for ids in b.column(b.schema.get_field_index("ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, name])
-
-    return df.mapInArrow(run, schema(*df.schema, StructField(name, BinaryType())))
-
-
-def packed(df: DataFrame, name: str = "packed") -> DataFrame:
-    """df, which has ``ids``, with these as little-endian unsigned 32-bit numbers under ``name`` (binary); null stays null."""
-    df = df.select(*others(df, name))
+    ``packed`` names a column for the ids as little-endian unsigned 32-bit numbers. Columns of these names are replaced.
+    """
+    df = df.select(*others(df, name, packed or name))
+    at = df.columns.index("ids")
 
     def run(batches):
-        import numpy as np
-
-        for b in batches:
-            found = [None if ids is None else np.asarray(ids.values, "<u4").tobytes() for ids in b.column(b.schema.get_field_index("ids"))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, name])
+        own = encoding(path, pattern)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                b = whole.slice(begin, 256)
+                found = [None if ids is None else own.decode_bytes(ids) for ids in b.column(at).to_pylist()]
+                more = [pa.array(found, pa.binary())]
+                if packed:
+                    more.append(pa.array([None if x.values is None else x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in b.column(at)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, name, *([packed] if packed else [])])
 
-    return df.mapInArrow(run, schema(*df.schema, StructField(name, BinaryType())))
+    return df.mapInArrow(run, schema(*df.schema, *[StructField(n, BinaryType()) for n in (name, packed) if n]))
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and the bytes that these decode to, as digests."""
     path, pattern = defaults()
     ids = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    out = packed(decode(ids, path, pattern))
+    out = decode(ids, path, pattern, packed="packed")
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -51,7 +51,7 @@ def test_encoding(docs, texts, size, overlap):
     own = plain_encoding()
     out = bytebpe.encode(docs, PATH, PATTERN, size, overlap)
     assert out.columns == ["doc_id", "row", "N_links", "ids"]
-    got = {r["doc_id"]: r for r in bytebpe.packed(bytebpe.decode(out, PATH, PATTERN)).collect()}
+    got = {r["doc_id"]: r for r in bytebpe.decode(out, PATH, PATTERN, packed="packed").collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         want = own.encode_ordinary(t or "")
