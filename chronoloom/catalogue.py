@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, augment
-from .operators import calendar, encode, fills, metrics, reshape, splits, windows
+from .operators import calendar, encode, epochs, extract, fills, metrics, reshape, splits, windows
 from .operators.frame import over
 from .operators.scale import Scaler, box_cox, clip, clip_outliers, fill_median, signed_log, yeo_johnson
 from .sources import series
@@ -776,3 +776,117 @@ def rand_augment(spark, sf):
 @query()
 def subsequence_mask(spark, sf):
     return vectors(spark, sf).select("vec_id", augment.masked("x", augment.subsequence_mask(64, F.col("vec_id"), seed=3)).alias("x"))
+
+
+# Panels in which one entity has most rows, descending windows, targets by a function
+
+SKEWED = "e AS (SELECT CASE WHEN event_id % 10 = 0 THEN user_id ELSE -1 END AS id, event_id, ts, value FROM events)"
+
+
+@query(f"""WITH {SKEWED}, a AS (SELECT id, event_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY id) AS n, lag(value, 7) OVER w AS x0, value AS x7, lead(value, 1) OVER w AS y1, lead(value, 3) OVER w AS y3 FROM e WINDOW w AS (PARTITION BY id ORDER BY ts, event_id))
+SELECT id, event_id, (rn - 8) // 2 AS "window", x0, x7, y1, y3 FROM a WHERE rn >= 8 AND rn + 3 <= n AND (rn - 8) % 2 = 0""")
+def window_skewed_panel(spark, sf):
+    """One entity has nine tenths of the rows; its windows are made in chunks."""
+    e = read(spark, sf, "events").select(F.when(F.col("event_id") % 10 == 0, F.col("user_id")).otherwise(-1).alias("id"), "event_id", "ts", "value")
+    out = windows.sliding_windows(e, ORDER, "value", 8, ids="id", y="value", horizon=3, stride=2, chunked=True, chunk=1000, y_is_x_checked=False)
+    return out.select("id", "event_id", "window", F.get("value_x", 0).alias("x0"), F.get("value_x", 7).alias("x7"), F.get("value_y", 0).alias("y1"), F.get("value_y", 2).alias("y3"))
+
+
+@query(f"""WITH a AS (SELECT user_id, event_id, row_number() {W.replace("ts, event_id", "ts DESC, event_id DESC")} AS rn, avg(value) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m FROM events)
+SELECT user_id, event_id, rn - 4 AS "window", round(m, 6) AS x_mean FROM a WHERE rn >= 4""")
+def window_descending(spark, sf):
+    out = windows.sliding_windows(read(spark, sf, "events"), ORDER, "value", 4, ids=IDS, ascending=False)
+    return out.select("user_id", "event_id", "window", F.round(arrays.mean("value"), 6).alias("x_mean"))
+
+
+@query(f"""WITH a AS (SELECT user_id, event_id, row_number() {W} AS rn, count(*) OVER (PARTITION BY user_id) AS n, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS y FROM events)
+SELECT user_id, event_id, rn - 6 AS "window", list_max(y) - list_min(y) AS spread FROM a WHERE rn >= 6 AND rn + 4 <= n AND list_max(y) > 150""")
+def window_target_function(spark, sf):
+    """The target is the next four values' spread; windows without a large one are left out."""
+    spread = lambda y: F.struct((F.array_max(y) - F.array_min(y)).alias("spread"), F.array_max(y).alias("most"))
+    out = windows.sliding_windows(read(spark, sf, "events"), ORDER, "value", 6, ids=IDS, y="value", horizon=4, y_is_x_checked=False, y_func=spread, processor=lambda d: d.where("value_y.most > 150"))
+    return out.select("user_id", "event_id", "window", "value_y.spread")
+
+
+# Epochs, permutations, draws
+
+
+@query("""WITH n AS (SELECT count(*) AS n, sum(event_id) AS s FROM events), b AS (SELECT e.range AS epoch, unnest(generate_series(0, (n - 1) // 256)) AS batch, n, s FROM n, range(3) e)
+SELECT epoch, batch, least(256, n - 256 * batch) AS n_rows, CAST(s AS BIGINT) AS epoch_sum, n AS epoch_rows FROM b""")
+def epoch_batches(spark, sf):
+    """Each row once in each of three epochs: batches' sizes, and each epoch's rows and sum of keys."""
+    out = epochs.epochs(read(spark, sf, "events").select("event_id", "ts"), ORDER, 256, 3, seed=1)
+    per = out.groupBy("epoch", "batch").agg(F.count("*").alias("n_rows"), F.sum("event_id").alias("s"), F.count_distinct("event_id").alias("d"))
+    every = per.groupBy("epoch").agg(F.sum("s").alias("epoch_sum"), F.sum("d").alias("epoch_rows"))
+    return per.join(every, "epoch").select(F.col("epoch").cast("long").alias("epoch"), "batch", "n_rows", "epoch_sum", "epoch_rows")
+
+
+@query("SELECT event_type, value, count(*) AS n FROM (SELECT event_type, value FROM events) GROUP BY 1, 2")
+def shuffled_rows(spark, sf):
+    """Pairs of columns that move together keep their counts, and other columns their own."""
+    out = epochs.shuffled(read(spark, sf, "events").select("event_id", "ts", "event_type", "value"), ORDER, ["event_type", "value"], together=True, seed=3)
+    return out.groupBy("event_type", "value").agg(F.count_distinct("event_id").alias("n"))
+
+
+@query("""WITH a AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS r, count(*) OVER () AS n FROM events)
+SELECT a.event_id, b.value FROM a JOIN a b ON a.r = (b.r + 100) % b.n""")
+def rolled_rows(spark, sf):
+    return epochs.rolled(read(spark, sf, "events").select("event_id", "ts", "value"), ORDER, "value", 100).select("event_id", "value")
+
+
+@query("SELECT 50000 AS n_draws, 50000 AS n_numbers, 0 AS n_unknown, 0 AS n_weightless")
+def weighted_draws(spark, sf):
+    """As many draws as were asked for, each of a row of the table with some weight."""
+    e = read(spark, sf, "events").select("event_id", "ts", "event_type", "value").withColumn("w", F.when(F.col("event_type") != "error", F.col("value")))
+    out = epochs.draws(e, ORDER, 50_000, weight="w", seed=5)
+    known = out.join(e.select("event_id").withColumn("known", F.lit(1)), "event_id", "left")
+    return known.agg(F.count("*").cast("int").alias("n_draws"), F.count_distinct("draw").cast("int").alias("n_numbers"), F.sum(F.col("known").isNull().cast("int")).cast("int").alias("n_unknown"), F.sum((F.coalesce("w", F.lit(0.0)) <= 0).cast("int")).cast("int").alias("n_weightless"))
+
+
+# Features of whole series by a table of settings
+
+SQL_FEATURES = {
+    **dict.fromkeys(("length", "sum_values", "mean", "median", "standard_deviation", "variance", "root_mean_square", "maximum", "absolute_maximum", "minimum", "abs_energy", "variation_coefficient", "skewness", "kurtosis", "count_above_mean", "count_below_mean")),
+    **dict.fromkeys(("share_of_distinct_values", "absolute_sum_of_changes", "mean_abs_change", "mean_change", "mean_second_derivative", "first_location_of_maximum", "first_location_of_minimum", "last_location_of_maximum")),
+    "quantile": [{"q": 0.1}, {"q": 0.75}],
+    "ratio_beyond_sigma": [{"r": 1}],
+    "complexity": [{"normalize": False}, {"normalize": True}],
+    "time_reversal_asymmetry": [{"lag": 1}],
+    "c3": [{"lag": 2}],
+    "number_crossing": [{"m": 50}],
+    "number_peaks": [{"n": 1}],
+    "linear_trend": [{"attr": a} for a in ("slope", "intercept", "r")],
+    "autocorrelation": [{"lag": 1}, {"lag": 4}],
+    "partial_autocorrelation": [{"lag": 1}],
+}
+
+
+def _series(spark, sf):
+    """Each user's values in order, errors left out, as an array."""
+    e = events(spark, sf).where("v is not null").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "v"))).alias("s"))
+    return e.select("user_id", F.transform("s", lambda r: r["v"]).alias("v"))
+
+
+@query(f"""WITH {EV}, a AS (SELECT user_id, v, row_number() {W} - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n, avg(v) OVER (PARTITION BY user_id) AS mu, stddev_pop(v) OVER (PARTITION BY user_id) AS sd,
+    lag(v) {W} AS b1, lag(v, 2) {W} AS b2, lag(v, 4) {W} AS b4, lead(v) {W} AS f1, max(v) OVER (PARTITION BY user_id) AS hi, min(v) OVER (PARTITION BY user_id) AS lo FROM e WHERE v IS NOT NULL),
+g AS (SELECT user_id, any_value(n) AS n, any_value(mu) AS mu, any_value(sd) AS sd, sum(v) AS s, median(v) AS md, sum(v * v) AS ss, max(v) AS hi, min(v) AS lo, max(abs(v)) AS ahi, skewness(v) AS sk, kurtosis(v) AS ku,
+    sum(CASE WHEN v > mu THEN 1 ELSE 0 END) AS above, sum(CASE WHEN v < mu THEN 1 ELSE 0 END) AS below, count(DISTINCT v) AS dist, sum(abs(v - b1)) AS ac, avg(abs(v - b1)) AS mac, sum(v - b1) AS ch, sum(v - 2 * b1 + b2) AS ch2,
+    min(t) FILTER (v = hi) AS fhi, min(t) FILTER (v = lo) AS flo, max(t) FILTER (v = hi) AS lhi, quantile_cont(v, 0.1) AS q1, quantile_cont(v, 0.75) AS q3, avg(CASE WHEN abs(v - mu) > sd THEN 1.0 ELSE 0.0 END) AS rb,
+    sum((v - b1) * (v - b1)) AS cc, avg(v * v * b1 - b1 * b2 * b2) AS tra, avg(v * b2 * b4) AS c3, sum(CASE WHEN (v > 50) <> (b1 > 50) THEN 1 ELSE 0 END) AS crossing, sum(CASE WHEN v > b1 AND v > f1 THEN 1 ELSE 0 END) AS peaks,
+    regr_slope(v, t) AS slope, regr_intercept(v, t) AS icpt, corr(v, t) AS r, avg((v - mu) * (b1 - mu)) AS a1, avg((v - mu) * (b4 - mu)) AS a4, sum((v - mu) * (b1 - mu)) AS s1, var_pop(v) AS var FROM a GROUP BY 1)
+SELECT user_id, {", ".join(f"round(CAST({e} AS DOUBLE), 6) AS v__{c}" for c, e in [
+    ("length", "n"), ("sum_values", "s"), ("mean", "mu"), ("median", "md"), ("standard_deviation", "sd"), ("variance", "var"), ("root_mean_square", "sqrt(ss / n)"), ("maximum", "hi"), ("absolute_maximum", "ahi"), ("minimum", "lo"), ("abs_energy", "ss"),
+    ("variation_coefficient", "sd / mu"), ("skewness", "sk"), ("kurtosis", "ku"), ("count_above_mean", "above"), ("count_below_mean", "below"), ("share_of_distinct_values", "dist / n"), ("absolute_sum_of_changes", "ac"), ("mean_abs_change", "mac"),
+    ("mean_change", "ch / (n - 1)"), ("mean_second_derivative", "ch2 / (2 * (n - 2))"), ("first_location_of_maximum", "fhi / n"), ("first_location_of_minimum", "flo / n"), ("last_location_of_maximum", "(lhi + 1) / n"), ("quantile__q_0_1", "q1"), ("quantile__q_0_75", "q3"),
+    ("ratio_beyond_sigma__r_1", "rb"), ("complexity__normalize_False", "sqrt(cc)"), ("complexity__normalize_True", "sqrt(cc) / sd"), ("time_reversal_asymmetry__lag_1", "tra"), ("c3__lag_2", "c3"), ("number_crossing__m_50", "crossing"), ("number_peaks__n_1", "peaks"),
+    ("linear_trend__attr_slope", "slope"), ("linear_trend__attr_intercept", "icpt"), ("linear_trend__attr_r", "r"), ("autocorrelation__lag_1", "a1 / var"), ("autocorrelation__lag_4", "a4 / var"), ("partial_autocorrelation__lag_1", "s1 / (n * var)")])}
+FROM g WHERE n >= 12""")
+def series_features(spark, sf):
+    """Those features of users with 12 values or more that SQL can say."""
+    return rounded(extract.extract(_series(spark, sf).where("size(v) >= 12"), "v", SQL_FEATURES))
+
+
+@query()
+def series_features_comprehensive(spark, sf):
+    """All of them, entropies and spectra included, for every user."""
+    return extract.extract(_series(spark, sf), "v", "comprehensive")

@@ -122,6 +122,24 @@ def quantiles(df: DataFrame, columns: Names, shares: Iterable[float]) -> DataFra
     return found.select("variable", F.array(*[value(i, p) for i, p in enumerate(place)]).alias("q"))
 
 
+def number_panel(df: DataFrame, ids: Names, order: Names, name: str = "_rn", count: str | None = None, slices: int = 256) -> DataFrame:
+    """numbered() for entities too long for one task: each entity's rows are numbered in slices of the first order column, and those of
+    its slices before are added. The slices' bounds are of the whole table, so an entity with most rows is in most slices."""
+    ids, order = listed(ids), listed(order)
+    df = _sliced(df, order[0], df, slices)
+    counts = df.groupBy(*[F.col(c).alias(f"_of_{c}") for c in ids], F.col("_slice").alias("_s")).agg(F.count("*").alias("_m"))
+    entity = [f"_of_{c}" for c in ids]
+    # slices at most for each entity
+    counts = counts.withColumn("_before", F.sum("_m").over(before(over(entity, "_s"))) - F.col("_m")).withColumn("_total", F.sum("_m").over(whole(entity)))
+    same = F.col("_slice") == F.col("_s")
+    for c in ids:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = df.join(counts, same)
+    out = out.withColumn(name, (F.row_number().over(over([*ids, "_slice"], order)) + F.col("_before")).cast("long"))
+    out = out.withColumn(count, F.col("_total")) if count else out
+    return out.drop("_slice", "_s", "_m", "_before", "_total", *entity)
+
+
 def number_series(df: DataFrame, order: Names, name: str = "_rn", count: str | None = None, slices: int = 256) -> DataFrame:
     """Numbers the rows of one series in parallel: rows are dealt out to slices of the first order column, whose bounds are
     approximate quantiles, numbered within these, and the slices before are added. Nulls are in the first slice, as in a sort."""

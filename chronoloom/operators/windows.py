@@ -6,10 +6,12 @@ the number of windows is 1 + (n - mx - L) // stride; ``padding`` says at which e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frame import Names, listed, numbered, over, whole
+from .frame import Names, listed, number_panel, numbered, over, sliceable, whole
 
 
 def horizon_steps(horizon: int | list[int]) -> list[int]:
@@ -36,13 +38,20 @@ def sliding_windows(
     add_padding_feature: bool = True,
     y_is_x_checked: bool = True,
     chunk: int = 100_000,
+    chunked: bool | None = None,
+    ascending: bool = True,
+    y_func: Callable[[Column], Column] | None = None,
+    processor: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(ids, order of the anchor, window, x arrays, y): one row for each window, windows numbered from 0 in each entity.
 
     A y column is a scalar for one horizon step and an array for several. stride 0 or None: windows don't overlap.
     Entities that are too short have no window unless the remainder is padded. Null values keep their places. With
-    padding, ``padding_flag`` is an array of 1 for padded steps. A single series (no ids, not padded) is framed in chunks of so
-    many rows, each with the few rows around it that its windows reach.
+    padding, ``padding_flag`` is an array of 1 for padded steps. ``chunked`` series (by default one without ids; not padded) are
+    numbered in slices and framed in chunks of so many rows, each with the few rows around it that its windows reach: no task holds an
+    entity. Not ascending: steps run from the order's end to its start. y_func makes of each y column, an array of its steps or one
+    step, what stands for it, and may look into the window. ``processor`` makes of all windows what is returned: an
+    expression over them, a filter, or mapInPandas for a function over batches of windows.
     """
     if padding not in ("pre", "post"):
         raise ValueError("padding must be 'pre' or 'post'")
@@ -50,9 +59,14 @@ def sliding_windows(
     stride = stride or window_len
     steps = horizon_steps(horizon) if y else [0]
     mx, mn = max(0, *steps), min(steps)
-    if y and mn <= 0 and y_is_x_checked and set(x) & set(y):
+    if y and mn <= 0 and y_is_x_checked and not y_func and set(x) & set(y):
         raise ValueError("a target within the window must not be one of its features")
-    df = numbered(df.select(*dict.fromkeys([*ids, *order, *x, *y])), ids, order, "_rn", "_all")
+    chunked = not ids if chunked is None else chunked
+    if chunked and pad_remainder:
+        chunked = False if not ids else _refuse("a padded panel can't be chunked")
+    df = df.select(*dict.fromkeys([*ids, *order, *x, *y]))
+    df = number_panel(df, ids, order, "_rn", "_all") if chunked and ids and sliceable(df, order[0]) else numbered(df, ids, order, "_rn", "_all")
+    df = df if ascending else df.withColumn("_rn", F.col("_all") + 1 - F.col("_rn"))
     df = df.where(F.col("_rn") > start).withColumn("_rn", F.col("_rn") - start).withColumn("_n", F.col("_all") - start)
     need = F.col("_n") - mx - window_len
     by = ["_rn"]
@@ -71,12 +85,12 @@ def sliding_windows(
         df = df.withColumn("_rn", (F.col("_rn") - low + 1)).withColumn("_n", F.count("*").over(whole(ids)))
         need = F.col("_n") - mx - window_len
     parts = list(ids)
-    if not ids and not pad_remainder:
+    if chunked:
         back, size = window_len - 1 + max(0, -mn), max(chunk, window_len + mx + max(0, -mn))
         own, at = F.floor((F.col("_rn") - 1) / size), F.pmod(F.col("_rn") - 1, F.lit(size))
         also = F.array(own, F.when(at < mx, own - 1), F.when(at >= size - back, own + 1))
         df = df.withColumn("_own", own).withColumn("_chunk", F.explode(F.filter(also, lambda c: c.isNotNull())))
-        parts = ["_chunk"]
+        parts = [*ids, "_chunk"]
     w = over(parts, by)
     first = F.lit(0) if padding == "post" or not mx or pad_remainder else F.pmod(need, F.lit(stride))
     frame = w.rowsBetween(-(window_len - 1), 0)
@@ -90,15 +104,20 @@ def sliding_windows(
     df = df.where("_own = _chunk") if "_chunk" in parts else df
     anchor = F.col("_rn") - first - window_len
     df = df.where((anchor >= 0) & (anchor % stride == 0) & (F.col("_rn") + mx <= F.col("_n")))
+    ahead = {c: F.col(f"_y{i}") if y_func is None else y_func(F.col(f"_y{i}")) for i, c in enumerate(y)}
     out = df.select(
         *ids,
         *[o for o in order if o not in ids],
         (anchor / stride).cast("long").alias("window"),
         *[_member(i).alias(f"{c}_x" if c in y or c in order or c in ids else c) for i, c in enumerate(x)],
-        *[F.col(f"_y{i}").alias(f"{c}_y" if c in x or c in order or c in ids else c) for i, c in enumerate(y)],
+        *[v.alias(f"{c}_y" if c in x or c in order or c in ids else c) for c, v in ahead.items()],
         *([F.transform("_w", lambda s: s["_pad"]).alias("padding_flag")] if pad_remainder and add_padding_feature else []),
     )
-    return out
+    return processor(out) if processor else out
+
+
+def _refuse(why: str):
+    raise ValueError(why)
 
 
 def _member(i: int) -> Column:
