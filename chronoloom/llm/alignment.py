@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
 from .bytebpe import schema, segments, slices, texts_of
-from .common import others, read, small, stash
+from .common import lookup, others, read, stash
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: A key with more than this part of all rows is hot; so many keys at most can be.
-PARTS = 1 << 16
 #: Segments a task remembers.
 REMEMBERED = 250_000
 OWN = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -201,21 +199,6 @@ def _expand(a_path: str, b_path: str):
     return run
 
 
-def lookup(rows: DataFrame, side: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """rows inner join side, a stashed table with a row for each key that says in ``weight`` how many rows have it.
-
-    Keys with more than 1/65,536 of all rows, which 65,536 at most can be, are broadcast if these take 64 MB at most: their rows, most
-    of all, stay where they are and none makes a large partition. The rows of all other keys are shuffled.
-    """
-    total = side.agg(F.sum(weight)).first()[0] or 0
-    side_ = side.drop(weight)
-    hot = side.where(F.col(weight) * PARTS > total).drop(weight)
-    if not small(hot):
-        return rows.join(side_, keys)
-    cold = side.where(F.col(weight) * PARTS <= total).drop(weight)
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
-
-
 class Alignment:
     """The tables of an alignment, each worked out once and kept in the scratch folder.
 

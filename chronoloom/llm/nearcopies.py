@@ -8,8 +8,10 @@ similarity of their whole sets. Work is on distinct sets, so copies cost nothing
 
 First each set is compared with the least of its bands, which links most of a group of copies by one comparison for each member.
 Bands that hold more than ``hot`` sets (passages that very many texts share) are not paired: round by round, each member is
-compared with one member, drawn at random in a band, of another class than its own, till rounds link next to nothing. In the
-other bands all pairs of different classes are compared. So no group's size enters as a square.
+compared with one member, drawn at random in a band, of another class than its own, till rounds link next to nothing. What is of
+different classes then is compared exactly, by prefixes: of a set's shingles in the order of their rarity, two sets as similar
+as asked must share one among the first few, so passages that many share, last in this order, bring no pairs together. In the other bands
+all pairs of different classes are compared.
 """
 
 from __future__ import annotations
@@ -19,16 +21,16 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop, hinted, keep_least, pick, stash
+from .common import components, drop, hinted, keep_least, lookup, pick, stash
 from .simhash import links as bit_links
 from .simhash import voted
 
 BANDS, ROWS = 16, 3
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-#: Rounds in a row in which fewer than this share of the comparisons are links, after which members of hot bands count as compared.
+#: Rounds in a row in which fewer than this share of the comparisons are links, after which members of hot bands are compared by prefixes.
 IDLE, YIELD = 3, 0.02
 
 
@@ -76,6 +78,30 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp long, s array<long>")
 
 
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of sets (fp, n, class, s) of different classes that may be as similar as asked; all that are, are among these.
+
+    Two sets whose Jaccard similarity is t or more share t / (1 + t) of their sizes' sum, so, in one order of all shingles, their first common
+    one has at least that many places left in either. The order is by frequency, rarest first. Only classes that meet in a
+    shingle are paired, so what one class has of it is never compared with itself.
+    """
+    rows = sets.select("fp", "n", "class", F.explode("s").alias("h"))
+    counts = stash(rows.groupBy("h").agg(F.count("*").alias("f")), "near-counts")
+    ranked = lookup(rows, counts.withColumn("times", F.col("f")), ["h"], "f")
+    at = F.row_number().over(Window.partitionBy("fp").orderBy("times", "h")) - 1
+    left = lambda share: F.col("n") - F.col("at") >= F.ceil(share * F.col("n") - 1e-9)
+    entries = stash(ranked.withColumn("at", at).where(left(F.lit(similarity)) & (F.col("times") > 1)).select("fp", "n", "class", "h", "at"), "near-prefixes")
+    classes = entries.select("h", "class").distinct()
+    meet = stash(classes.withColumnRenamed("class", "c").join(classes.withColumnRenamed("class", "d"), "h").where("c <> d"), "near-meet")
+    # The smaller set of a pair (of equal ones that with the smaller hash) has the shorter prefix.
+    x = entries.where(left(F.lit(2 * similarity / (1 + similarity)))).select(F.col("fp").alias("x"), F.col("n").alias("p"), F.col("class").alias("c"), "h", F.col("at").alias("i"))
+    y = entries.select(F.col("fp").alias("y"), F.col("n").alias("q"), F.col("class").alias("d"), "h", F.col("at").alias("j"))
+    needed = F.ceil(similarity / (1 + similarity) * (F.col("p") + F.col("q")) - 1e-9)
+    ordered = (F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("x") < F.col("y")))
+    fit = ordered & (F.col("p") >= similarity * F.col("q")) & (F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) >= needed)
+    return x.join(meet, ["h", "c"]).join(y, ["h", "d"]).where(fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = 32) -> DataFrame:
     """(doc_id, component_id) for each row: the class of texts linked at ``similarity`` of their distinct shingles or more.
 
@@ -136,6 +162,15 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
             roots = stash(components(links), "near-roots")
         elif more.isEmpty():
             break
+    # What shares a hot band and is of different classes still
+    now = classed(crowd)
+    apart = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+    left = stash(now.join(apart, "key", "left_semi").select("fp", "n", "class").distinct(), "near-left")
+    if not left.isEmpty():
+        found = verified(stash(prefix_pairs(left.join(sets, "fp"), similarity).join(tried, ["a", "b"], "left_anti"), "near-found"))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = stash(components(links), "near-roots")
     # What shares a band that isn't hot and is of different classes still
     some = stash(classed(shared.where(F.col("members").between(2, hot)).select("key", "fp", "n")), "near-some")
     apart = some.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")

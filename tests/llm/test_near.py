@@ -57,3 +57,42 @@ def test_near_copies_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in nearcopies.keep_first(docs).collect()) == ["1", "3", "None", "None"]
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
+
+
+def shared_passage(texts=360, pairs=40):
+    """Texts that share a 350-word passage, any two 0.71 alike, and among them pairs at 0.8 or more: in hot bands these are few."""
+    rng = random.Random(9)
+    own = lambda n: [f"{rng.choice(VOCAB)}{rng.randrange(10_000)}" for _ in range(n)]
+    passage, out = own(350), []
+    for i in range(texts):
+        tail = own(70)
+        out.append(" ".join(passage + tail))
+        if i < pairs:
+            for k in rng.sample(range(70), 1 + i % 6):
+                tail[k] = "changed"
+            out.append(" ".join(passage + tail))
+    return out
+
+
+@pytest.mark.parametrize("idle", [3, 0])
+def test_pairs_in_hot_bands(spark, monkeypatch, idle):
+    """None is lost, with drawn rounds before the exact comparison and without."""
+    monkeypatch.setattr(nearcopies, "IDLE", idle)
+    texts = shared_passage()
+    want = classes(texts)
+    assert sum(c != i for i, c in want.items()) == 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == want
+
+
+def test_prefixes_hold_all_pairs(spark, texts):
+    """Every pair as similar as asked, of any classes, is among those named, at several similarities."""
+    sets = [sorted({hash(g) for g in shingles(t)}) for t in [*texts, *shared_passage(60, 20)]]
+    rows = [(i, len(s), i, s) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "fp long, n int, class long, s array<long>").repartition(4)
+    for least in (0.5, 0.8, 0.95):
+        want = {(a, b) for b in range(len(sets)) for a in range(b) if len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= least}
+        got = {(r["a"], r["b"]) for r in nearcopies.prefix_pairs(df, least).collect()}
+        assert want <= got and len(want) > 10
+    kin = df.withColumn("class", (df["fp"] / 7).cast("long"))
+    assert all(a // 7 != b // 7 for a, b in nearcopies.prefix_pairs(kin, 0.8).collect())

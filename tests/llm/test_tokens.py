@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from chronoloom.llm import alignment, bytebpe
+from chronoloom.llm import alignment, bytebpe, common
 from chronoloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -153,7 +153,7 @@ COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_s
 @pytest.mark.parametrize("parts", [1 << 16, 20])
 def test_alignment(monkeypatch, docs, texts, parts):
     """With 20 parts next to nothing is hot, so both joins' other way is taken."""
-    monkeypatch.setattr(alignment, "PARTS", parts)
+    monkeypatch.setattr(common, "PARTS", parts)
     done, counts = brute_alignment(dict(enumerate(texts)))
     found = alignment.align(docs, *alignment.defaults())
     out = found.documents()
