@@ -8,7 +8,7 @@ similarity of their whole sets. Work is on distinct sets, so copies cost nothing
 
 First each set is compared with the least of its bands, which links most of a group of copies by one comparison for each member.
 Bands that hold more than ``hot`` sets (passages that very many texts share) are not paired: round by round, each member is
-compared with one member, drawn at random in a band, of another class than its own, till rounds link next to nothing. What is of
+compared with one member, drawn at random in a band, of another class than its own, as long as most comparisons are links. What is of
 different classes then is compared exactly, by prefixes: of a set's shingles in the order of their rarity, two sets as similar
 as asked must share one among the first few, so passages that many share, last in this order, bring no pairs together. In the other bands
 all pairs of different classes are compared.
@@ -30,8 +30,9 @@ from .simhash import voted
 
 BANDS, ROWS = 16, 3
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-#: Rounds in a row in which fewer than this share of the comparisons are links, after which members of hot bands are compared by prefixes.
-IDLE, YIELD = 3, 0.02
+#: Rounds in a row in which fewer than this share of the comparisons are links, after which members of hot bands are compared by prefixes:
+#: rounds only merge classes sooner, results are the same without any.
+IDLE, YIELD = 1, 0.5
 
 
 def shingles(text: bytes, k: int = 5) -> np.ndarray:
@@ -99,7 +100,11 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     needed = F.ceil(similarity / (1 + similarity) * (F.col("p") + F.col("q")) - 1e-9)
     ordered = (F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("x") < F.col("y")))
     fit = ordered & (F.col("p") >= similarity * F.col("q")) & (F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) >= needed)
-    return x.join(meet, ["h", "c"]).join(y, ["h", "d"]).where(fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = x.join(meet, ["h", "c"]).join(y, ["h", "d"]).where(fit)
+    # Those shared so far, and what is left in either behind the last of them, must still be enough.
+    met = met.groupBy("x", "y", "p", "q").agg(F.count("*").alias("same"), F.max("i").alias("i"), F.max("j").alias("j"))
+    met = met.where(F.col("same") + F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) - 1 >= needed)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot: int = 32) -> DataFrame:
@@ -167,10 +172,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hot:
     apart = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
     left = stash(now.join(apart, "key", "left_semi").select("fp", "n", "class").distinct(), "near-left")
     if not left.isEmpty():
-        found = verified(stash(prefix_pairs(left.join(sets, "fp"), similarity).join(tried, ["a", "b"], "left_anti"), "near-found"))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = stash(components(links), "near-roots")
+        # A few partners of each set first: what these link needs no further comparison. Then more, till no pair of two classes is left.
+        untried, some = stash(prefix_pairs(left.join(sets, "fp"), similarity).join(tried, ["a", "b"], "left_anti"), "near-untried"), 2
+        while not untried.isEmpty():
+            ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
+            apart = untried.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+            apart = stash(apart.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))), "near-apart")
+            found = verified(apart.where(F.col("turn") <= some).select("a", "b"))
+            untried, some = apart.where(F.col("turn") > some).select("a", "b"), 16 * some
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                roots = stash(components(links), "near-roots")
     # What shares a band that isn't hot and is of different classes still
     some = stash(classed(shared.where(F.col("members").between(2, hot)).select("key", "fp", "n")), "near-some")
     apart = some.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
