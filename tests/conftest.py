@@ -10,6 +10,8 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     s = (
@@ -19,6 +21,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
