@@ -665,7 +665,8 @@ def zeroed_blocks(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, round(regr_intercept(l_extendedprice, l_quantity) OVER w + regr_slope(l_extendedprice, l_quantity) OVER w * l_quantity, 3) AS line FROM lineitem WINDOW w AS (PARTITION BY l_linenumber)")
 def trend_line(spark, sf):
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(reshape.trend("l_quantity", "l_extendedprice", "l_linenumber"), 3).alias("line"))
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return reshape.trend(rows, "l_quantity", "l_extendedprice", "l_linenumber").select("l_orderkey", "l_linenumber", F.round("trend", 3).alias("line"))
 
 
 @query("WITH r AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n, value FROM events) SELECT (rn - 1) // 64 AS batch, count(*) AS n, round(sum(value), 4) AS s FROM r WHERE rn <= n - n % 64 GROUP BY 1")

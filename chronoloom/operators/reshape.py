@@ -71,10 +71,19 @@ def drop_by_key(df: DataFrame, x: Names, key: str, chances: dict, row_key: str,
     return df.withColumns({c: lose(c) for c in listed(x)})
 
 
-def trend(x: str, y: str, ids: Names) -> Column:
-    """The straight line of least squares through (x, y), at each row."""
-    w = Window.partitionBy(*listed(ids))
-    return F.regr_intercept(y, x).over(w) + F.regr_slope(y, x).over(w) * F.col(x)
+def trend(df: DataFrame, x: str, y: str, ids: Names, name: str = "trend") -> DataFrame:
+    """Adds the straight line of least squares through (x, y) of each group, at each row.
+
+    Slopes and intercepts are one aggregate with partial sums and joined by group, which Spark broadcasts where they are few: no task
+    holds a group. Null ids are a group of their own.
+    """
+    ids = listed(ids)
+    lines = df.groupBy(*[F.col(c).alias(f"_of_{c}") for c in ids]).agg(F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_intercept"))
+    same = F.lit(True)
+    for c in ids:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = df.join(lines, same, "left").withColumn(name, F.col("_intercept") + F.col("_slope") * F.col(x))
+    return out.drop("_slope", "_intercept", *[f"_of_{c}" for c in ids])
 
 
 def human_size(c: str | Column, decimals: int = 2) -> Column:

@@ -60,7 +60,7 @@ def test_small_things(spark):
     stats = reshape.random_statistics(big, "v", "id", 20)
     assert stats["mean_mean"] == pytest.approx(4.5, abs=0.2) and stats["std_mean"] == pytest.approx(2.87, abs=0.2)
     line = spark.createDataFrame([(float(i), 2.0 * i + 1, 0) for i in range(5)], "x double, y double, g int")
-    assert all(r[0] == pytest.approx(r[1]) for r in line.select("y", reshape.trend("x", "y", "g")).collect())
+    assert all(r[0] == pytest.approx(r[1]) for r in reshape.trend(line, "x", "y", "g").select("y", "trend").collect())
 
 
 def test_tabular(spark):
