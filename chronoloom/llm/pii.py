@@ -2,9 +2,11 @@
 
 The forms' matches are seeds: the four kinds of the contract, and secrets, which are long hexadecimal strings. What stands before a
 seed is a lexical pattern: the word before, with the one before that if it is punctuation (``token =``), or the key joined to
-it (``tel=``). A pattern's score is the share of all its occurrences in the corpus that precede a known identifier; an
-identifier's score is one minus the product of its patterns' doubts. Round by round, confident patterns make unseen
-identifiers known, and these induce patterns in turn, till a round finds nothing new.
+it (``tel=``). A pattern's score for a kind is its known identifiers of that kind against what can be none: all its occurrences in
+the corpus before plain words, before known ones of other kinds, before values that a form fits but not its check, and before
+values of a shape (kinds of characters, and length by powers of two) that no known one of the kind has. An unseen value of such a
+shape says nothing: it may be what is sought. An identifier's score is one minus the product of its patterns' doubts. Round by
+round, confident patterns make unseen identifiers known, and these induce patterns in turn, till a round finds nothing new.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, hinted, let, pick, read, stash, words
+from .common import WS, drop, hinted, let, pick, read, stash, words
 
 #: The kinds that the fixed forms must give, and all kinds of spans.
 BASE = ("email", "ip", "card", "phone")
@@ -36,6 +38,8 @@ _KEY = r"^[^A-Za-z]?([A-Za-z][A-Za-z_-]*[=:])[^A-Za-z0-9+]*+(?=.)"
 _LETTERS = r"[\p{L}\p{N}]"
 #: A pattern needs this score and so many different known identifiers; an identifier needs the score too.
 LEAST_SCORE, LEAST_SUPPORT = 0.5, 3
+#: Occurrences against each pattern that are assumed before any is seen, so that little support gives a lower score.
+DOUBT = 1
 
 
 def running(values: Column, op) -> Column:
@@ -169,11 +173,24 @@ def contexts(text: Column) -> Column:
     return let(words(text), lambda ws: F.transform(ws, lambda w, i: of(ws, w, i)))
 
 
+def shape(value: Column) -> Column:
+    """Which kinds of characters a value has (letters, digits, others, as bits) and how long it is, by powers of two: 8 numbers for each length."""
+    has = lambda form, bit: F.when(value.rlike(form), bit).otherwise(0)
+    return has(r"\p{L}", 1) + has("[0-9]", 2) + has(r"[^\p{L}0-9]", 4) + 8 * F.floor(F.log2(F.greatest(F.char_length(value), F.lit(1)))).cast("int")
+
+
+def failed(value: Column) -> Column:
+    """The numbers of the kinds whose form a value has as a whole without passing its check."""
+    checked = ("ip", "card", "phone", "secret")
+    return F.array_compact(F.array(*[F.when(value.rlike(f"^(?:{FORMS[kind]})$") & ~_right(kind, value), KINDS.index(kind)) for kind in checked]))
+
+
 def discover(things: DataFrame, docs: DataFrame, score: float = LEAST_SCORE, support: int = LEAST_SUPPORT, rounds: int | None = None) -> DataFrame:
     """(value, kind) of the known identifiers and of those that confident patterns reveal.
 
     things: (ctx, value, kind[, mate]), one row for each place; a mate is a longer value at the same place. docs: the texts in which
-    contexts are counted. Rounds go on till one finds nothing new, or as many as given.
+    contexts are counted. Rounds go on till one finds nothing new, or as many as given. A value that has a kind's form but fails
+    its check is never that kind. Null and empty contexts make no pattern; without known identifiers nothing is found.
     """
     things = things if "mate" in things.columns else things.withColumn("mate", F.lit(None).cast("string"))
     graph = stash(things.groupBy("ctx", "value", "mate").agg(F.count("*").alias("n"), F.min("kind").alias("kind")), "pii-graph")
@@ -181,20 +198,35 @@ def discover(things: DataFrame, docs: DataFrame, score: float = LEAST_SCORE, sup
     each = graph.where("ctx <> ''").select("ctx", F.explode(F.array("value", "mate")).alias("value")).where("value is not null")
     asked = hinted(stash(each.groupBy("ctx").agg(F.count_distinct("value").alias("d")).where(F.col("d") >= support).select("ctx"), "pii-contexts"))
     said = docs.select(F.explode(contexts(F.col("text"))).alias("ctx"))
-    totals = stash(said.join(asked, "ctx").groupBy("ctx").agg(F.count("*").alias("total")), "pii-totals")
-    graph = stash(graph.join(hinted(totals), "ctx", "left"), "pii-counted")
-    fresh = graph.where("kind is null and total is not null").select("ctx", F.explode(F.array("value", "mate")).alias("value")).where("value is not null").distinct()
+    totals = said.join(asked, "ctx").groupBy("ctx").agg(F.count("*").alias("total"))
+    held = graph.join(asked, "ctx").groupBy("ctx").agg(F.sum("n").alias("held"))
+    totals = stash(totals.join(held, "ctx").select("ctx", F.greatest(F.col("total") - F.col("held"), F.lit(0)).alias("plain")), "pii-totals")
+    graph = graph.join(hinted(totals), "ctx", "left").withColumn("shape", shape(F.col("value"))).withColumn("mate_shape", shape(F.col("mate"))).withColumn("failed", failed(F.col("value")))
+    graph = stash(graph, "pii-counted")
+    fresh = graph.where("kind is null and plain is not null").select("ctx", F.explode(F.array("value", "mate")).alias("value")).where("value is not null")
+    fresh = stash(fresh.select("ctx", "value", failed(F.col("value")).alias("failed")).distinct(), "pii-fresh")
     known = stash(graph.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")), "pii-known")
     for _ in count() if rounds is None else range(rounds):
         own = hinted(known)
-        held = graph.where("total is not null").join(own.withColumnRenamed("kind", "k"), "value", "left")
-        held = held.join(own.select(F.col("value").alias("mate"), F.col("kind").alias("m")), "mate", "left").withColumn("is", F.coalesce("kind", "m", "k")).where("is is not null")
-        patterns = held.groupBy("ctx", F.col("is").alias("kind")).agg(F.sum("n").alias("hits"), F.count_distinct(F.when(F.col("m").isNotNull(), F.col("mate")).otherwise(F.col("value"))).alias("different"), F.first("total").alias("total"))
-        patterns = patterns.where(F.col("different") >= support).select("ctx", "kind", (F.col("hits") / F.col("total")).alias("score")).where(F.col("score") >= score)
+        said = graph.where("plain is not null").join(own.withColumnRenamed("kind", "k"), "value", "left")
+        said = said.join(own.select(F.col("value").alias("mate"), F.col("kind").alias("m")), "mate", "left").withColumn("is", F.coalesce("kind", "m", "k"))
+        said = stash(said.withColumn("as", F.when(F.col("m").isNotNull(), F.col("mate")).otherwise(F.col("value"))), "pii-said")
+        patterns = said.where("is is not null").groupBy("ctx", F.col("is").alias("kind")).agg(F.sum("n").alias("hits"), F.count_distinct("as").alias("different"), F.first("plain").alias("plain"))
+        patterns = stash(patterns.where(F.col("different") >= support).drop("different"), "pii-patterns")
+        # of the other occurrences, a row for each context, kind and shape
+        rest = said.groupBy("ctx", "is", F.when(F.col("is").isNull(), F.struct("shape", "mate_shape", "failed")).alias("look")).agg(F.sum("n").alias("n"))
+        rest = hinted(patterns).select("ctx", "kind").join(rest, "ctx").where(F.col("is").isNull() | (F.col("is") != F.col("kind")))
+        looks = own.groupBy("kind").agg(F.collect_set(shape(F.col("value"))).alias("looks"))  # a row for each kind, 8 numbers for each power of two
+        rest = rest.join(F.broadcast(looks), "kind")
+        alike = (F.array_contains("looks", F.col("look.shape")) & ~F.array_contains("look.failed", F.col("kind"))) | F.coalesce(F.array_contains("looks", F.col("look.mate_shape")), F.lit(False))
+        rest = rest.groupBy("ctx", "kind").agg(F.sum(F.when(F.col("is").isNull() & alike, 0).otherwise(F.col("n"))).alias("against"))
+        patterns = patterns.join(rest, ["ctx", "kind"], "left")
+        patterns = patterns.select("ctx", "kind", (F.col("hits") / (F.col("hits") + F.col("plain") + F.coalesce("against", F.lit(0)) + DOUBT)).alias("score")).where(F.col("score") >= score)
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
-        new = fresh.join(patterns, "ctx").groupBy("value", "kind").agg((1 - doubt).alias("score")).where(F.col("score") >= score)
+        new = fresh.join(patterns, "ctx").where(~F.array_contains("failed", F.col("kind"))).groupBy("value", "kind").agg((1 - doubt).alias("score")).where(F.col("score") >= score)
         new = new.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")).join(own, "value", "left_anti")
         new = stash(new, "pii-new")
+        drop(said)
         if new.isEmpty():
             break
         known = stash(known.unionByName(new), "pii-known")
