@@ -84,16 +84,15 @@ def windows(tokens: Column, width: int, kind=lambda x: x, begins=None) -> Column
 def _beginnings(mine: DataFrame):
     """A predicate that holds for all first pairs of the items' windows, and for few others: a constant table of bits.
 
-    With more than a million windows there is none, and all windows of documents are joined.
+    It has 2 MB at most, so with very many windows it holds for more of the others, which the join then leaves out.
     """
-    n = mine.count()
-    if n > MOST_BITS >> 4:
-        return None
-    bits = 1 << max(16, (n * 16).bit_length())
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (mine.count() * 16).bit_length()))
+    place = F.pmod("pair", F.lit(bits))
+    cells = mine.select(F.shiftright(place, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(pair, {bits}) & 63 AS int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("word"))
     table = [0] * (bits >> 6)
-    for r in mine.select(F.pmod("pair", F.lit(bits)).alias("b")).distinct().collect():  # a million numbers at most
-        table[r["b"] >> 6] |= 1 << (r["b"] & 63)
-    held = F.from_json(F.lit(json.dumps([w - (1 << 64) if w >> 63 else w for w in table])), "array<bigint>")
+    for r in cells.collect():  # as many as the table has cells at most, 262,144
+        table[r["cell"]] = r["word"]
+    held = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
     return lambda p: F.getbit(F.get(held, F.shiftright(p.bitwiseAND(F.lit(bits - 1)), 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
@@ -111,12 +110,18 @@ def _covered(ats: Column, size: Column) -> Column:
 def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float = COVERAGE, literals: int = LITERALS) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_slots, reparameterised) for each document and benchmark item that it contains.
 
-    An item of fewer than ``width`` tokens is one window. Null or empty texts, null ids and items of placeholders alone
-    match nothing. Repeated rows count once. Extra columns are ignored; empty tables give an empty result.
+    An item of up to ``width`` tokens is one window; those of up to twice as many, if at most a quarter are placeholders, have windows
+    of half or three quarters of the width, so that one changed word leaves others. Items of numbers, units and names alone are found by their tokens as they are,
+    if they have ``literals`` of them; shorter ones, null or empty texts and null ids match nothing. Repeated rows count once.
+    Extra columns are ignored; empty tables give an empty result.
     """
     items = pick(items, "item_id", "text").where("item_id is not null").dropDuplicates(["item_id"]).select("item_id", raw_tokens(F.col("text")).alias("item"))
-    items = items.withColumn("t", template(F.col("item"))).withColumn("named", template(F.col("item"), True)).where(literal(F.col("t")) > 0)
-    items = stash(items.withColumn("size", F.least(F.size("t"), F.lit(width))), "bench-items")
+    items = items.withColumn("t", template(F.col("item"))).withColumn("named", template(F.col("item"), True)).where((literal(F.col("t")) > 0) | (F.size("t") >= literals))
+    n = F.size("t")
+    # short windows of items rich in numbers or names would tell nothing
+    size = F.when((n > 2 * width) | (n > width) & (literal(F.col("t")) * 4 < n * 3), width)
+    size = size.when(n > width + width // 2, max(1, width * 3 // 4)).when(n > width, max(1, width // 2)).otherwise(n)
+    items = stash(items.withColumn("size", size), "bench-items")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``width`` numbers
     docs = pick(docs, "doc_id", "text").where("doc_id is not null")
     if not sizes:

@@ -1,4 +1,7 @@
-"""Items rich in numbers, and items with a word put in, left out or changed, or with names that begin sentences."""
+"""Items rich in numbers, planted copies with other numbers and names, and items with a word put in, left out or changed, or with names that begin sentences."""
+
+import random
+import re
 
 from chronoloom.llm import decontaminate
 
@@ -34,3 +37,44 @@ def test_names_that_begin_sentences(spark):
     other = item.replace("Tom", "Omar").replace("Maria", "Helena").replace("Peter", "Ines").replace("12", "14")
     mixed = other.replace("gives Omar", "gives Luis")  # one name of the item became two
     assert found(spark, [f"It was so. {other}", mixed, f"It was so. {item}"], [item]) == {(0, 0): True, (2, 0): False}
+
+
+def test_items_of_placeholders_alone(spark):
+    """They are found by their tokens; a single number, or a few names, tells nothing."""
+    items = ["12 + 7 - 3 * 45 / 9 = ?", "12", "Maria and", "3 km 4 km 5"]
+    texts = ["so 12 + 7 - 3 * 45 / 9 = ? it was", "so 13 + 8 - 4 * 45 / 9 it was", "12 of Maria", "about 3 km, 4 km, 5 or so"]
+    assert found(spark, texts, items) == {(0, 0): False, (3, 3): False}
+
+
+def test_one_changed_word_in_short_items(spark):
+    items = [" ".join(WORDS[i : i + n]) for i, n in ((0, 9), (4, 10), (8, 12), (12, 14), (14, 16))]
+    texts = []
+    for item in items:
+        ws = item.split()
+        texts.append(" ".join(["before", *ws[: len(ws) // 2], "town", *ws[len(ws) // 2 + 1 :], "after"]))
+        texts.append(" ".join(ws[: len(ws) // 2]))
+    got = found(spark, texts, items)
+    assert {(2 * i, i) for i in range(len(items))} <= set(got) and not {d for d, _ in got} & {1, 3, 5, 7, 9}
+
+
+def test_planted_copies(spark):
+    """300 items, each in a text as it is and in one with other numbers and names; texts that mix up the names or only share numbers."""
+    rng = random.Random(3)
+    syllables = "ba ce di fo gu ha je ki lo mu na pe ri so tu va we xi yo zu".split()
+    word = lambda: "".join(rng.choices(syllables, k=3))
+    name = lambda: word().capitalize()
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items, texts, same, other = [], [], set(), set()
+    for i in range(300):
+        form = "so {a} had {x} " + prose(5) + " and {b} gave {y} km of " + prose(rng.randrange(2, 14)) + " to {a} so how many " + prose(rng.randrange(2, 8)) + " has {a} now"
+        fill = lambda: form.format(a=name(), b=name(), x=rng.randrange(2, 999), y=rng.randrange(1000, 9999))  # noqa: B023, E731
+        items.append(fill())
+        same.add((len(texts), i))
+        texts.append(f"{prose(40)} {items[-1]} {prose(20)}")
+        other.add((len(texts), i))
+        texts.append(f"{prose(10)} {fill()} {prose(60)}")
+        texts.append(f"{prose(10)} {' '.join(re.findall('[0-9]+|[A-Z][a-z]+', items[-1]))} {prose(9)}")
+    got = found(spark, texts, items)
+    assert same <= set(got) and not any(got[x] for x in same)
+    assert len(other & set(got)) >= 0.9 * len(other) and all(got[x] for x in other & set(got))
+    assert not set(got) - same - other
