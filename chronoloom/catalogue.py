@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, augment
-from .operators import calendar, encode, epochs, extract, fills, metrics, reshape, splits, windows
+from .operators import calendar, encode, epochs, extract, fills, frame, metrics, reshape, scale, splits, windows
 from .operators.frame import over
-from .operators.scale import Scaler, box_cox, clip, clip_outliers, fill_median, signed_log, yeo_johnson
+from .operators.scale import QuantileScaler, Scaler, box_cox, clip, clip_outliers, fill_median, signed_log, yeo_johnson
 from .sources import series
 
 QUERIES: dict = {}
@@ -367,6 +367,39 @@ def nan_to_median(spark, sf):
     return fill_median(events(spark, sf).select("event_id", "user_id", "v"), "v", "user_id").select("event_id", "v")
 
 
+def _horner(of, x):
+    out = str(of[0])
+    for c in of[1:]:
+        out = f"({out} * {x} + {c})"
+    return out
+
+
+_SHARE = "0.5 + exp(-{0} * {0} / 2) / sqrt(2 * pi()) * {0} * list_reduce(list_prepend(1.0::DOUBLE, [(2 * k + 1)::DOUBLE FOR k IN range(80, 0, -1)]), lambda a, d: {0} * {0} / d * a + 1)"
+
+
+@query(f"""WITH q AS (SELECT quantile_cont(o_totalprice::DOUBLE, [i / 100 FOR i IN range(101)]) AS q FROM orders WHERE o_orderkey % 5 < 4), n AS (SELECT o_orderkey, o_totalprice::DOUBLE AS x, q, len(list_filter(q, lambda e: e <= x)) AS j, len(list_filter(q, lambda e: e < x)) AS i FROM orders, q),
+s AS (SELECT o_orderkey, CASE WHEN x <= q[1] THEN 0.0 WHEN x >= q[101] THEN 1.0 ELSE ((j - 1 + (x - q[j]) / (q[j + 1] - q[j])) + (i - 1 + (x - q[i]) / (q[i + 1] - q[i]))) / 200 END AS share, greatest(q[1], least(q[101], x)) AS back FROM n),
+p AS (SELECT *, greatest(1e-7, least(1 - 1e-7, share)) AS p, sqrt(-2 * ln(least(p, 1 - p))) AS r, p - 0.5 AS m FROM s),
+z AS (SELECT *, {_horner(scale._TAIL, "r")} / {_horner(scale._TAIL_BELOW, "r")} AS t, CASE WHEN p < 0.02425 THEN t WHEN p > 1 - 0.02425 THEN -t ELSE {_horner(scale._CENTRE, "(m * m)")} * m / {_horner(scale._CENTRE_BELOW, "(m * m)")} END AS z FROM p)
+SELECT o_orderkey, round(z - ({_SHARE.format("z")} - p) * sqrt(2 * pi()) * exp(z * z / 2), 6) AS z, round(back, 2) AS back FROM z""")
+def quantile_normal(spark, sf):
+    """Prices to a normal distribution, fitted on four fifths of the orders, and back."""
+    o = read(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("z"))
+    model = QuantileScaler("z", 100, where="o_orderkey % 5 < 4").fit(o)
+    z = model.transform(o).withColumn("back", F.col("z"))
+    back = model.inverse(z.select("o_orderkey", F.col("back").alias("z"))).select("o_orderkey", F.round("z", 2).alias("back"))
+    return z.drop("back").withColumn("z", F.round("z", 6)).join(back, "o_orderkey")
+
+
+@query("""WITH q AS (SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.1) AS a, quantile_cont(l_extendedprice, 0.5) AS m, quantile_cont(l_extendedprice, 0.9) AS b, quantile_disc(l_extendedprice, 0.5) AS d FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, l_linestatus, round(a, 4) AS a, round(m, 4) AS m, round(b, 4) AS b, round(CAST(d AS DOUBLE), 4) AS d FROM q""")
+def grouped_quantiles(spark, sf):
+    """Exact quantiles of few groups with very many rows each."""
+    items, ids = read(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"]
+    q = frame.quantiles(items, "l_extendedprice", [0.1, 0.5, 0.9], ids).select(*ids, *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate("amb")])
+    return q.join(frame.quantiles(items, "l_extendedprice", [0.5], ids, lower=True).select(*ids, F.round(F.col("q")[0], 4).alias("d")), ids)
+
+
 @query("SELECT event_id, round(sign(value - 10) * ln(1 + abs(value - 10)), 6) AS l, round(CASE WHEN value - 10 >= 0 THEN (pow(value - 9, 0.5) - 1) / 0.5 ELSE -(pow(11 - value, 1.5) - 1) / 1.5 END, 6) AS y, round((pow(value + 1, 0.3) - 1) / 0.3, 6) AS b, greatest(least(value, 6.0), 2.0) AS c FROM events")
 def value_transforms(spark, sf):
     e = read(spark, sf, "events").withColumns({"d": F.col("value") - 10, "u": F.col("value") + 1})

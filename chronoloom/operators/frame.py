@@ -103,23 +103,52 @@ def running(df: DataFrame, order: str, sums: dict[str, str], by: str | None = No
     return out.withColumns({name: F.sum(c).over(own) + F.col(f"_off_{name}") for name, c in sums.items()}).drop("_slice", *[f"_off_{name}" for name in sums])
 
 
-def quantiles(df: DataFrame, columns: Names, shares: Iterable[float]) -> DataFrame:
-    """(variable, q): exact quantiles of each column, linear between ranks, as an array. Columns without values have no row.
+def quantiles(df: DataFrame, columns: Names, shares: Iterable[float], ids: Names = None, *, lower: bool = False, slices: int = 256) -> DataFrame:
+    """([ids,] variable, q): exact quantiles of each column, linear between ranks, as an array, of the table or of each entity.
 
-    Values are counted, the distinct ones ranked in slices, and the ranks asked for picked: no task holds a column's values.
+    Values are counted, the distinct ones ranked in slices, and the ranks asked for picked: no task holds a column's or an entity's
+    values. lower: the least value whose share of the values reaches the one asked for. Columns without values have no row.
     """
-    columns, shares = listed(columns), list(shares)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    runs = long.groupBy("variable", "v").agg(F.count("*").alias("m"))
-    ranked = running(runs, "v", {"upto": "m"}, "variable", long)
-    total = runs.groupBy("variable").agg(F.sum("m").alias("n"))  # a row for each column
-    ranked = ranked.join(F.broadcast(total), "variable")
-    at = lambda r: F.max(F.when((F.col("upto") - F.col("m") <= r) & (r < F.col("upto")), F.col("v")))
-    place = [(F.col("n") - 1) * F.lit(float(p)) for p in shares]
-    ends = [x for i, p in enumerate(place) for x in (at(F.floor(p)).alias(f"lo{i}"), at(F.ceil(p)).alias(f"hi{i}"))]
-    found = ranked.groupBy("variable", "n").agg(*ends)
-    value = lambda i, p: F.when(F.floor(p) == F.ceil(p), F.col(f"lo{i}")).otherwise((F.ceil(p) - p) * F.col(f"lo{i}") + (p - F.floor(p)) * F.col(f"hi{i}"))
-    return found.select("variable", F.array(*[value(i, p) for i, p in enumerate(place)]).alias("q"))
+    columns, shares, ids = listed(columns), list(shares), listed(ids)
+    long = df.select(*ids, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("_x")).select(*ids, "_x.*").where("_v is not null")
+    runs = long.groupBy(*ids, "variable", "_v").agg(F.count("*").alias("_m"))
+    place = [F.greatest(F.ceil(F.col("_n") * F.lit(float(p))) - 1, F.lit(0)) if lower else (F.col("_n") - 1) * F.lit(float(p)) for p in shares]
+    if ids:
+        ranked = _ranked(runs, [*ids, "variable"], [f(p) for p in place for f in (F.floor, F.ceil)], long, slices)
+    else:
+        total = runs.groupBy("variable").agg(F.sum("_m").alias("_n"))  # a row for each column
+        ranked = running(runs, "_v", {"_upto": "_m"}, "variable", long, slices).join(F.broadcast(total), "variable")
+    at = lambda r: F.max(F.when((F.col("_upto") - F.col("_m") <= r) & (r < F.col("_upto")), F.col("_v")))
+    ends = [x for i, p in enumerate(place) for x in (at(F.floor(p)).alias(f"_lo{i}"), at(F.ceil(p)).alias(f"_hi{i}"))]
+    found = ranked.groupBy(*ids, "variable", "_n").agg(*ends)
+    value = lambda i, p: F.when(F.floor(p) == F.ceil(p), F.col(f"_lo{i}")).otherwise((F.ceil(p) - p) * F.col(f"_lo{i}") + (p - F.floor(p)) * F.col(f"_hi{i}"))
+    return found.select(*ids, "variable", F.array(*[value(i, p) for i, p in enumerate(place)]).alias("q"))
+
+
+def _ranked(runs: DataFrame, keys: list[str], ranks: list[Column], source: DataFrame, slices: int) -> DataFrame:
+    """The runs (keys, _v, _m) of those slices that hold one of the ranks asked for, with _n, the key's rows, and _upto, those up to a run.
+
+    Slices are of the whole table's values, so a key with most rows is in most slices; each (key, slice) is ranked on its own.
+    """
+    runs = _sliced(runs, "_v", source, slices)
+    own = [f"_of_{c}" for c in keys]
+    parts = runs.groupBy(*[F.col(c).alias(n) for c, n in zip(keys, own, strict=True)], F.col("_slice").alias("_s")).agg(F.sum("_m").alias("_all"))
+    # slices at most for each key
+    parts = parts.withColumn("_off", F.sum("_all").over(before(over(own, "_s"))) - F.col("_all")).withColumn("_n", F.sum("_all").over(whole(own)))
+    asked = F.lit(False)
+    for r in ranks:
+        asked = asked | ((F.col("_off") <= r) & (r < F.col("_off") + F.col("_all")))
+    same = F.col("_slice") == F.col("_s")
+    for c, n in zip(keys, own, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    out = runs.join(parts.where(asked), same).drop("_s", *own)
+    return out.withColumn("_upto", F.sum("_m").over(before(over([*keys, "_slice"], "_v"))) + F.col("_off"))
+
+
+def quantile_row(df: DataFrame, columns: Names, shares: Iterable[float], ids: Names = None, **how) -> DataFrame:
+    """quantiles() as one row, or one for each entity: each column is the array of its quantiles, null if it has no values."""
+    columns = listed(columns)
+    return quantiles(df, columns, shares, ids, **how).groupBy(*listed(ids)).pivot("variable", columns).agg(F.first("q"))
 
 
 def number_panel(df: DataFrame, ids: Names, order: Names, name: str = "_rn", count: str | None = None, slices: int = 256) -> DataFrame:

@@ -5,12 +5,13 @@ One aggregation fits all columns. The statistics are taken where a predicate hol
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frame import Names, continuous_columns, listed, quantiles
+from .frame import Names, continuous_columns, listed, quantile_row, quantiles
 
 #: Scalers' centres and scales. standard: sample deviation plus eps; clamped: the deviation, eps at least; robust: interquartile
 #: range plus eps; fence: the width between the outlier fences, four ranges, eps at least; minmax: to the range.
@@ -36,9 +37,9 @@ class Scaler:
         columns = listed(self.columns) or [c for c in continuous_columns(df) if c not in ids]
         rows = df.where(self.where) if self.where is not None else df
         at = (self.quantiles[0], 0.5, self.quantiles[1])
-        ranked = self.kind in ("robust", "fence") and self.exact and not ids
-        if ranked:  # of a whole table: ranks in slices, as all values of a column are too many for one task
-            rows = quantiles(rows, columns, at).groupBy().pivot("variable", columns).agg(F.first("q"))
+        ranked = self.kind in ("robust", "fence") and self.exact
+        if ranked:  # in slices, as all values of a column or an entity may be too many for one task
+            rows = quantile_row(rows, columns, at, ids)
         aggs = []
         for c in columns:
             if self.kind in ("standard", "clamped"):
@@ -46,7 +47,7 @@ class Scaler:
                 scale = scale + self.eps if self.kind == "standard" else F.greatest(scale, F.lit(self.eps))
             elif self.kind in ("robust", "fence"):
                 marks = F.array(*[F.lit(q) for q in at])
-                q = F.first(c) if ranked else F.percentile(c, marks) if self.exact else F.percentile_approx(c, marks, 100_000)
+                q = F.first(c) if ranked else F.percentile_approx(c, marks, 100_000)
                 center, scale = q[1], q[2] - q[0]
                 scale = scale + self.eps if self.kind == "robust" else F.greatest(4 * scale, F.lit(self.eps))
             elif self.kind == "minmax":
@@ -92,10 +93,8 @@ def clip(c: str | Column, lo: float, hi: float) -> Column:
 def clip_outliers(df: DataFrame, columns: Names, ids: Names = None, where: str | None = None) -> DataFrame:
     """Values beyond 1.5 interquartile ranges from the quartiles are moved to these fences."""
     columns, ids = listed(columns), listed(ids)
-    rows = df.where(where) if where else df
-    if not ids:
-        rows = quantiles(rows, columns, (0.25, 0.75)).groupBy().pivot("variable", columns).agg(F.first("q"))
-    q = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) if ids else F.first(c) for c in columns}
+    rows = quantile_row(df.where(where) if where else df, columns, (0.25, 0.75), ids)
+    q = {c: F.first(c) for c in columns}
     aggs = [x for c in columns for x in ((q[c][0] - 1.5 * (q[c][1] - q[c][0])).alias(f"{c}__lo"), (q[c][1] + 1.5 * (q[c][1] - q[c][0])).alias(f"{c}__hi"))]
     fences = rows.groupBy(*ids).agg(*aggs) if ids else rows.agg(*aggs)
     both = df.join(fences, ids, "left") if ids else df.join(F.broadcast(fences))
@@ -105,8 +104,8 @@ def clip_outliers(df: DataFrame, columns: Names, ids: Names = None, where: str |
 def fill_median(df: DataFrame, columns: Names, ids: Names = None) -> DataFrame:
     """Nulls become the lower median, of the entity or of all."""
     columns, ids = listed(columns), listed(ids)
-    aggs = [F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{c}`)").alias(f"{c}__m") for c in columns]
-    stats = df.groupBy(*ids).agg(*aggs) if ids else df.agg(*aggs)
+    rows = quantile_row(df, columns, [0.5], ids, lower=True)
+    stats = rows.groupBy(*ids).agg(*[F.first(c)[0].cast(df.schema[c].dataType).alias(f"{c}__m") for c in columns])
     both = df.join(stats, ids, "left") if ids else df.join(F.broadcast(stats))
     return both.withColumns({c: F.coalesce(c, f"{c}__m") for c in columns}).select(*df.columns)
 
@@ -155,6 +154,105 @@ def quantile_transform(df: DataFrame, c: str, points: int = 100, *, where: str |
     return F.when(x.isNotNull(), F.greatest(out, F.lit(0.0)))
 
 
+# Coefficients of Acklam's rational approximation to the inverse normal distribution, and where its tails begin. Fixed values.
+_CENTRE = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_CENTRE_BELOW = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_TAIL = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_TAIL_BELOW = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+_TAILS = 0.02425
+#: Shares nearer to 0 or 1 than this are moved here before they become normal; terms of the distribution's series.
+EDGE, TERMS = 1e-7, 80
+
+
+def normal_share(z: str | Column) -> Column:
+    """The normal distribution at z, by its power series; for z from -6 to 6, beyond which it is 0 or 1 within 1e-9."""
+    z = F.col(z) if isinstance(z, str) else z
+    x = F.greatest(F.least(z, F.lit(6.0)), F.lit(-6.0))
+    series = F.aggregate(F.array(*[F.lit(float(2 * k + 1)) for k in range(TERMS, 0, -1)]), F.lit(1.0), lambda a, d: x * x / d * a + 1)
+    return F.when(z.isNotNull(), 0.5 + F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * x * series)
+
+
+def normal_quantile(share: str | Column) -> Column:
+    """Its inverse: a rational approximation, and one step by Newton's method. Shares are kept from 0 and 1."""
+    share = F.col(share) if isinstance(share, str) else share
+    p = F.greatest(F.least(share, F.lit(1 - EDGE)), F.lit(EDGE))
+
+    def poly(of: tuple, x: Column) -> Column:
+        out = F.lit(of[0])
+        for c in of[1:]:
+            out = out * x + c
+        return out
+
+    r = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = poly(_TAIL, r) / poly(_TAIL_BELOW, r)
+    q = p - 0.5
+    centre = poly(_CENTRE, q * q) * q / poly(_CENTRE_BELOW, q * q)
+    z = F.when(p < _TAILS, tail).when(p > 1 - _TAILS, -tail).otherwise(centre)
+    step = lambda x: x - (normal_share(x) - p) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
+    return F.when(share.isNotNull(), F.get(F.transform(F.array(z), step), 0))
+
+
+@dataclass
+class QuantileScaler:
+    """Values to the shares of the fitted values below them, linear between ``points`` + 1 quantiles, and these to a normal distribution.
+
+    Ties get the middle of their shares. Values beyond the fitted ones get the ends'. where: the rows that count for the fit.
+    Nulls stay; columns without fitted values become null.
+    """
+
+    columns: Names = None
+    points: int = 1000
+    normal: bool = True
+    where: str | Column | None = None
+
+    def fit(self, df: DataFrame) -> QuantileModel:
+        columns = listed(self.columns) or continuous_columns(df)
+        rows = df.where(self.where) if self.where is not None else df
+        rows = quantile_row(rows, columns, [i / self.points for i in range(self.points + 1)])
+        return QuantileModel(rows.agg(*[F.first(c).alias(f"{c}__q") for c in columns]), columns, self.points, self.normal)
+
+
+@dataclass
+class QuantileModel:
+    marks: DataFrame
+    columns: list[str]
+    points: int
+    normal: bool
+
+    def _below(self, q: Column, x: Column, same: bool) -> Column:
+        """How many marks are less than x (or the same), by bisection: one step for each bit of their number."""
+        steps = F.array(*[F.lit(1 << b) for b in range(self.points.bit_length(), -1, -1)])
+        mark = lambda i: F.get(q, i - 1)
+        return F.aggregate(steps, F.lit(0), lambda i, s: F.when((i + s <= self.points + 1) & (mark(i + s) <= x if same else mark(i + s) < x), i + s).otherwise(i))
+
+    def _share(self, q: Column, x: Column) -> Column:
+        def way(n: Column) -> Column:
+            lo, hi = F.get(q, n - 1), F.get(q, n)
+            return F.when(n == 0, 0.0).when(n > self.points, 1.0).otherwise((n - 1 + (x - lo) / (hi - lo)) / self.points)
+
+        once = lambda same: F.get(F.transform(F.array(self._below(q, x, same)), way), 0)
+        middle = (once(True) + once(False)) / 2
+        return F.when(x.isNull() | q.isNull(), None).when(x <= F.get(q, F.lit(0)), 0.0).when(x >= F.get(q, F.lit(self.points)), 1.0).otherwise(middle)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        both = df.join(F.broadcast(self.marks))  # one row by construction
+        shares = both.withColumns({c: self._share(F.col(f"{c}__q"), F.col(c).cast("double")) for c in self.columns})
+        return (shares.withColumns({c: normal_quantile(c) for c in self.columns}) if self.normal else shares).select(*df.columns)
+
+    def inverse(self, df: DataFrame) -> DataFrame:
+        both = df.join(F.broadcast(self.marks))
+        both = both.withColumns({c: normal_share(c) for c in self.columns}) if self.normal else both
+
+        def value(q: Column, share: Column) -> Column:
+            at = share * self.points
+            i = F.least(F.floor(at), F.lit(self.points - 1)).cast("int")
+            within = F.get(q, i) + (at - i) * (F.get(q, i + 1) - F.get(q, i))
+            near = 2 * EDGE if self.normal else 0.0
+            return F.when(share.isNull(), None).when(share <= near, F.get(q, F.lit(0))).when(share >= 1 - near, F.get(q, F.lit(self.points))).otherwise(within)
+
+        return both.withColumns({c: value(F.col(f"{c}__q"), F.col(c)) for c in self.columns}).select(*df.columns)
+
+
 def narrow(df: DataFrame, columns: Names = None) -> DataFrame:
     """Whole numbers to the smallest type that holds them, doubles to floats; one pass finds the ranges."""
     from pyspark.sql.types import DoubleType, IntegerType, LongType, ShortType

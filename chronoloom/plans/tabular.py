@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.encode import OrdinalEncoder, OrdinalModel
-from ..operators.frame import categorical_columns, continuous_columns
+from ..operators.frame import categorical_columns, continuous_columns, quantiles
 from ..operators.scale import Scaler, ScalerModel
 
 
@@ -25,9 +25,9 @@ class Tabular:
         rows = df.where(self.where) if self.where else df
         cat = [c for c in (self.categorical or categorical_columns(df)) if c not in self.target]
         cont = [c for c in (self.continuous or continuous_columns(df)) if c not in self.target and c not in cat]
-        aggs = [x for i, c in enumerate(cont) for x in (F.percentile(c, F.lit(0.5)).alias(f"m{i}"), F.max(F.col(c).isNull()).alias(f"n{i}"))]
-        row = rows.agg(*aggs).first() if cont else None
-        medians = {c: row[f"m{i}"] for i, c in enumerate(cont)}
+        row = rows.agg(*[F.max(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cont)]).first() if cont else None
+        found = {r["variable"]: r["q"][0] for r in quantiles(rows, cont, [0.5]).collect()} if cont else {}  # a row for each column
+        medians = {c: found.get(c) for c in cont}
         holes = [c for i, c in enumerate(cont) if row[f"n{i}"]]
         filled = rows.fillna({c: m for c, m in medians.items() if m is not None})
         return TabularModel(OrdinalEncoder(cat).fit(rows) if cat else None, medians, holes, Scaler(cont, eps=1e-7).fit(filled.withColumns({c: F.col(c).cast("double") for c in cont})) if cont else None)

@@ -74,3 +74,45 @@ def test_candidates_of_odd_sizes(spark, tmp_path):
     assert found[1]["scores"] == [1.0] * 17
     own = [0.25 * 0.5 + 0.25 * 0.5, 0.25 * 1.0, 0.25 * 2.0 + 0.25 * 1.5]
     assert [c["fixed"] - found[1]["fixed"] for c in found] == pytest.approx([o - own[1] for o in own])
+
+
+def test_quantiles_of_entities(spark):
+    """One entity has nine tenths of the rows, one has no values, one is null; slices are small."""
+    rng = np.random.default_rng(8)
+    rows = [("big" if i % 10 else ("small", None, "empty")[i // 10 % 3], float(rng.integers(0, 400) if i % 4 else rng.normal()), float(i)) for i in range(3000)]
+    rows = [(k, None if k == "empty" else a, b) for k, a, b in rows]
+    df = spark.createDataFrame(rows, "k string, a double, b double").repartition(4)
+    for lower, method in ((False, "linear"), (True, "inverted_cdf")):
+        got = {(r["k"], r["variable"]): r["q"] for r in frame.quantiles(df, ["a", "b"], SHARES, "k", lower=lower, slices=16).collect()}
+        assert ("empty", "a") not in got and len(got) == 7
+        for (k, c), q in got.items():
+            own = [r[1 if c == "a" else 2] for r in rows if r[0] == k]
+            assert q == pytest.approx(np.quantile(own, SHARES, method=method))
+    assert frame.quantiles(df.limit(0), "a", SHARES, "k").count() == 0
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    shares = [1e-7, 1e-4, 0.02, 0.0243, 0.3, 0.5, 0.9, 0.9999, 1 - 1e-7]
+    df = spark.createDataFrame([(p,) for p in [*shares, None, 0.0, 1.0]], "p double").select("p", scale.normal_quantile("p").alias("z")).withColumn("back", scale.normal_share("z"))
+    got = df.collect()
+    for r in got[: len(shares)]:
+        assert r["z"] == pytest.approx(NormalDist().inv_cdf(r["p"]), abs=1e-8) and r["back"] == pytest.approx(r["p"], abs=1e-14)
+    assert got[-3]["z"] is None and got[-3]["back"] is None and got[-2]["z"] == pytest.approx(-got[-1]["z"])
+
+
+def test_quantile_scaler(spark):
+    rng = np.random.default_rng(2)
+    values = [None, *np.exp(rng.normal(size=1500)).tolist()]
+    df = spark.createDataFrame([(i, v, 5.0 if i % 3 else float(i), None) for i, v in enumerate(values)], "id long, a double, tied double, none double")
+    model = scale.QuantileScaler(["a", "tied", "none"], 200).fit(df)
+    z = model.transform(df)
+    got = z.orderBy("id").collect()
+    a = np.array([r["a"] for r in got[1:]])
+    assert got[0]["a"] is None and abs(np.median(a)) < 0.02 and abs(np.std(a) - 1) < 0.1 and all(r["none"] is None for r in got)
+    assert len({r["tied"] for r in got if r["id"] % 3}) == 1
+    back = {r["id"]: r["a"] for r in model.inverse(z).collect()}
+    assert all(back[i] == pytest.approx(v, rel=1e-7) for i, v in enumerate(values) if v is not None)
+    flat = scale.QuantileScaler("a", 200, normal=False).fit(df).transform(df).select(F.min("a"), F.max("a")).first()
+    assert tuple(flat) == (0.0, 1.0)
