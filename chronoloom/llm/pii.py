@@ -259,7 +259,7 @@ def spans(docs: DataFrame, score: float = LEAST_SCORE, support: int = LEAST_SUPP
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    """Every document's counts and spans; n_spans counts all of them."""
+    """Every document's counts and spans; n_spans counts all of them. Of the kinds in spans, ``secret`` is added to the contract's four."""
     out = spans(read(spark, sf_dir, "documents"))
     number = lambda c, k: F.size(F.filter(c, lambda s: s["kind"] == k)).cast("long")
     counts = [number("base", k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
