@@ -1,22 +1,25 @@
-"""Substring dedup by prefix-partitioned windows, which replace suffix trees: slices of ``width`` words are compared whole.
+"""Substring dedup by prefix-partitioned suffix trees over words.
 
-Suffixes start at words. Two windows of ``width`` equal words choose the same anchor, the least of the hashes of their
-``gram``-word pieces, so suffixes are dealt out by the prefix at their anchor:
+Suffixes start at words; two that share ``width`` words are to meet in one group. Two windows of ``width`` equal words choose
+the same anchor, the least of the hashes of their ``gram``-word pieces, so suffixes are dealt out by that piece first:
 
 1. Census: anchors (one in some 16 words) are counted by document. A prefix that only one document holds has a tree without
    inner nodes that matter, and goes.
-2. The suffixes of each remaining prefix are sorted with their texts; common prefix
-   lengths aren't computed, as runs of neighbours that share ``width`` words are all that is asked for. In each such run,
-   all but those of the least doc_id are repeats.
-3. A prefix that is too frequent for one group is made longer, up to all ``width`` words. Then it is the path of one node,
-   whose least doc_id is an aggregate, summed up before rows move. No group has to fit in memory.
-
+2. A prefix with more than ``leaves`` suffixes is made longer: its suffixes are dealt out anew by their first ``gram`` words,
+   what is still too many by some more, and so on. A prefix that has come to all ``width`` words is the path of one node: its
+   least doc_id is an aggregate by that path, summed up before rows move. So every group fits in memory, whatever its text.
+3. A group's tree is its sorted suffixes and the lengths of the prefixes that neighbours have in common. Neighbours with
+   ``width`` words or more in common are the leaves below one deep inner node; the least of these lengths is the node's depth,
+   its path the longest text that all of its leaves share. At leaves of all documents but the least, that text is a repeat.
+
+A tree knows its suffixes up to the last window of their anchor; repeats that go on are put together by the documents' words.
 Only documents with a shared prefix move as text.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from collections import defaultdict
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +98,9 @@ def _census(width: int, gram: int):
 
 
 SUFFIXES = "anchor long, doc_id long, start int, n int, span binary"
-WINDOWS = "h long, g long, doc_id long, pos int"
+WINDOWS = "prefixes array<long>, doc_id long, start int, path binary"
+#: Words whose trees are built at once, if single groups are smaller.
+FOREST_WORDS = 200_000
 FLAGS = "doc_id long, lo int, hi int"
 
 
@@ -121,77 +126,110 @@ def _spans(width: int, gram: int):
     return run
 
 
-def _slices(span: bytes, n: int, width: int) -> list[bytes]:
-    """The ``n`` windows of a span of words."""
-    ends = np.flatnonzero(np.frombuffer(span + b" ", np.uint8) == 32)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return [span[s:e] for s, e in zip(starts[:n].tolist(), ends[width - 1 : width - 1 + n].tolist(), strict=True)]
-
+def ranks(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """For runs of 1, 2, 4... words from each place on, their ranks; a run that reaches its span's end is cut there."""
+    out, size, here = [np.unique(ids, return_inverse=True)[1].astype(np.int64)], 1, np.arange(len(ids))
+    longest = int((ends - here).max(initial=1))
+    while size < longest:
+        r = out[-1]
+        after = np.where(here + size < ends, np.append(r, np.zeros(size, np.int64))[size:] + 1, 0)
+        out.append(np.unique(r * (len(ids) + 1) + after, return_inverse=True)[1].astype(np.int64))
+        size *= 2
+    return out
 
-def repeats(group: list[tuple[int, int, int, bytes]], width: int) -> list[tuple[int, int, int]]:
-    """The repeats of one prefix: (doc_id, start, n, span) in, flagged stretches of window starts out.
 
-    No tree is built: leaves are sorted, and those that share ``width`` words stand together.
-    """
-    leaves = sorted((s, doc, start + j) for doc, start, n, span in group for j, s in enumerate(_slices(span, n, width)))
-    flagged, node, least = [], None, None
-    for path, doc, at in leaves:
-        if path != node:
-            node, least = path, doc
-        elif doc > least:
-            flagged.append((doc, at))
-    flagged.sort()
-    out: list[list[int]] = []
-    for doc, at in flagged:
-        if out and out[-1][0] == doc and out[-1][2] >= at - 1:
-            out[-1][2] = at
-        else:
-            out.append([doc, at, at])
-    return [tuple(x) for x in out]
+def in_common(levels: list[np.ndarray], ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words the suffixes at places ``a`` and ``b`` have in common from their start, within their spans."""
+    a, b, n = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+    end_a, end_b, last = ends[a], ends[b], len(ends) - 1
+    for k in range(len(levels) - 1, -1, -1):
+        size = 1 << k
+        same = (a + size <= end_a) & (b + size <= end_b) & (levels[k][np.minimum(a, last)] == levels[k][np.minimum(b, last)])
+        step = np.where(same, size, 0)
+        a, b, n = a + step, b + step, n + step
+    return n
+
+
+def trees(rows: list[tuple[int, int, int, int, bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The repeats of whole groups, (prefix, doc_id, start, n, span) each: doc_id, first and last window of each repeated leaf."""
+    number = defaultdict(count().__next__)
+    spans = [np.fromiter(map(number.__getitem__, span.split(b" ")), np.int64) for *_, span in rows]
+    size = np.fromiter(map(len, spans), np.int64, len(spans))
+    n = np.fromiter((r[3] for r in rows), np.int64, len(rows))
+    first = np.cumsum(size) - size
+    ends = np.repeat(first + size, size)
+    levels = ranks(np.concatenate(spans), ends)
+    row = np.repeat(np.arange(len(rows)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = first[row] + nth
+    prefix, doc, start = (np.fromiter((r[i] for r in rows), np.int64, len(rows))[row] for i in range(3))
+    order = np.lexsort((levels[-1][place], prefix))
+    place, prefix, doc, start = place[order], prefix[order], doc[order], (start + nth)[order]
+    common = np.where(prefix[1:] == prefix[:-1], in_common(levels, ends, place[:-1], place[1:]), 0)
+    opens = np.flatnonzero(np.append(True, common < width))  # the first leaf below each deep inner node, or a leaf alone
+    node = np.cumsum(np.append(True, common < width)) - 1
+    least = np.minimum.reduceat(doc, opens)
+    depth = np.minimum.reduceat(np.append(np.where(common < width, np.iinfo(np.int64).max, common), np.iinfo(np.int64).max), opens)
+    hit = doc > least[node]
+    return doc[hit], start[hit], start[hit] + depth[node[hit]] - width
 
 
 def _trees(width: int):
-    """Over suffixes sorted by prefix: each prefix's tree in turn."""
+    """Over suffixes sorted by prefix: the trees of as many whole groups at once as hold FOREST_WORDS words."""
 
     def run(batches):
-        prefix, group = None, []
+        rows, held = [], 0
         for b in batches:
-            out = []
-            for anchor, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if anchor != prefix:
-                    out += repeats(group, width)
-                    prefix, group = anchor, []
-                group.append(tuple(row))
-            yield _flags(out)
-        yield _flags(repeats(group, width))
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held > FOREST_WORDS and row[0] != rows[-1][0]:
+                    yield _flags(*trees(rows, width))
+                    rows, held = [], 0
+                rows.append(row)
+                held += row[3] + width
+        if rows:
+            yield _flags(*trees(rows, width))
 
     return run
 
 
-def _flags(out: list[tuple]) -> pa.RecordBatch:
-    doc, lo, hi = zip(*out, strict=True) if out else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["doc_id", "lo", "hi"])
+def _flags(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Leaves to stretches: those of one document that meet are one."""
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    if len(doc):
+        offset = (doc != np.append(doc[:1], doc[:-1])).cumsum() * (int(hi.max()) + 2)  # documents one behind the other
+        reach = np.maximum.accumulate(hi + offset)
+        new = np.append(True, (lo + offset)[1:] > reach[:-1] + 1)
+        opens = np.flatnonzero(new)
+        doc, lo, hi = doc[opens], lo[opens], np.maximum.reduceat(hi, opens)
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc_id", "lo", "hi"])
 
 
-def _windows(width: int):
-    """Prefixes made as long as a window: two hashes of it."""
+def _windows(width: int, lengths: list[int]):
+    """Suffixes one by one, with hashes of their first words."""
 
     def run(batches):
         for b in batches:
-            h, g, docs, at = [], [], [], []
-            for _, doc, start, n, span in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                for j, s in enumerate(_slices(span, n, width)):
-                    x = xxhash.xxh128_intdigest(s)
-                    h.append(x >> 64)
-                    g.append(x & (1 << 64) - 1)
-                    docs.append(doc)
-                    at.append(start + j)
-            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([long(h), long(g), pa.array(docs, pa.int64()), pa.array(at, pa.int32())], ["h", "g", "doc_id", "pos"])
+            out: list[tuple] = []
+            for doc, start, n, span in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                at = np.append(np.flatnonzero(np.frombuffer(span + b" ", np.uint8) == 32), 0)  # the last is the place before the first word
+                for j in range(n):
+                    s = at[j - 1] + 1 if j else 0
+                    out.append(([xxhash.xxh64_intdigest(span[s : at[j + k - 1]], k) - (1 << 63) for k in lengths], doc, start + j, span[s : at[j + width - 1]]))
+                if len(out) >= 5000:
+                    yield _suffixes(out)
+                    out = []
+            yield _suffixes(out)
 
     return run
 
 
+def _suffixes(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["prefixes", "doc_id", "start", "path"])
+
+
 def _removed(width: int):
     """(doc_id, text, flagged stretches) to the result's digests."""
 
@@ -215,13 +253,11 @@ def _removed(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM, leaves: int = 50_000) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) for each row.
+def stretches(docs: DataFrame, width: int = 50, gram: int = GRAM, leaves: int = 8192) -> DataFrame:
+    """(doc_id, lo, hi): windows lo to hi of a document, by their first words' numbers, also start in documents with a smaller doc_id.
 
-    Removes each word covered by a window of ``width`` words that also starts in a document with a smaller doc_id; kept words
-    are joined by one space. Null or blank text: no words. Rows without a doc_id lose nothing and make nothing a repeat.
-    Repeated rows are one document. Extra columns are ignored; an empty table gives an empty one. Windows are compared word by
-    word, or, where a prefix has more than ``leaves`` suffixes, by 128 bits of hash.
+    Stretches of one document may overlap. ``leaves`` bounds the suffixes of a group and changes no result. Null or blank text,
+    and rows without a doc_id, have none; repeated rows are one document.
     """
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     census = stash(docs.mapInArrow(_census(width, gram), "doc_id long, n_words long, digest binary, anchors array<long>").where(f"doc_id is not null and n_words >= {width}"), "substring-census")
@@ -237,12 +273,31 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM, leaves: i
     suffixes = attach(docs, hits).where("shared is not null").select("doc_id", "text", "shared").mapInArrow(_spans(width, gram), SUFFIXES)
     suffixes = stash(suffixes, "substring-suffixes")
     large = hinted(stash(suffixes.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > leaves).select("anchor"), "substring-large"))
-    trees = suffixes.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "doc_id", "start", "n", "span").mapInArrow(_trees(width), FLAGS)
-    long = stash(suffixes.join(large, "anchor", "left_semi").select("anchor", "doc_id", "start", "n", "span").mapInArrow(_windows(width), WINDOWS), "substring-windows")
-    nodes = long.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h", "g", "a")
+    groups = suffixes.join(large, "anchor", "left_anti").select(F.col("anchor").alias("prefix"), "doc_id", "start", "n", "span")
+    lengths = [*range(gram, width, max((width - gram) // 3, 1))]
+    rest = stash(suffixes.join(large, "anchor", "left_semi").select("doc_id", "start", "n", "span").mapInArrow(_windows(width, lengths), WINDOWS), "substring-windows")
+    for i in range(len(lengths)):
+        rest = rest.withColumn("prefix", F.get("prefixes", i))
+        crowded = hinted(stash(rest.groupBy("prefix").count().where(F.col("count") > leaves).select("prefix"), f"substring-crowded-{lengths[i]}"))
+        groups = groups.unionByName(rest.join(crowded, "prefix", "left_anti").select("prefix", "doc_id", "start", F.lit(1).alias("n"), F.col("path").alias("span")))
+        rest = rest.join(crowded, "prefix", "left_semi")
+    found = groups.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(width), FLAGS)
+    nodes = rest.groupBy("path").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("path", "a")
     nodes = hinted(stash(nodes, "substring-nodes"))  # a table of its own: a hot node's rows can then be split in the join
-    paths = long.join(nodes, ["h", "g"]).where("doc_id > a").select("doc_id", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
-    flags = trees.unionByName(paths).unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("flags"))
+    paths = rest.join(nodes, "path").where("doc_id > a").select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    return found.unionByName(paths).unionByName(whole)
+
+
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM, leaves: int = 8192) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) for each row.
+
+    Removes each word covered by a window of ``width`` words that also starts in a document with a smaller doc_id; kept words
+    are joined by one space. Null or blank text: no words. Rows without a doc_id lose nothing and make nothing a repeat.
+    Repeated rows are one document. Extra columns are ignored; an empty table gives an empty one. Windows are compared word by
+    word; of texts that are the same as a whole, by 128 bits of hash.
+    """
+    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    flags = stretches(docs, width, gram, leaves).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("flags"))
     flags = stash(flags, "substring-flags").withColumnRenamed("doc_id", "side_id")
     return attach(docs, flags).select("doc_id", "text", "flags").mapInArrow(_removed(width), "doc_id long, n_words long, n_removed long, kept_text string")
 

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from chronoloom.llm import licenses, linededup, packing, pii, quality, simhash, substring, urlfilter
@@ -52,17 +53,56 @@ def test_simhash(docs, rows, hot):
     assert sorted(kept) == sorted(d for d, (_, c) in brute.op1(rows).items() if d == c)
 
 
-@pytest.mark.parametrize("leaves", [50_000, 2])
+@pytest.mark.parametrize("leaves", [8192, 40, 2])
 def test_substring(docs, rows, leaves):
     got = by_id(substring.remove_repeats(docs, leaves=leaves))
     assert {d: (r["n_words"], r["n_removed"], brute.sha(r["kept_text"])) for d, r in got.items()} == brute.op4(rows)
 
 
-def test_substring_short_windows(docs, rows):
-    got = by_id(substring.remove_repeats(docs, width=7, gram=3))
+@pytest.mark.parametrize("leaves", [8192, 6])
+def test_substring_short_windows(docs, rows, leaves):
+    got = by_id(substring.remove_repeats(docs, width=7, gram=3, leaves=leaves))
     assert {d: (r["n_words"], r["n_removed"], brute.sha(r["kept_text"])) for d, r in got.items()} == brute.op4(rows, 7)
 
 
+def test_suffix_trees():
+    rng, width = random.Random(4), 3
+    groups = [(p, d, 10 * d, n, b" ".join(rng.choice([b"a", b"b", b"cc"]) for _ in range(n + width - 1))) for p in (1, 2) for d in range(12) for n in (1, 4, 9)]
+    ids = {b"a": 0, b"b": 1, b"cc": 2}
+    spans = [np.array([ids[w] for w in s.split()]) for *_, s in groups]
+    ends = np.repeat(np.cumsum([len(s) for s in spans]), [len(s) for s in spans])
+    text, here = np.concatenate(spans), np.arange(len(ends))
+    levels = substring.ranks(text, ends)
+    a, b = np.repeat(here, len(here)), np.tile(here, len(here))
+    common = substring.in_common(levels, ends, a, b)
+    for x, y, c in zip(a.tolist(), b.tolist(), common.tolist(), strict=True):
+        left, right = text[x : ends[x]].tolist(), text[y : ends[y]].tolist()
+        assert left[:c] == right[:c] and (c == min(len(left), len(right)) or left[c] != right[c])
+    # Each repeated leaf with its node's depth: the longest text that all leaves with the same first words share.
+    leaves = [(p, d, s + j, w.split()[j:]) for p, d, s, n, w in groups for j in range(n)]
+    expect = []
+    for p, d, s, w in leaves:
+        below = [(e, v) for q, e, _, v in leaves if q == p and v[:width] == w[:width]]
+        depth = next(k for k in range(width, 99) if len({tuple(v[: k + 1]) for _, v in below}) > 1 or any(len(v) == k for _, v in below))
+        if d > min(e for e, _ in below):
+            expect.append((d, s, s + depth - width))
+    assert sorted(zip(*[x.tolist() for x in substring.trees(groups, width)], strict=True)) == sorted(expect)
+
+
+def test_substring_longer_prefixes(spark):
+    """A passage of so many documents that its prefixes have to grow, with ends that differ: some groups fit, some never do."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage, ends = [word() for _ in range(60)], [[word() for _ in range(40)] for _ in range(3)]
+    rows = [(i, " ".join([*(word() for _ in range(i % 7)), *passage[i % 11 :], *ends[i % 3], *(word() for _ in range(5))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.op4(rows)
+    for leaves in (10_000, 150, 25, 10):
+        got = by_id(substring.remove_repeats(docs, leaves=leaves))
+        assert {d: (r["n_words"], r["n_removed"], brute.sha(r["kept_text"])) for d, r in got.items()} == want
+    assert sum(n for _, n, _ in want.values()) > 3000
+
+
 def test_lines(docs, rows):
     got = by_id(linededup.drop_lines(docs))
     assert {d: (r["n_lines"], r["n_dropped"], brute.sha(r["kept_text"])) for d, r in got.items()} == brute.op5(rows)
