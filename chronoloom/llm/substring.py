@@ -5,7 +5,8 @@ the same anchor, the least of the hashes of their ``gram``-word pieces, so suffi
 
 1. Census: anchors (one in some 16 words) are counted by document. A prefix that only one document holds has a tree without
    inner nodes that matter, and goes.
-2. A prefix with more than ``leaves`` suffixes is made longer: its suffixes are dealt out anew by their first ``gram`` words,
+2. Stretches of suffixes that are the same as a whole stand once, for their least doc_id; the copies are repeats.
+   A prefix with more than ``leaves`` suffixes is made longer: its suffixes are dealt out anew by their first ``gram`` words,
    what is still too many by some more, and so on. A prefix that has come to all ``width`` words is the path of one node: its
    least doc_id is an aggregate by that path, summed up before rows move. So every group fits in memory, whatever its text.
 3. A group's tree is its sorted suffixes and the lengths of the prefixes that neighbours have in common. Neighbours with
@@ -97,7 +98,7 @@ def _census(width: int, gram: int):
     return run
 
 
-SUFFIXES = "anchor long, doc_id long, start int, n int, span binary"
+SUFFIXES = "anchor long, doc_id long, start int, n int, span binary, digest binary"
 WINDOWS = "prefixes array<long>, doc_id long, start int, path binary"
 #: Words whose trees are built at once, if single groups are smaller.
 FOREST_WORDS = 200_000
@@ -106,8 +107,8 @@ FLAGS = "doc_id long, lo int, hi int"
 
 def _spans(width: int, gram: int):
     """For each shared prefix of a document, the stretch of words that its suffixes need."""
-    names, types = ["anchor", "doc_id", "start", "n", "span"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)], names)
+    names, types = ["anchor", "doc_id", "start", "n", "span", "digest"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], names)
 
     def run(batches):
         for b in batches:
@@ -117,7 +118,8 @@ def _spans(width: int, gram: int):
                 places, hashes, which = anchors(words, width, gram)
                 for i in np.flatnonzero(np.isin(hashes.view(np.int64), np.array(shared, np.int64))):
                     lo, hi = np.searchsorted(which, [i, i + 1])  # windows of an anchor are neighbours
-                    out.append((int(hashes.view(np.int64)[i]), doc, int(lo), int(hi - lo), b" ".join(words[lo : hi - 1 + width])))
+                    span = b" ".join(words[lo : hi - 1 + width])
+                    out.append((int(hashes.view(np.int64)[i]), doc, int(lo), int(hi - lo), span, xxhash.xxh128_digest(span)))
                     if len(out) == 5000:  # together the spans are several times the text
                         yield made(out)
                         out = []
@@ -272,6 +274,11 @@ def stretches(docs: DataFrame, width: int = 50, gram: int = GRAM, leaves: int =
     hits = hits.withColumnRenamed("doc_id", "side_id")
     suffixes = attach(docs, hits).where("shared is not null").select("doc_id", "text", "shared").mapInArrow(_spans(width, gram), SUFFIXES)
     suffixes = stash(suffixes, "substring-suffixes")
+    # Of stretches that are the same as a whole, the least doc_id's stand for all; the others' leaves are repeats without a tree.
+    firsts = suffixes.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("digest", "a")
+    firsts = hinted(stash(firsts, "substring-firsts"))
+    copies = suffixes.select("doc_id", "start", "n", "digest").join(firsts, "digest").where("doc_id > a").select("doc_id", F.col("start").alias("lo"), F.expr("start + n - 1").alias("hi"))
+    suffixes = stash(suffixes.join(firsts, "digest", "left").where("a is null or doc_id = a").select("anchor", "doc_id", "start", "n", "span"), "substring-distinct")
     large = hinted(stash(suffixes.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > leaves).select("anchor"), "substring-large"))
     groups = suffixes.join(large, "anchor", "left_anti").select(F.col("anchor").alias("prefix"), "doc_id", "start", "n", "span")
     lengths = [*range(gram, width, max((width - gram) // 3, 1))]
@@ -285,7 +292,7 @@ def stretches(docs: DataFrame, width: int = 50, gram: int = GRAM, leaves: int =
     nodes = rest.groupBy("path").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("path", "a")
     nodes = hinted(stash(nodes, "substring-nodes"))  # a table of its own: a hot node's rows can then be split in the join
     paths = rest.join(nodes, "path").where("doc_id > a").select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return found.unionByName(paths).unionByName(whole)
+    return found.unionByName(paths).unionByName(copies).unionByName(whole)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM, leaves: int = 8192) -> DataFrame:
@@ -294,7 +301,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = GRAM, leaves: i
     Removes each word covered by a window of ``width`` words that also starts in a document with a smaller doc_id; kept words
     are joined by one space. Null or blank text: no words. Rows without a doc_id lose nothing and make nothing a repeat.
     Repeated rows are one document. Extra columns are ignored; an empty table gives an empty one. Windows are compared word by
-    word; of texts that are the same as a whole, by 128 bits of hash.
+    word; texts and stretches that are the same as a whole are known by 128 bits of hash.
     """
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     flags = stretches(docs, width, gram, leaves).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("flags"))
