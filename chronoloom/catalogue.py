@@ -5,6 +5,7 @@ Events are the panel: an entity is a user, the order is (ts, event_id), and the
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -807,6 +808,20 @@ def rand_augment(spark, sf):
     return vectors(spark, sf).select("vec_id", augment.rand_augment("x", F.col("vec_id"), n=2, seed=5).alias("x"))
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT e.range AS epoch, unnest(generate_series(0, (n - 1) // 32)) AS batch, n FROM n, range(2) e)
+SELECT epoch, batch, least(32, n - 32 * batch) AS n_rows, least(32, n - 32 * batch) AS n_alike FROM b""")
+def rand_augment_batches(spark, sf):
+    """Two epochs in batches, each changed in the two ways drawn for it: rows, and those that agree with these ways one after the other."""
+    ways = {"flip": lambda x, *_, **__: augment.horizontal_flip(x), "negate": lambda x, *_, **__: augment.vertical_flip(x), "roll": lambda x, *_, **__: arrays.roll(x, 3)}
+    by = F.struct("epoch", "batch")
+    out = epochs.epochs(vectors(spark, sf), "vec_id", 32, 2, seed=1)
+    out = out.withColumns({"y": augment.rand_augment_batches("x", "vec_id", by, n=2, choices=ways, seed=4), "picked": augment.drawn(list(ways), by, 2, seed=4)})
+    alike = F.lit(False)
+    for a, b in itertools.permutations(ways, 2):
+        alike |= (F.concat_ws(" ", "picked") == f"{a} {b}") & (F.col("y") == ways[b](ways[a](F.col("x"))))
+    return out.groupBy(F.col("epoch").cast("long").alias("epoch"), "batch").agg(F.count("*").alias("n_rows"), F.count_if(alike).alias("n_alike"))
+
+
 @query()
 def subsequence_mask(spark, sf):
     return vectors(spark, sf).select("vec_id", augment.masked("x", augment.subsequence_mask(64, F.col("vec_id"), seed=3)).alias("x"))

@@ -239,7 +239,7 @@ CHOICES = {"noise": gaussian_noise, "scale": magnitude_scale, "crop": resized_cr
 
 
 def rand_augment(x, key, names: list[str] | None = None, n: int = 1, m: int = 3, *, seed: int = 0) -> Column:
-    """n of the named augmentations, drawn once by the seed, at a magnitude of m tenths."""
+    """n of the named augmentations, drawn once by the seed for the whole table, at a magnitude of m tenths."""
     import random
 
     rng = random.Random(seed)
@@ -248,6 +248,42 @@ def rand_augment(x, key, names: list[str] | None = None, n: int = 1, m: int = 3,
     return _c(x)
 
 
+def drawn(names: list[str], batch, n: int = 1, *, seed: int = 0) -> Column:
+    """n different names for each batch, whose number (or struct of epoch and number) is ``batch``, in the order in which they were drawn."""
+    if not 0 < n <= len(set(names)):
+        raise ValueError(f"can't draw {n} of {len(set(names))} names")
+    tickets = F.array(*[F.struct(F.xxhash64(_c(batch), F.lit(name), F.lit(seed)).alias("ticket"), F.lit(name).alias("name")) for name in sorted(set(names))])
+    return F.transform(F.slice(F.array_sort(tickets), 1, n), lambda t: t["name"])
+
+
+def rand_augment_batches(x, key, batch, names: list[str] | None = None, n: int = 1, m: int = 3, *, choices: dict = CHOICES, seed: int = 0) -> Column:
+    """n of the named augmentations at a magnitude of m tenths, drawn anew for each batch.
+
+    All samples of a batch are changed in the same ways, each by random numbers of its own, which differ from batch to batch (so
+    from epoch to epoch, if ``batch`` is a struct with the epoch). Only the ways drawn are worked out. A null batch is a batch.
+    ``choices`` has functions of (x, key, magnitude, seed=) by name.
+    """
+    names = sorted(set(names or choices))
+    own = F.struct(_c(key), _c(batch))
+
+    def change(picked: Column, at: int):
+        def run(v: Column) -> Column:  # of one argument: a second one would be taken for an element's place
+            out = F.lit(None)
+            for name in names:
+                out = F.when(F.get(picked, at) == name, choices[name](v, own, m / 10, seed=seed + 101 * at)).otherwise(out)
+            return out
+
+        return run
+
+    def run(picked: Column) -> Column:
+        out = _c(x)
+        for at in range(n):
+            out = let(out, change(picked, at))
+        return out
+
+    return let(drawn(names, batch, n, seed=seed), run)
+
+
 def partners(df: DataFrame, key: str, *, seed: int = 0, within: str | None = None, blocks: int = 1 << 12) -> DataFrame:
     """Each row's partner (as columns other_*) in a random cyclic order, within a class if asked for.
 

@@ -5,6 +5,7 @@ import collections
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom.functions import augment
 from chronoloom.operators import epochs
 
 
@@ -111,3 +112,24 @@ def test_weighted_draws_against_a_line(spark):
     for r in epochs.draws(df, "k", 200, weight="w", seed=9, slices=13).collect():
         lo, hi = ends[r["k"]]
         assert lo <= unit[r["draw"]] * total < hi
+
+
+def test_augmentations_by_batch(spark):
+    names = ["noise", "scale", "shift", "drop_steps"]
+    df = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 100).alias("batch"), F.floor(F.col("id") / 200).alias("epoch"), F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.sin(i * F.col("id"))).alias("x"))
+    got = df.withColumns({"y": augment.rand_augment_batches("x", "k", "batch", names, 2, 4, seed=9), "picked": augment.drawn(names, "batch", 2, seed=9)})
+    own, rows = F.struct("k", "batch"), got.collect()
+    ways = {r["batch"]: tuple(r["picked"]) for r in rows}
+    assert all(len(set(w)) == 2 for w in ways.values()) and all(ways[r["batch"]] == tuple(r["picked"]) for r in rows)
+    assert len(set(ways.values())) == 12  # all ordered pairs come up in 100 batches
+    for a, b in sorted(set(ways.values()))[::5]:
+        want = df.withColumn("y", augment.CHOICES[b](augment.CHOICES[a]("x", own, 0.4, seed=9), own, 0.4, seed=110))
+        want = {r["k"]: r["y"] for r in want.collect()}
+        assert all(r["y"] == want[r["k"]] for r in rows if ways[r["batch"]] == (a, b))
+    again = {r["k"]: r["y"] for r in got.repartition(7).collect()}
+    assert all(again[r["k"]] == r["y"] for r in rows)
+    other = df.select(augment.drawn(names, F.struct("epoch", "batch"), 2, seed=9).alias("p"), "batch").collect()
+    assert any(tuple(r["p"]) != ways[r["batch"]] for r in other)
+    with pytest.raises(ValueError):
+        augment.drawn(names, "batch", 5)
+    assert spark.createDataFrame([(1, None, [1.0])], "k long, batch long, x array<double>").select(augment.rand_augment_batches("x", "k", "batch", names).alias("y")).first()["y"] is not None
