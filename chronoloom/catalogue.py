@@ -637,6 +637,7 @@ _array("patch_means", lambda x: _order_sum(arrays.patches(x, 8, reduce="mean")),
 _array("patch_minima", lambda x: _order_sum(arrays.patches(x, 8, 4, reduce="min", pad_before=False, value=9.0)), _ordered(15, "list_min(x[4 * i - 3:4 * i + 4])"))
 _array("take_steps", lambda x: _order_sum(arrays.take(x, [0, 5, -1])), "round(x[1] + 2 * x[6] + 3 * x[64], 6) AS s")
 _array("softmax", lambda x: _order_sum(arrays.softmax(x)), _ordered(64, "exp(x[i]) / list_sum(list_transform(x, lambda e: exp(e)))"))
+_array("mean_deviation", lambda x: F.round(arrays.mean_deviation(x), 6).alias("s"), "round(list_avg(list_transform(x, lambda e: abs(e - list_avg(x)))), 6) AS s")
 _array("keep_if", lambda x: (arrays.keep_if(x, lambda e: e > -0.3).cast("int") + 2 * arrays.keep_if(x, lambda e: e > 0.3, every=False).cast("int")).alias("s"), "CAST(list_min(x) > -0.3 AS INT) + 2 * CAST(list_max(x) > 0.3 AS INT) AS s")
 _array("joint_recurrence", lambda x: F.round(arrays.total(F.flatten(arrays.joint_recurrence(x, F.reverse(x)))), 6).alias("s"), "round(list_sum(list_transform(range(1, 65), lambda i: list_sum(list_transform(range(1, 65), lambda j: abs(x[i] - x[j]) * abs(x[65 - i] - x[65 - j]))))), 6) AS s")
 _array("mark_padding", lambda x: _order_sum(arrays.mark_padding(F.transform(x, lambda e: (e > 0).cast("double")))), _ordered(64, "CASE WHEN i > list_max(list_transform(range(1, 65), lambda j: CASE WHEN x[j] > 0 THEN 0 ELSE j END)) THEN -1 ELSE CAST(x[i] > 0 AS INT) END"))

@@ -153,6 +153,11 @@ def softmax(x: str | Column) -> Column:
     return let(_c(x), lambda v: let(F.transform(v, lambda e: F.exp(e - F.array_max(v))), lambda w: F.transform(w, lambda e: e / total(w))))
 
 
+def mean_deviation(x: str | Column) -> Column:
+    """Mean absolute difference from the mean, of the values that aren't null; null if there is none."""
+    return let(F.filter(_c(x), lambda e: e.isNotNull()), lambda v: let(total(v) / F.nullif(F.size(v), F.lit(0)), lambda m: total(F.transform(v, lambda e: F.abs(e - m))) / F.nullif(F.size(v), F.lit(0))))
+
+
 def savgol(window: int, order: int) -> list[list[float]]:
     """Rows of weights: a polynomial fit to ``window`` values, taken at each of them."""
     import numpy as np

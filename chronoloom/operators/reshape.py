@@ -27,6 +27,33 @@ def to_samples(df: DataFrame, sample: Names, order: Names, data: Names, target:
     return out.select(*listed(sample), *[_member(f"d{i}").alias(c) for i, c in enumerate(data)], *([target] if target else []))
 
 
+def order_rows(df: DataFrame, columns: Names, ascending: bool | list[bool] = True, *, na_position: str = "last", key=None) -> DataFrame:
+    """Rows by columns, or by ``key`` of each; nulls and NaN first or last whichever way a column runs. Ties are in any order: name a column that breaks them."""
+    if na_position not in ("first", "last"):
+        raise ValueError(f"na_position is first or last, not {na_position}")
+    columns = listed(columns)
+    ways = ascending if isinstance(ascending, list) else [ascending] * len(columns)
+    if len(ways) != len(columns):
+        raise ValueError("as many directions as columns")
+    by = []
+    for c, up in zip(columns, ways, strict=True):
+        v = key(F.col(c)) if key else F.col(c)
+        if df.schema[c].dataType.typeName() in ("double", "float"):
+            v = F.when(~F.isnan(c), v)
+        by.append({(True, "first"): v.asc_nulls_first, (True, "last"): v.asc_nulls_last, (False, "first"): v.desc_nulls_first, (False, "last"): v.desc_nulls_last}[up, na_position]())
+    return df.orderBy(*by)
+
+
+def to_times(df: DataFrame, columns: Names, format: str | None = None) -> DataFrame:
+    """String columns all of whose values are times (by Spark's pattern, if given) as timestamps; other columns stay as they are."""
+    texts = [c for c in listed(columns) if df.schema[c].dataType.typeName() == "string"]
+    if not texts:
+        return df
+    time = lambda c: F.try_to_timestamp(c, *([F.lit(format)] if format else []))
+    bad = df.agg(*[F.count_if(F.col(c).isNotNull() & time(F.col(c)).isNull()).alias(f"n{i}") for i, c in enumerate(texts)]).first()
+    return df.withColumns({c: time(F.col(c)) for i, c in enumerate(texts) if not bad[i]})
+
+
 def _member(name: str) -> Column:
     return F.transform("_s", lambda s: s[name])
 

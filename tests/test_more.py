@@ -81,3 +81,19 @@ def test_sinks(spark, tmp_path):
         np.save(f, np.arange(12.0).reshape(3, 2, 2))
         (tmp_path / name).write_bytes(wrap(f.getvalue()))
         assert sinks.read_npy(spark, str(tmp_path / name)).orderBy("row").collect()[2]["values"] == [8, 9, 10, 11]
+
+
+def test_order_rows_and_times(spark):
+    rows = [(1, 2.0, "b"), (2, None, "A"), (3, float("nan"), "c"), (4, -1.0, None), (5, 7.0, "B")]
+    df = spark.createDataFrame(rows, "k long, v double, s string")
+    ids = lambda d: [r["k"] for r in d.collect()]
+    assert ids(reshape.order_rows(df, ["v", "k"])) == [4, 1, 5, 2, 3]
+    assert ids(reshape.order_rows(df, ["v", "k"], [False, True], na_position="first")) == [2, 3, 5, 1, 4]
+    assert ids(reshape.order_rows(df.where("k <> 1"), "s", key=lambda c: F.lower(c.cast("string")))) == [2, 5, 3, 4]
+    with pytest.raises(ValueError):
+        reshape.order_rows(df, "v", na_position="middle")
+    df = spark.createDataFrame([("2024-01-05", "x", "05/01/2024", 1), (None, "2024-01-01", "31/12/2023", 2)], "a string, b string, c string, n int")
+    got = reshape.to_times(df, ["a", "b", "c", "n"])
+    assert [f.dataType.typeName() for f in got.schema] == ["timestamp", "string", "string", "integer"]
+    c = [r["c"] for r in reshape.to_times(df, "c", "dd/MM/yyyy").collect()]
+    assert [(t.year, t.month, t.day) for t in c] == [(2024, 1, 5), (2023, 12, 31)]
