@@ -51,7 +51,9 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t in ("double", "float")})
+    """Rounded as DuckDB does: the scaled double is, not its shortest decimal form, from which a tie may differ by its last bit."""
+    scale = float(10**digits)
+    return df.withColumns({c: F.round(F.col(c) * scale) / scale for c, t in df.dtypes if t in ("double", "float")})
 
 
 def panel():

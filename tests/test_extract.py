@@ -1,6 +1,7 @@
 """Features of series against plain loops and known values."""
 
 import cmath
+import functools
 import math
 
 import numpy as np
@@ -139,6 +140,20 @@ def test_short_and_flat_series():
                 assert isinstance(float(C[name](np.array(x), **p)), float), (column, x)
 
 
+def test_sums_in_the_order_of_steps(spark):
+    """As SQL adds rows one after the other, so a tie in the last digit kept goes the same way."""
+    from chronoloom.catalogue import rounded
+
+    for x in (np.round(np.random.default_rng(k).exponential(50, 64 + k), 2) for k in range(200)):
+        total = lambda t: functools.reduce(float.__add__, t, 0.0)
+        v = x.tolist()
+        assert C["mean"](x) == total(v) / len(v)
+        assert C["mean_change"](x) == total([b - a for a, b in zip(v, v[1:], strict=False)]) / (len(v) - 1)
+        assert C["mean_second_derivative"](x) == total([c - 2 * b + a for a, b, c in zip(v, v[1:], v[2:], strict=False)]) / (2 * (len(v) - 2))
+    # 47.6759375 less one bit: its millionfold is a half again
+    assert rounded(spark.createDataFrame([(47.675937499999996,), (-47.675937499999996,)], "v double")).toPandas()["v"].tolist() == [47.675938, -47.675938]
+
+
 def test_unknown_settings(spark):
     for bad in ({"nonsense": None}, {"quantile": [{"r": 1}]}):
         with pytest.raises((ValueError, TypeError)):
