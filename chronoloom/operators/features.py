@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Samples that are worked out at once: a batch of Arrow's has 10,000, and intermediate matrices are many times a sample's size.
+SLICE = 256
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """An array column of equal lengths as (samples, steps); nulls as 0."""
-    rows = column.to_pylist()
-    return np.array([[0.0 if v is None else v for v in r] for r in rows], float).reshape(len(rows), -1)
+    steps = column.flatten().cast(pa.float64()).fill_null(0.0)
+    return steps.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _map(df: DataFrame, columns: list[str], function, out: str, keep: list[str]) -> DataFrame:
@@ -25,10 +29,12 @@ def _map(df: DataFrame, columns: list[str], function, out: str, keep: list[str])
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", `{out}` array<double>"
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x = np.stack([_matrix(b.column(c)) for c in columns], 1)
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(list(function(x)), pa.list_(pa.float64()))], [*keep, out])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):
+                b = whole.slice(begin, SLICE)
+                found = np.ascontiguousarray(function(np.stack([_matrix(b.column(c)) for c in columns], 1)))
+                ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.ListArray.from_arrays(ends, pa.array(found.ravel(), pa.float64()))], [*keep, out])
 
     return df.select(*dict.fromkeys([*keep, *columns])).mapInArrow(run, schema)
 
@@ -99,10 +105,9 @@ class MiniRocketModel:
     def apply(self, x: np.ndarray) -> np.ndarray:
         out = []
         for i, (d, biases, variables) in enumerate(self.plan):
-            mixed = np.stack([x[:, v].sum(1) for v in variables], 1)
             for k in range(len(self.kernels)):
                 padded = (i + k) % 2 == 0 or x.shape[2] <= 8 * d
-                conv = _dilated(mixed[:, k], self.kernels[k : k + 1], d, padded)[:, 0]
+                conv = _dilated(x[:, variables[k]].sum(1), self.kernels[k : k + 1], d, padded)[:, 0]
                 out.append((conv[:, None, :] > biases[:, k][None, :, None]).mean(2))
         return np.concatenate(out, 1)
 

@@ -121,6 +121,15 @@ def test_convolution_features(spark):
     assert features.poolings(np.array([[1.0, -1, 2, 3]]), np.zeros(1)).tolist() == [[[0.75, 2.0, pytest.approx((0 + 2 + 3) / 3 / 4), 0.5]]]
 
 
+def test_convolutions_take_few_samples_at_once(spark):
+    """Whatever the size of Arrow's batches; nulls within a series are 0, columns may be slices."""
+    df = spark.range(0, 1000, 1, 1).select("id", F.array(F.col("id").cast("double"), F.lit(None).cast("double"), F.lit(2.0)).alias("x"))
+    at_once = lambda x: np.stack([np.full(len(x), float(len(x))), x[:, 0, 0], x[:, 0, 1]], 1)
+    rows = features._map(df, ["x"], at_once, "y", ["id"]).collect()
+    assert [r["y"][1:] for r in rows] == [[float(i), 0.0] for i in range(1000)]
+    assert max(r["y"][0] for r in rows) <= 256
+
+
 def test_streams(spark, tmp_path):
     rows = [(k, t, float(10 * k + t)) for t in range(6) for k in (1, 2)]
     for i in range(2):
