@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -77,11 +78,15 @@ def _key(df: DataFrame, column: str) -> Column:
 
 def _sliced(df: DataFrame, column: str, source: DataFrame, slices: int) -> DataFrame:
     """Adds _slice, growing with the column; the bounds are approximate quantiles of the source's. Nulls are in slice -1."""
-    key = _key(df, column)
-    bounds = source.select(_key(source, column).alias("_k")).where("_k is not null").approxQuantile("_k", [i / slices for i in range(1, slices)], 0.01)
-    bounds = sorted(set(bounds))
-    slot = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
-    return df.withColumn("_slice", F.coalesce(F.when(key.isNotNull(), slot), F.lit(-1)))
+    from pyspark.ml.feature import Bucketizer
+
+    bounds = source.select(_key(source, column).alias("_x")).where("_x is not null").approxQuantile("_x", [i / slices for i in range(1, slices)], 0.01)
+    bounds = sorted({b + 0.0 for b in bounds if math.isfinite(b)})
+    df = df.withColumn("_slice_key", _key(df, column) + 0.0)  # no negative zero: the search holds it less than zero
+    if bounds:
+        df = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_slice_key", outputCol="_slice_at", handleInvalid="keep").transform(df)
+    slot = F.col("_slice_at").cast("int") if bounds else F.lit(0)
+    return df.withColumn("_slice", F.when(F.col("_slice_key").isNotNull(), slot).otherwise(F.lit(-1))).drop("_slice_key", "_slice_at")
 
 
 def running(df: DataFrame, order: str, sums: dict[str, str], by: str | None = None, source: DataFrame | None = None, slices: int = 256) -> DataFrame:
@@ -103,19 +108,21 @@ def running(df: DataFrame, order: str, sums: dict[str, str], by: str | None = No
     return out.withColumns({name: F.sum(c).over(own) + F.col(f"_off_{name}") for name, c in sums.items()}).drop("_slice", *[f"_off_{name}" for name in sums])
 
 
-def quantiles(df: DataFrame, columns: Names, shares: Iterable[float], ids: Names = None, *, lower: bool = False, slices: int = 256) -> DataFrame:
+def quantiles(df: DataFrame, columns: Names, shares: Iterable[float], ids: Names = None, *, lower: bool | Iterable[bool] = False, slices: int = 256) -> DataFrame:
     """([ids,] variable, q): exact quantiles of each column, linear between ranks, as an array, of the table or of each entity.
 
     Values are counted, the distinct ones ranked in slices, and the ranks asked for picked: no task holds a column's or an entity's
-    values. lower: the least value whose share of the values reaches the one asked for. Columns without values have no row.
+    values. lower: the least value whose share of the values reaches the one asked for; one answer for all shares, or one for each.
+    Columns without values have no row.
     """
     columns, shares, ids = listed(columns), list(shares), listed(ids)
+    lowers = [lower] * len(shares) if isinstance(lower, bool) else list(lower)
     long = df.select(*ids, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("_x")).select(*ids, "_x.*").where("_v is not null")
-    runs = long.groupBy(*ids, "variable", "_v").agg(F.count("*").alias("_m"))
-    place = [F.greatest(F.ceil(F.col("_n") * F.lit(float(p))) - 1, F.lit(0)) if lower else (F.col("_n") - 1) * F.lit(float(p)) for p in shares]
+    place = [F.greatest(F.ceil(F.col("_n") * F.lit(float(p))) - 1, F.lit(0)) if low else (F.col("_n") - 1) * F.lit(float(p)) for p, low in zip(shares, lowers, strict=True)]
     if ids:
-        ranked = _ranked(runs, [*ids, "variable"], [f(p) for p in place for f in (F.floor, F.ceil)], long, slices)
+        ranked = _ranked(long, [*ids, "variable"], [f(p) for p in place for f in (F.floor, F.ceil)], slices)
     else:
+        runs = long.groupBy("variable", "_v").agg(F.count("*").alias("_m"))
         total = runs.groupBy("variable").agg(F.sum("_m").alias("_n"))  # a row for each column
         ranked = running(runs, "_v", {"_upto": "_m"}, "variable", long, slices).join(F.broadcast(total), "variable")
     at = lambda r: F.max(F.when((F.col("_upto") - F.col("_m") <= r) & (r < F.col("_upto")), F.col("_v")))
@@ -125,23 +132,30 @@ def quantiles(df: DataFrame, columns: Names, shares: Iterable[float], ids: Names
     return found.select(*ids, "variable", F.array(*[value(i, p) for i, p in enumerate(place)]).alias("q"))
 
 
-def _ranked(runs: DataFrame, keys: list[str], ranks: list[Column], source: DataFrame, slices: int) -> DataFrame:
-    """The runs (keys, _v, _m) of those slices that hold one of the ranks asked for, with _n, the key's rows, and _upto, those up to a run.
+#: So many slices of entities that hold a rank asked for are broadcast; with more, the values are shuffled to them.
+FEW = 50_000
+
+
+def _ranked(values: DataFrame, keys: list[str], ranks: list[Column], slices: int) -> DataFrame:
+    """The distinct values (keys, _v, _m) of those slices that hold one of the ranks asked for, with _n, the key's rows, and _upto, those up to a value.
 
-    Slices are of the whole table's values, so a key with most rows is in most slices; each (key, slice) is ranked on its own.
+    Slices are of the whole table's values, so a key with most rows is in most slices; each (key, slice) is ranked on its own. Rows are
+    counted by slice first: only the values of slices asked for are counted one by one.
     """
-    runs = _sliced(runs, "_v", source, slices)
+    values = _sliced(values, "_v", values, slices)
     own = [f"_of_{c}" for c in keys]
-    parts = runs.groupBy(*[F.col(c).alias(n) for c, n in zip(keys, own, strict=True)], F.col("_slice").alias("_s")).agg(F.sum("_m").alias("_all"))
+    parts = values.groupBy(*[F.col(c).alias(n) for c, n in zip(keys, own, strict=True)], F.col("_slice").alias("_s")).agg(F.count("*").alias("_all"))
     # slices at most for each key
     parts = parts.withColumn("_off", F.sum("_all").over(before(over(own, "_s"))) - F.col("_all")).withColumn("_n", F.sum("_all").over(whole(own)))
     asked = F.lit(False)
     for r in ranks:
         asked = asked | ((F.col("_off") <= r) & (r < F.col("_off") + F.col("_all")))
+    parts = parts.where(asked)
     same = F.col("_slice") == F.col("_s")
     for c, n in zip(keys, own, strict=True):
         same = same & F.col(c).eqNullSafe(F.col(n))
-    out = runs.join(parts.where(asked), same).drop("_s", *own)
+    few = parts.limit(FEW + 1).count() <= FEW
+    out = values.join(F.broadcast(parts) if few else parts, same).groupBy(*keys, "_slice", "_v", "_n", "_off").agg(F.count("*").alias("_m"))
     return out.withColumn("_upto", F.sum("_m").over(before(over([*keys, "_slice"], "_v"))) + F.col("_off"))
 
 

@@ -91,6 +91,17 @@ def test_quantiles_of_entities(spark):
     assert frame.quantiles(df.limit(0), "a", SHARES, "k").count() == 0
 
 
+def test_both_kinds_of_quantiles_at_once(spark):
+    """One pass for linear and least values; infinite values, negative zeros and NaN, the greatest, are ranked as Spark orders them."""
+    values = [-math.inf, -0.0, 0.0, 1.0, 2.0, math.inf, math.nan] + [float(i % 37) - 18 for i in range(900)]
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values * 2)], "k int, v double").repartition(3)
+    both = {r["k"]: r["q"] for r in frame.quantiles(df, "v", [0.3, 0.5, 0.3, 1.0], "k", lower=[False, False, True, True], slices=8).collect()}
+    for k in (0, 1):
+        own = sorted([v for i, v in enumerate(values * 2) if i % 2 == k], key=lambda v: (v != v, v))
+        want = [own[math.ceil(0.3 * len(own)) - 1], own[-1]]
+        assert both[k][:2] == pytest.approx(np.quantile([v if v == v else math.inf for v in own], [0.3, 0.5])) and both[k][2] == want[0] and math.isnan(both[k][3])
+
+
 def test_normal_quantiles(spark):
     from statistics import NormalDist
 
