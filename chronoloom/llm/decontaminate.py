@@ -65,18 +65,27 @@ def template(tokens: Column, names: bool = False) -> Column:
     return F.transform(tokens, lambda x: _kind(x, names))
 
 
-def windows(tokens: Column, width: int, kind=lambda x: x, begins=None) -> Column:
+def windows(tokens: Column, width: int | list[int], kind=lambda x: x, begins=None) -> Column:
     """(h, at, pair): hash and place of each window of tokens, or of what ``kind`` makes of them, and the hash of its first two.
 
-    begins: a predicate on pairs; windows of which it doesn't hold are left out before they are hashed.
+    width: one or several; tokens are hashed, and places looked at, once for all of them. begins: a predicate on pairs; windows of which
+    it doesn't hold are left out before they are hashed.
     """
+    widths = [width] if isinstance(width, int) else width
 
     def whole(h: Column) -> Column:
-        pair = lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)) if width > 1 else F.get(h, i)
-        first = lambda x, i: F.xxhash64(x, F.get(h, i + 1)) if width > 1 else x
-        fits = lambda x, i: (begins(first(x, i)) if begins else F.lit(True)) & (i <= F.size(h) - width)
-        places = F.array_compact(F.transform(h, lambda x, i: F.when(fits(x, i), i)))
-        return F.transform(places, lambda i: F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(width)]).alias("h"), i.alias("at"), pair(i).alias("pair")))
+        def of(some: list[int], pair, first) -> Column:
+            fits = lambda x, i: (begins(first(x, i)) if begins else F.lit(True)) & (i <= F.size(h) - min(some))
+            places = F.array_compact(F.transform(h, lambda x, i: F.when(fits(x, i), i)))
+            window = lambda i, w: F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(w)]).alias("h"), i.alias("at"), pair(i).alias("pair"))
+            if len(some) == 1:
+                return F.transform(places, lambda i: window(i, some[0]))
+            return let(places, lambda at: F.concat(*[F.transform(F.filter(at, lambda i: i <= F.size(h) - w), lambda i: window(i, w)) for w in some]))  # noqa: B023
+
+        parts = [of([1], lambda i: F.get(h, i), lambda x, _: x)] if 1 in widths else []
+        if wide := [w for w in widths if w > 1]:
+            parts.append(of(wide, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)), lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
 
     return let(F.transform(tokens, lambda x: F.xxhash64(kind(x))), whole)
 
@@ -143,7 +152,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float
     kinds = [lambda x: _kind(x, False), lambda x: _kind(x, True), *([plain] if not mine.where("not told").isEmpty() else [])]
     # Texts are tokenised once for all sizes and readings.
     begins = _beginnings(mine)
-    theirs = docs.select("doc_id", F.explode(let(raw_tokens(F.col("text")), lambda r: F.concat(*[windows(r, size, k, begins) for size in sizes for k in kinds]))).alias("x"))
+    theirs = docs.select("doc_id", F.explode(let(raw_tokens(F.col("text")), lambda r: F.concat(*[windows(r, sizes, k, begins) for k in kinds]))).alias("x"))
     theirs = theirs.select("doc_id", "x.h", "x.pair", "x.at")
     found = theirs.join(hinted(mine), ["h", "pair"]).select("doc_id", "item_id", "at", "item_at", "told", "names")
     told = index.where("told").groupBy("item_id").agg(F.array_sort(F.collect_set("item_at")).alias("told_at"))

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from chronoloom.llm import decontaminate
 
 DOCS = "doc_id long, text string"
@@ -78,3 +80,13 @@ def test_planted_copies(spark):
     assert same <= set(got) and not any(got[x] for x in same)
     assert len(other & set(got)) >= 0.9 * len(other) and all(got[x] for x in other & set(got))
     assert not set(got) - same - other
+
+
+def test_windows_of_several_widths(spark):
+    """Those of each width, worked out together."""
+    df = spark.createDataFrame([(list("abcdabcx"),), (["a", "b"],), (["a"],), ([],)], "t array<string>")
+    some = lambda p: p % 2 == 0
+    for begins in (None, some):
+        widths = [1, 2, 3, 8]
+        both = df.select(decontaminate.windows(F.col("t"), widths, begins=begins).alias("x"), F.concat(*[decontaminate.windows(F.col("t"), w, begins=begins) for w in widths]).alias("y")).collect()
+        assert [sorted(r["x"]) for r in both] == [sorted(r["y"]) for r in both] and len(both[0]["x"]) > 3 and both[3]["x"] == []
