@@ -54,9 +54,9 @@ class Pair:
         self.cut = (lambda text: [text]) if any("▁" in p.lstrip("▁") for p in pieces) else segments
         self.len_a, self.len_b = [len(self.a_bytes.get(i, b"")) for i in range(max(names.values()) + 1)], [len(self.b_bytes[i]) for i in range(len(pieces))]
         self.known, self.old = {}, {}
-        # Groups have numbers here: their names, pairs, and tokens of A and B.
+        # Groups have numbers here: their names, pairs, and tokens of A and B, as one number.
         self.number: dict = {}
-        self.names, self.pairs, self.size_a, self.size_b = [], [], [], []
+        self.names, self.pairs, self.sizes = [], [], []
 
     def group(self, a: list[int], b: list[int]) -> int:
         key = (a[0], b[0]) if len(a) == len(b) == 1 else f"{','.join(map(str, a))}|{','.join(map(str, b))}"
@@ -66,8 +66,7 @@ class Pair:
             name = key if isinstance(key, str) else f"{a[0]}|{b[0]}"
             self.names.append(name)
             self.pairs.append(tuple(x << 32 | y for x, y in self.links(name)))
-            self.size_a.append(len(a))
-            self.size_b.append(len(b))
+            self.sizes.append(len(a) << 32 | len(b))
         return at
 
     def groups(self, a: list[int], b: list[int]) -> tuple[int, ...]:
@@ -103,7 +102,7 @@ class Pair:
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, {}
         if len(self.names) > 5 * REMEMBERED:
-            for held in (self.known, self.old, self.number, self.names, self.pairs, self.size_a, self.size_b):
+            for held in (self.known, self.old, self.number, self.names, self.pairs, self.sizes):
                 held.clear()
         known, old, new, found = self.known, self.old, [], {}
         for t in texts:
@@ -154,16 +153,17 @@ def _tabulate(a_path: str, b_path: str):
                 # A segment that isn't given back: the whole text is asked.
                 flat = list(chain.from_iterable(seen)) if None not in seen else pair.encoded([text])[0] or []
                 times = Counter(flat)
-                names = [pair.names[g] for g in flat]
-                linked = list(chain.from_iterable([pair.pairs[g] for g in times]))
+                linked = list(chain.from_iterable(map(pair.pairs.__getitem__, times)))
                 if len(set(linked)) < len(linked):
                     again += [(p, n - 1) for p, n in Counter(linked).items() if n > 1]
-                groups += [pair.names[g] for g in times]
+                name = pair.names.__getitem__
+                groups.extend(map(name, times))
                 counts += times.values()
                 held.append(len(groups))
                 more.append(len(again))
-                sha = hashlib.sha256(";".join(names).encode()).hexdigest() if flat else ""
-                n_a, n_b = (sum([n * size[g] for g, n in times.items()]) for size in (pair.size_a, pair.size_b))
+                sha = hashlib.sha256(";".join(map(name, flat)).encode()).hexdigest() if flat else ""
+                size = sum(map(pair.sizes.__getitem__, flat))
+                n_a, n_b = size >> 32, size & 0xFFFFFFFF
                 for c, v in zip(cols, (row, n_a, n_b, len(flat), sha), strict=True):
                     c.append(v)
                 row += 1
