@@ -84,7 +84,8 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 
     Two sets whose Jaccard similarity is t or more share t / (1 + t) of their sizes' sum, so, in one order of all shingles, their first common
     one has at least that many places left in either. The order is by frequency, rarest first. Only classes that meet in a
-    shingle are paired, so what one class has of it is never compared with itself.
+    shingle are paired, so what one class has of it is never compared with itself; and of these only pairs of which one has the shingle in
+    a shorter prefix, if their sizes and the places left, at best, allow for any pair of their sets.
     """
     rows = sets.select("fp", "n", "class", F.explode("s").alias("h"))
     counts = stash(rows.groupBy("h").agg(F.count("*").alias("f")), "near-counts")
@@ -92,11 +93,14 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("fp").orderBy("times", "h")) - 1
     left = lambda share: F.col("n") - F.col("at") >= F.ceil(share * F.col("n") - 1e-9)
     entries = stash(ranked.withColumn("at", at).where(left(F.lit(similarity)) & (F.col("times") > 1)).select("fp", "n", "class", "h", "at"), "near-prefixes")
-    classes = entries.select("h", "class").distinct()
-    meet = stash(classes.withColumnRenamed("class", "c").join(classes.withColumnRenamed("class", "d"), "h").where("c <> d"), "near-meet")
     # The smaller set of a pair (of equal ones that with the smaller hash) has the shorter prefix.
     x = entries.where(left(F.lit(2 * similarity / (1 + similarity)))).select(F.col("fp").alias("x"), F.col("n").alias("p"), F.col("class").alias("c"), "h", F.col("at").alias("i"))
     y = entries.select(F.col("fp").alias("y"), F.col("n").alias("q"), F.col("class").alias("d"), "h", F.col("at").alias("j"))
+    best = lambda side, c, n, at, as_: side.groupBy("h", c).agg(F.min(n).alias(f"{as_}_least"), F.max(n).alias(f"{as_}_most"), F.max(F.col(n) - F.col(at)).alias(f"{as_}_left"))
+    sized = (F.col("x_least") <= F.col("y_most")) & (F.col("x_most") >= similarity * F.col("y_least"))
+    placed = F.least("x_left", "y_left") >= F.ceil(similarity / (1 + similarity) * (F.col("x_least") + F.col("y_least")) - 1e-9)
+    meet = best(x, "c", "p", "i", "x").join(best(y, "d", "q", "j", "y"), "h").where((F.col("c") != F.col("d")) & sized & placed)
+    meet = stash(meet.select("h", "c", "d"), "near-meet")
     needed = F.ceil(similarity / (1 + similarity) * (F.col("p") + F.col("q")) - 1e-9)
     ordered = (F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("x") < F.col("y")))
     fit = ordered & (F.col("p") >= similarity * F.col("q")) & (F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) >= needed)

@@ -96,3 +96,16 @@ def test_prefixes_hold_all_pairs(spark, texts):
         assert want <= got and len(want) > 10
     kin = df.withColumn("class", (df["fp"] / 7).cast("long"))
     assert all(a // 7 != b // 7 for a, b in nearcopies.prefix_pairs(kin, 0.8).collect())
+
+
+def test_classes_meet_only_if_sizes_and_places_allow(spark, monkeypatch):
+    """Sets of many sizes with shingles of one pool: few of the classes that share one may be as similar as asked."""
+    rng, sets, met = random.Random(4), [], {}
+    for i in range(120):
+        sets.append(rng.sample(sets[-1], int(len(sets[-1]) * 0.93)) if i % 5 == 4 else rng.sample(range(2000), rng.randrange(60, 400)))
+    df = spark.createDataFrame([(i, len(s), i, sorted(s)) for i, s in enumerate(sets)], "fp long, n int, class long, s array<long>").repartition(4)
+    kept = nearcopies.stash
+    monkeypatch.setattr(nearcopies, "stash", lambda d, name: met.setdefault(name, kept(d, name)))
+    got = {(r["a"], r["b"]) for r in nearcopies.prefix_pairs(df, 0.8).collect()}
+    assert {(i - 1, i) for i in range(4, 120, 5)} <= got
+    assert met["near-meet"].count() < met["near-prefixes"].count()
