@@ -90,3 +90,24 @@ def test_windows_of_several_widths(spark):
         widths = [1, 2, 3, 8]
         both = df.select(decontaminate.windows(F.col("t"), widths, begins=begins).alias("x"), F.concat(*[decontaminate.windows(F.col("t"), w, begins=begins) for w in widths]).alias("y")).collect()
         assert [sorted(r["x"]) for r in both] == [sorted(r["y"]) for r in both] and len(both[0]["x"]) > 3 and both[3]["x"] == []
+
+
+def broadcasts(plan):
+    """Bytes of each table that a plan has broadcast."""
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        return broadcasts(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return broadcasts(plan.plan())
+    own = [plan.metrics().get("dataSize").get().value()] if plan.nodeName().startswith("BroadcastExchange") else []
+    return own + [x for i in range(plan.children().size()) for x in broadcasts(plan.children().apply(i))]
+
+
+def test_alignments_are_not_broadcast(spark):
+    """Only the ids of documents that hold items are, some ten bytes each; an alignment takes thousands."""
+    items = spark.createDataFrame([(0, " ".join(WORDS * 2))], "item_id long, text string")
+    most = []
+    for n in (10, 300):
+        out = decontaminate.hits(spark.createDataFrame([(i, f"some {' '.join(WORDS * 2)} more") for i in range(n)], DOCS), items)
+        assert len(out.collect()) == n
+        most.append(max(broadcasts(out._jdf.queryExecution().executedPlan())))
+    assert most[1] - most[0] < 300 * 100
