@@ -181,7 +181,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, coverage: float
     nearest = F.transform(F.array_sort(F.transform("near", lambda x: F.struct(F.abs(x["shift"] - F.col("shift")).alias("far"), x["shift"].alias("shift"), x["own"].alias("own")))), lambda x: F.struct(x["shift"].alias("shift"), x["own"].alias("own")))
     strict = lambda runs: F.transform(runs, lambda x: F.struct(x["shift"].alias("shift"), F.filter(x["own"], lambda w: ~w["names"]).alias("own")))
     way = lambda runs, names: F.struct(F.lit(names).alias("names"), (runs if names else strict(runs)).alias("runs"))
-    # Alignments grow with the documents, and a file of them is a few hundredths of what they take in memory: by its size Spark would broadcast them.
+    # Alignments grow with the documents, and a file of them is under a hundredth of what they take in memory: by its size Spark would broadcast them.
     both = aligned.join(texts.hint("merge"), "doc_id")
     both = both.withColumn("way", F.explode(F.array(*[way(runs, names) for runs in (alone, nearest) for names in (False, True)])))
     both = both.withColumn("chain", F.col("way.runs")).withColumn("used", F.flatten(F.transform("chain", lambda x: x["own"]))).where(enough(F.col("used"))).drop("near", "own")
